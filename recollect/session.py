@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,3 +34,20 @@ def cut(df: DataFrame) -> DataFrame:
     """Write the rows to the shared checkpoint folder and go on from there."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def ship(spark: SparkSession) -> None:
+    """Let the Python workers of every executor import this package, as spark-submit --py-files would."""
+    context = spark.sparkContext
+    if getattr(context, "_recollect_shipped", False):
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    base = os.path.join(tempfile.mkdtemp(prefix="recollect-package-"), "recollect")
+    with zipfile.ZipFile(f"{base}.zip", "w") as archive:
+        for folder, _, names in os.walk(package):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    archive.write(path, os.path.join("recollect", os.path.relpath(path, package)))
+    context.addPyFile(f"{base}.zip")
+    context._recollect_shipped = True

@@ -70,6 +70,11 @@ def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES
 
 def word_hashes(data: np.ndarray, at: np.ndarray, tables: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """A hash of each word, and the offsets of each text's words."""
+    return placed_words(data, at, tables)[:2]
+
+
+def placed_words(data: np.ndarray, at: np.ndarray, tables: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A hash of each word, the offsets of each text's words, and each word's first byte."""
     inside, code = tables
     word = inside[data]
     first = word.copy()
@@ -78,7 +83,7 @@ def word_hashes(data: np.ndarray, at: np.ndarray, tables: tuple[np.ndarray, np.n
     first[edges] = word[edges]
     starts = np.flatnonzero(first)
     if not len(starts):
-        return np.zeros(0, U), np.zeros(len(at), np.int64)
+        return np.zeros(0, U), np.zeros(len(at), np.int64), starts
     where = np.flatnonzero(word)
     begin = np.searchsorted(where, starts)
     lengths = np.diff(np.append(begin, len(where)))
@@ -86,7 +91,7 @@ def word_hashes(data: np.ndarray, at: np.ndarray, tables: tuple[np.ndarray, np.n
     power[0] = 1
     power = np.multiply.accumulate(power)
     values = code[data[where]] * power[where - np.repeat(starts, lengths)]
-    return mix(np.add.reduceat(values, begin) + lengths.astype(U)), np.searchsorted(starts, at)
+    return mix(np.add.reduceat(values, begin) + lengths.astype(U)), np.searchsorted(starts, at), starts
 
 
 def shingle_hashes(words: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:

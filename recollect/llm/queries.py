@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from recollect.llm import bpe, decontaminate, jaccard, licenses, secrets, sharding, spans, suffixes, toxicity
+from recollect.llm import bpe, decontaminate, jaccard, licenses, media, secrets, sharding, spans, suffixes, toxicity
 from recollect.session import ship
 
 TOKENIZER = "byte_bpe_50k.tiktoken"
@@ -44,6 +44,10 @@ def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.digests(table(spark, sf_dir, "documents"))
 
 
+def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.digests(table(spark, sf_dir, "documents"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.digests(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 

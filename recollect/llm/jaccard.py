@@ -5,10 +5,9 @@ All n-grams have one global order, by hash, and it is cut into fragments. Partia
 each fragment by itself and summed per pair, for the pairs that can link at all:
 
 1. Equal sets are one representative. Of a set of n the first m in the global order are sampled, m so
-   large that two linked sets share at least `need` sampled n-grams. Only n-grams in two samples or more matter;
-   sets with fewer of them than `need` have no partner. Of what is left each set keeps its rarest n-grams but
-   for need - 1, and linked sets still share one of those.
-2. Sets that share such an n-gram, directly or over others, are a cluster. A large cluster is cut into
+   large that two linked sets share at least `need` sampled n-grams. Sets with fewer sampled n-grams that another sample has
+   too are out. The same is done with the whole sets that are left, where `need` is percent of n.
+2. Of what it shares with any other a set keeps its rarest n-grams but for need - 1; linked sets have one of those in common. Sets that share such an n-gram, directly or over others, are a cluster. A large cluster is cut into
    blocks, and each pair of blocks is a task of its own, so that no task sees more than two blocks.
 3. In each task the fragments' overlap matrices are counted, then summed; the links are reduced to a
    spanning forest, and its components are the answer. No link between different sets is lost.
@@ -67,38 +66,60 @@ def _grams(part: pa.RecordBatch, tables, k: int) -> list[np.ndarray]:
     return [grams[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
 
 
-def candidates(samples: DataFrame, percent: int) -> DataFrame:
-    """rep and cluster of every set that may have a partner. samples: rep, n, sample."""
+def shared(samples: DataFrame, need: str) -> DataFrame:
+    """rep, own (its n-grams that another set has too, the rarest first) and need, of the sets that have at least `need` such n-grams."""
     rows = samples.select("rep", "n", F.explode("sample").alias("gram"))
     often = rows.groupBy("gram").agg(F.count("*").alias("df")).where("df > 1")
-    least = F.expr(f"greatest(1, ((n * {percent} + 99) div 100) * {SPARE} div 100)")
-    own = rows.join(often, "gram").groupBy("rep", "n").agg(F.sort_array(F.collect_list(F.struct("df", "gram"))).alias("own")).withColumn("need", least)
-    keys = cut(own.where(F.size("own") >= F.col("need")).select("rep", F.explode(F.expr("slice(own, 1, cast(size(own) - need + 1 as int))")).alias("key")).select("rep", F.col("key.gram").alias("gram")))
+    own = rows.join(often, "gram").groupBy("rep", "n").agg(F.sort_array(F.collect_list(F.struct("df", "gram"))).alias("own"))
+    return own.withColumn("need", F.expr(need)).where(F.size("own") >= F.col("need"))
+
+
+def survivors(samples: DataFrame, percent: int) -> DataFrame:
+    """rep of every set whose sample leaves it a chance. samples: rep, n, sample."""
+    return shared(samples, f"greatest(1, ((n * {percent} + 99) div 100) * {SPARE} div 100)").select("rep")
+
+
+def whole_sets(docs: DataFrame, reps: DataFrame, k: int) -> DataFrame:
+    """rep, n and sample, here all n-grams, of the sets named in reps."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = arrow.spaced_words()
+        for batch in batches:
+            for part in arrow.slices(batch):
+                own = [np.unique(g) for g in _grams(part, tables, k)]
+                yield pa.RecordBatch.from_arrays([part.column("rep"), pa.array(np.array([len(g) for g in own], np.int64)), arrow.long_lists(own)], names=["rep", "n", "sample"])
+
+    texts = docs.select(F.col("doc_id").alias("rep"), "text").join(reps, "rep")
+    return texts.mapInArrow(run, "rep long, n long, sample array<long>")
+
+
+def clusters(whole: DataFrame, percent: int) -> DataFrame:
+    """rep and cluster of every set that may have a partner."""
+    own = shared(whole, f"(n * {percent} + 99) div 100")
+    keys = cut(own.select("rep", F.explode(F.expr("slice(own, 1, cast(size(own) - need + 1 as int))")).alias("key")).select("rep", F.col("key.gram").alias("gram")))
     first = keys.groupBy("gram").agg(F.min("rep").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     found = components(keys.join(first, "gram").select(F.col("rep").alias("a"), F.col("first").alias("b")))
     return found.select(F.col("id").alias("rep"), F.col("component").alias("cluster"))
 
 
-def tasks(docs: DataFrame, members: DataFrame, k: int) -> DataFrame:
+def tasks(whole: DataFrame, members: DataFrame) -> DataFrame:
     """cluster, i, j (two blocks), fragment, rep, n, side and the n-grams of each set in each fragment, once for each task it is in."""
     sizes = members.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     placed = members.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    texts = docs.select(F.col("doc_id").alias("rep"), "text").join(placed, "rep")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables, width = arrow.spaced_words(), arrow.U(64 - (FRAGMENTS - 1).bit_length())
+        width = arrow.U(64 - (FRAGMENTS - 1).bit_length())
         for batch in batches:
-            for part in arrow.slices(batch):
-                own = [np.unique(g) for g in _grams(part, tables, k)]
-                edges = [np.searchsorted(g >> width, np.arange(FRAGMENTS + 1)) for g in own]
-                take = pa.array(np.repeat(np.arange(len(own)), FRAGMENTS))
-                rest = [part.column(c).take(take) for c in ("cluster", "blocks", "block", "rep")]
-                yield pa.RecordBatch.from_arrays(
-                    [*rest, pa.array(np.repeat(np.array([len(g) for g in own], np.int64), FRAGMENTS)), pa.array(np.tile(np.arange(FRAGMENTS, dtype=np.int32), len(own))), arrow.long_lists([g[e[f] : e[f + 1]] for g, e in zip(own, edges, strict=True) for f in range(FRAGMENTS)])],
-                    names=["cluster", "blocks", "block", "rep", "n", "fragment", "grams"],
-                )
-
-    pieces = texts.mapInArrow(run, "cluster long, blocks int, block int, rep long, n long, fragment int, grams array<long>")
+            lists = batch.column("sample")
+            at, grams = lists.offsets.to_numpy(), lists.values.to_numpy().view(arrow.U)
+            own = [grams[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+            edges = [np.searchsorted(g >> width, np.arange(FRAGMENTS + 1)) for g in own]
+            take = pa.array(np.repeat(np.arange(len(own)), FRAGMENTS))
+            rest = [batch.column(c).take(take) for c in ("cluster", "blocks", "block", "rep", "n")]
+            pieces = arrow.long_lists([g[e[f] : e[f + 1]] for g, e in zip(own, edges, strict=True) for f in range(FRAGMENTS)])
+            yield pa.RecordBatch.from_arrays([*rest, pa.array(np.tile(np.arange(FRAGMENTS, dtype=np.int32), len(own))), pieces], names=["cluster", "blocks", "block", "rep", "n", "fragment", "grams"])
+
+    pieces = whole.join(placed, "rep").select("cluster", "blocks", "block", "rep", "n", "sample").mapInArrow(run, "cluster long, blocks int, block int, rep long, n long, fragment int, grams array<long>")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     return pieces.select("*", other).select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "fragment", "rep", "n", (F.col("block") > F.col("other")).alias("side"), "grams")
 
@@ -184,8 +205,8 @@ def join(docs: DataFrame, k: int, percent: int) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     own = cut(sets(docs, k, percent))
     reps = own.where("n > 0 and doc_id is not null").groupBy("one", "two").agg(F.min("doc_id").alias("rep"), F.any_value("n").alias("n"), F.any_value("sample").alias("sample"))
-    members = candidates(reps.select("rep", "n", "sample"), percent)
-    found = components(links(overlaps(tasks(docs, members, k)), percent))
+    whole = cut(whole_sets(docs, survivors(reps.select("rep", "n", "sample"), percent), k))
+    found = components(links(overlaps(tasks(whole, clusters(whole, percent))), percent))
     named = reps.select("one", "two", "rep").join(found, F.col("rep") == F.col("id"), "left").select("one", "two", F.coalesce("component", "rep").alias("component_id"))
     alone = (F.col("n") == 0) | F.col("doc_id").isNull()
     rows = own.select("doc_id", F.col("n").alias("n_shingles"), F.when(alone, None).otherwise(F.col("one")).alias("one"), F.when(alone, None).otherwise(F.col("two")).alias("two"))

@@ -205,7 +205,7 @@ def join(docs: DataFrame, k: int, percent: int) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     own = cut(sets(docs, k, percent))
     reps = own.where("n > 0 and doc_id is not null").groupBy("one", "two").agg(F.min("doc_id").alias("rep"), F.any_value("n").alias("n"), F.any_value("sample").alias("sample"))
-    whole = cut(whole_sets(docs, survivors(reps.select("rep", "n", "sample"), percent), k))
+    whole = cut(whole_sets(docs, cut(survivors(reps.select("rep", "n", "sample"), percent)), k))
     found = components(links(overlaps(tasks(whole, clusters(whole, percent))), percent))
     named = reps.select("one", "two", "rep").join(found, F.col("rep") == F.col("id"), "left").select("one", "two", F.coalesce("component", "rep").alias("component_id"))
     alone = (F.col("n") == 0) | F.col("doc_id").isNull()

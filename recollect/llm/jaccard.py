@@ -203,11 +203,13 @@ def _forest(linked: np.ndarray) -> list[tuple[int, int]]:
 def join(docs: DataFrame, k: int, percent: int) -> DataFrame:
     """doc_id, n_shingles and component_id, the smallest doc_id that links lead to, for every row."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    own = cut(sets(docs, k, percent))
-    reps = own.where("n > 0 and doc_id is not null").groupBy("one", "two").agg(F.min("doc_id").alias("rep"), F.any_value("n").alias("n"), F.any_value("sample").alias("sample"))
+    # The samples are read anew rather than kept, as they would be the larger part of the disk all along.
+    full = sets(docs, k, percent)
+    own = cut(full.drop("sample"))
+    reps = full.where("n > 0 and doc_id is not null").groupBy("one", "two").agg(F.min("doc_id").alias("rep"), F.any_value("n").alias("n"), F.any_value("sample").alias("sample"))
     whole = cut(whole_sets(docs, cut(survivors(reps.select("rep", "n", "sample"), percent)), k))
     found = components(links(overlaps(tasks(whole, clusters(whole, percent))), percent))
-    named = reps.select("one", "two", "rep").join(found, F.col("rep") == F.col("id"), "left").select("one", "two", F.coalesce("component", "rep").alias("component_id"))
+    named = own.where("n > 0 and doc_id is not null").groupBy("one", "two").agg(F.min("doc_id").alias("rep")).join(found, F.col("rep") == F.col("id"), "left").select("one", "two", F.coalesce("component", "rep").alias("component_id"))
     alone = (F.col("n") == 0) | F.col("doc_id").isNull()
     rows = own.select("doc_id", F.col("n").alias("n_shingles"), F.when(alone, None).otherwise(F.col("one")).alias("one"), F.when(alone, None).otherwise(F.col("two")).alias("two"))
     return rows.join(named, ["one", "two"], "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))

@@ -30,10 +30,10 @@ from recollect.llm import arrow
 from recollect.session import cut
 
 SEED = 24
-#: Different contexts of one anchor that one task takes.
-HOT = 8192
+#: Different contexts of one anchor that one task takes; their columns and orders need 50 MB.
+HOT = 32_768
 #: Contexts that a task orders at a time.
-TOGETHER = 16_384
+TOGETHER = 32_768
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 NONE = 256
@@ -265,9 +265,9 @@ def clean(docs: DataFrame, length: int = 200) -> DataFrame:
     distinct = cut(distinct.select("anchor", "context", "n", "first.key", "first.place"))
     many = distinct.groupBy("anchor").agg(F.count("*").alias("contexts")).where(F.col("contexts") > HOT).select("anchor")
     usual = contexts(texts, distinct.join(many, "anchor", "left_anti"), length)
-    covered = ordered(usual, length)
+    covered = cut(ordered(usual, length))
     if not many.isEmpty():
-        covered = covered.union(counted(contexts(texts, distinct.join(many, "anchor", "left_semi"), length), length))
+        covered = covered.union(cut(counted(contexts(texts, distinct.join(many, "anchor", "left_semi"), length), length)))
     spans = rows.join(covered, ["anchor", "context"]).groupBy("key").agg(F.collect_list(F.struct("place", "covered")).alias("spans"))
     joined = texts.join(spans, "key", "left").select("doc_id", "text", "spans")
 

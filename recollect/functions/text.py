@@ -1,0 +1,76 @@
+"""Column functions on texts of memories and transcripts."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+ACCENTED, PLAIN = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"
+
+
+def terms(text: Column) -> Column:
+    """Lower-case words of letters and digits, without Latin accents."""
+    return F.filter(F.split(F.translate(F.lower(text), ACCENTED, PLAIN), r"[^\p{L}\p{N}]+"), lambda x: x != "")
+
+
+#: How names are written, in order. Word borders are those of ASCII.
+NAMES = (
+    ("sqlite-vec", "sqlite-vec"), ("sqlite(?!-vec)", "SQLite"), ("postgres(?:ql)?", "PostgreSQL"), ("mysql", "MySQL"), ("javascript", "JavaScript"), ("typescript", "TypeScript"),
+    (r"nodejs|node\.js", "Node.js"), ("bun", "Bun"), ("fastify", "Fastify"), ("zod", "Zod"), ("vitest", "Vitest"), ("github", "GitHub"), ("windows", "Windows"), ("macos|mac os x", "macOS"), ("linux", "Linux"),
+)
+SPACE = r"[\s\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
+
+
+def trimmed(text: Column) -> Column:
+    return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
+
+
+def collapsed(text: Column) -> Column:
+    return F.regexp_replace(trimmed(text), f"{SPACE}+", " ")
+
+
+def normalized(text: Column) -> Column:
+    out = collapsed(text)
+    for pattern, name in NAMES:
+        out = F.regexp_replace(out, f"(?i)(?<![A-Za-z0-9_])(?:{pattern})(?![A-Za-z0-9_])", name)
+    return out
+
+
+def reduce_key(text: Column) -> Column:
+    return F.sha2(F.regexp_replace(F.lower(trimmed(text)), f"{SPACE}+", " "), 256)
+
+
+def cleaned(text: Column) -> Column:
+    """Line ends, trailing white space, runs of three or more equal lines, runs of empty lines, and the ends put right."""
+    lines = F.transform(F.split(F.regexp_replace(text, "\r\n?", "\n"), "\n"), lambda x: F.regexp_replace(x, f"{SPACE}+$", ""))
+    step = lambda s, x: F.when(
+        (x == s["last"]) & (x != ""), F.struct(s["out"].alias("out"), x.alias("last"), (s["run"] + 1).alias("run"))
+    ).otherwise(F.struct(F.concat(s["out"], _flushed(s)).alias("out"), x.alias("last"), F.lit(1).alias("run")))
+    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(None).cast("string").alias("last"), F.lit(0).alias("run"))
+    kept = F.aggregate(lines, start, step, lambda s: F.concat(s["out"], _flushed(s)))
+    return trimmed(F.regexp_replace(F.array_join(kept, "\n"), "\n{3,}", "\n\n"))
+
+
+def _flushed(s: Column) -> Column:
+    return F.when(s["run"] == 0, F.array().cast("array<string>")).when(s["run"] >= 3, F.array(s["last"])).otherwise(F.array_repeat(s["last"], s["run"]))
+
+
+def flattened_turns(content: Column) -> Column:
+    """role: text lines of a JSON array of turns; whatever else stays as it is."""
+    parsed = F.from_json(content, "array<struct<role:string,text:string>>")
+    lines = F.transform(parsed, lambda t: F.concat(t["role"], F.lit(": "), t["text"]))
+    good = parsed.isNotNull() & (F.size(parsed) > 0) & F.forall(parsed, lambda t: t["role"].isNotNull() & t["text"].isNotNull())
+    return F.when(good, F.array_join(lines, "\n")).otherwise(content)
+
+
+#: Prompts that ask for memory, and small talk.
+ASKS = r"(?i)(?<![A-Za-z0-9_])(remember|recall|last time|previously|we decided|as before|earlier session|what did (i|we))(?![A-Za-z0-9_])"
+SMALLTALK = r"(?i)^\s*(hi|hey|hello|thanks?|thank you|ok(ay)?|yes|no|cool|nice|lol|good (morning|evening|night)|how are you)\s*[!.?]*\s*$"
+
+
+def entropy(token: Column) -> Column:
+    """Shannon entropy of a token's characters, in bits."""
+    characters = F.filter(F.split(token, ""), lambda c: c != "")
+    n = F.size(characters)
+    counts = F.transform(F.array_distinct(characters), lambda c: F.size(F.filter(characters, lambda x: x == c)) / n)
+    return F.aggregate(counts, F.lit(0.0), lambda total, p: total - p * F.log2(p))

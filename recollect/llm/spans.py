@@ -7,7 +7,7 @@ other one covers are removed.
 
 A sentence ends with . ! or ? before white space or the end, or with a line; what has no words belongs
 to the sentence before. Null or empty texts have no sentences, and their text stays as it is. Rows of one
-doc_id count as one document at equal places; rows without doc_id are never cut. Extra columns stay with clean(), a
+doc_id count as one document at equal places; rows without doc_id are neither compared nor cut. Extra columns stay with clean(), a
 table without rows gives none.
 """
 
@@ -95,7 +95,7 @@ def spans(docs: DataFrame) -> DataFrame:
 
 def repeated(docs: DataFrame) -> DataFrame:
     """doc_id and covered, the spans (start, end) of each document that are not the first of their kind."""
-    found = spans(docs)
+    found = spans(docs.where("doc_id is not null"))
     often = found.groupBy("hash").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     later = found.join(often, "hash").where((F.col("doc_id") != F.col("first.doc_id")) | (F.col("start") != F.col("first.start")))
     return later.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("covered"))

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from recollect.llm import arrow
-from recollect.session import cut
+from recollect.session import written
 
 SEED = 24
 #: Different contexts of one anchor that one task takes; their columns and orders need 50 MB.
@@ -167,9 +167,9 @@ def _ranges(found: np.ndarray, before: int, length: int) -> list[list[int]]:
 
 
 def contexts(texts: DataFrame, chosen: DataFrame, length: int) -> DataFrame:
-    """anchor, context, n and the bytes of each chosen context (key, anchor, context, n, place), with the bytes missing before and after."""
+    """anchor, context, n, hot and the bytes of each chosen context (key, anchor, context, n, hot, place), with the bytes missing before it."""
     before = length - SEED
-    wanted = chosen.groupBy("key").agg(F.collect_list(F.struct("anchor", "context", "n", "place")).alias("wanted"))
+    wanted = chosen.groupBy("key").agg(F.collect_list(F.struct("anchor", "context", "n", "hot", "place")).alias("wanted"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -182,11 +182,11 @@ def contexts(texts: DataFrame, chosen: DataFrame, length: int) -> DataFrame:
                 place = rows.field("place").to_numpy() + at[text]
                 left, right = np.maximum(place - before, at[text]), np.minimum(place + length, at[text + 1])
                 yield pa.RecordBatch.from_arrays(
-                    [*[rows.field(c) for c in ("anchor", "context", "n")], pa.array((before - (place - left)).astype(np.int32)), pa.array([data[a:b] for a, b in zip(left, right, strict=True)], pa.binary())],
-                    names=["anchor", "context", "n", "missing", "body"],
+                    [*[rows.field(c) for c in ("anchor", "context", "n", "hot")], pa.array((before - (place - left)).astype(np.int32)), pa.array([data[a:b] for a, b in zip(left, right, strict=True)], pa.binary())],
+                    names=["anchor", "context", "n", "hot", "missing", "body"],
                 )
 
-    return texts.select("key", "text").join(wanted, "key").select("text", "wanted").mapInArrow(run, "anchor long, context long, n long, missing int, body binary")
+    return texts.select("key", "text").join(wanted, "key").select("text", "wanted").mapInArrow(run, "anchor long, context long, n long, hot boolean, missing int, body binary")
 
 
 def _matrix(missing: np.ndarray, bodies: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -260,14 +260,16 @@ def clean(docs: DataFrame, length: int = 200) -> DataFrame:
     texts = keyed(docs)
     rows = anchors(texts, length)
     often = rows.groupBy("anchor").agg(F.count("*").alias("of_anchor")).where("of_anchor > 1").drop("of_anchor")
-    rows = cut(rows.join(often, "anchor"))
+    rows = written(rows.join(often, "anchor"))
     distinct = rows.groupBy("anchor", "context").agg(F.count("*").alias("n"), F.min(F.struct("key", "place")).alias("first"))
-    distinct = cut(distinct.select("anchor", "context", "n", "first.key", "first.place"))
-    many = distinct.groupBy("anchor").agg(F.count("*").alias("contexts")).where(F.col("contexts") > HOT).select("anchor")
-    usual = contexts(texts, distinct.join(many, "anchor", "left_anti"), length)
-    covered = cut(ordered(usual, length))
+    distinct = written(distinct.select("anchor", "context", "n", "first.key", "first.place"))
+    many = written(distinct.groupBy("anchor").agg(F.count("*").alias("contexts")).where(F.col("contexts") > HOT).select("anchor", F.lit(True).alias("hot")))
+    # Both ways read their contexts from one plan, so that the texts are dealt out once for both.
+    bodies = contexts(texts, distinct.join(many, "anchor", "left"), length)
+    covered = ordered(bodies.where("hot is null"), length)
     if not many.isEmpty():
-        covered = covered.union(cut(counted(contexts(texts, distinct.join(many, "anchor", "left_semi"), length), length)))
+        covered = covered.union(counted(bodies.where("hot"), length))
+    covered = written(covered)
     spans = rows.join(covered, ["anchor", "context"]).groupBy("key").agg(F.collect_list(F.struct("place", "covered")).alias("spans"))
     joined = texts.join(spans, "key", "left").select("doc_id", "text", "spans")
 

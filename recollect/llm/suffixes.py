@@ -34,6 +34,8 @@ SEED = 24
 HOT = 32_768
 #: Contexts that a task orders at a time.
 TOGETHER = 32_768
+#: Contexts whose symbols are put in their columns at a time.
+FILLED = 2048
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 NONE = 256
@@ -193,9 +195,11 @@ def _matrix(missing: np.ndarray, bodies: list[bytes], width: int) -> tuple[np.nd
     """The symbols of contexts in columns, and which starts of strings lie within them."""
     sizes = np.array([len(b) for b in bodies], np.int64)
     columns = np.full((len(bodies), width), NONE, np.int16)
-    row = np.repeat(np.arange(len(bodies)), sizes)
-    place = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(missing, sizes)
-    columns[row, place] = np.frombuffer(b"".join(bodies), np.uint8)
+    for start in range(0, len(bodies), FILLED):
+        own = sizes[start : start + FILLED]
+        row = np.repeat(np.arange(start, start + len(own)), own)
+        place = np.arange(int(own.sum())) - np.repeat(np.cumsum(own) - own, own) + np.repeat(missing[start : start + FILLED], own)
+        columns[row, place] = np.frombuffer(b"".join(bodies[start : start + FILLED]), np.uint8)
     return columns, sizes
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import os
 import tempfile
+import time
 import uuid
 import zipfile
 
@@ -53,6 +54,8 @@ def written(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     schema = df.schema
     del df
+    # Listeners hold the plan of a query until they have heard of its end; collected too early, its shuffle files would stay.
+    time.sleep(1)
     _collect_garbage(spark)
     return spark.read.schema(schema).parquet(path)
 

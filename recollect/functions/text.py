@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 ACCENTED, PLAIN = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"
 
@@ -74,3 +75,17 @@ def entropy(token: Column) -> Column:
     n = F.size(characters)
     counts = F.transform(F.array_distinct(characters), lambda c: F.size(F.filter(characters, lambda x: x == c)) / n)
     return F.aggregate(counts, F.lit(0.0), lambda total, p: total - p * F.log2(p))
+
+
+def _sorted_fields(value: Column, kind: T.DataType) -> Column:
+    if isinstance(kind, T.StructType):
+        fields = F.struct(*[_sorted_fields(value[f.name], f.dataType).alias(f.name) for f in sorted(kind.fields, key=lambda f: f.name)])
+        return F.when(value.isNotNull(), fields)
+    if isinstance(kind, T.ArrayType):
+        return F.transform(value, lambda x: _sorted_fields(x, kind.elementType))
+    return value
+
+
+def stable_json(value: Column, kind: T.DataType) -> Column:
+    """JSON of a nested value with the keys in order at every level; nulls stay as such."""
+    return F.to_json(_sorted_fields(value, kind), {"ignoreNullFields": "false"})

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from recollect.functions import scoring, text
-from recollect.operators import chunks, memory, redact, search
+from recollect.operators import chunks, memory, proposals, redact, search
 from recollect.session import ship
 from recollect.sources import tables as t
 
@@ -372,6 +372,58 @@ def retention(s, d):
     return t.memories(s, d).withColumn("n", F.row_number().over(Window.partitionBy("repo").orderBy(F.desc("created_at"), "id"))).where("n <= 3").select("repo", "id")
 
 
+PAIR = "least({0}.winner, {0}.loser) = least(prop.winner, prop.loser) AND greatest({0}.winner, {0}.loser) = greatest(prop.winner, prop.loser)"
+
+
+@query(f"SELECT id, winner, loser FROM prop WHERE NOT EXISTS (SELECT 1 FROM prop q WHERE q.id % 3 = 0 AND {PAIR.format('q')})")
+def new_proposals(s, d):
+    pairs = t.proposals(s, d)
+    pending = pairs.where("id % 3 = 0").select(F.col("loser").alias("winner"), F.col("winner").alias("loser"))
+    return proposals.unproposed(pairs, pending).select("id", "winner", "loser")
+
+
+@query("SELECT prop.id AS id, winner, loser, w.text AS winner_text, l.text AS loser_text FROM prop LEFT JOIN mem w ON w.id = winner LEFT JOIN mem l ON l.id = loser")
+def proposal_texts(s, d):
+    return proposals.with_texts(t.proposals(s, d), t.memories(s, d)).select("id", "winner", "loser", "winner_text", "loser_text")
+
+
+@query("SELECT seq, proposal, CASE WHEN prop.id IS NULL THEN 'missing' WHEN seq = min(seq) OVER (PARTITION BY proposal) THEN action ELSE 'conflict' END AS outcome FROM verdict LEFT JOIN prop ON prop.id = proposal")
+def proposal_decisions(s, d):
+    return proposals.decided(t.proposals(s, d), t.decisions(s, d))
+
+
+@query()
+def consolidation_merges(s, d):
+    pairs = memory.near_pairs(t.vectors(s, d), 0.3, 0.3, 100_000)
+    return proposals.greedy_merges(pairs).select("a", "b", r6("similarity"))
+
+
+@query(f"SELECT session_id, {t.START_MS} + min(turn) * 1000 AS started_at, (max({{'o': turn, 'v': role}}) FILTER (WHERE turn % 3 = 0)).v AS project, (max({{'o': turn, 'v': 'agent' || turn}}) FILTER (WHERE role = 'assistant')).v AS agent FROM turn GROUP BY session_id")
+def session_upserts(s, d):
+    agent, project = F.when(F.col("role") == "assistant", F.concat(F.lit("agent"), F.col("turn"))), F.when(F.col("turn") % 3 == 0, F.col("role"))
+    ingests = t.turns(s, d).select("session_id", F.col("turn").alias("ord"), (F.lit(t.START_MS) + F.col("turn") * 1000).alias("started_at"), project.alias("project"), agent.alias("agent"))
+    return proposals.upsert_sessions(ingests, ["project", "agent"])
+
+
+@query("""SELECT type, line, content FROM (SELECT type, content, row_number() OVER (PARTITION BY type ORDER BY n, k) AS line FROM (SELECT type, n, unnest(ls) AS content, generate_subscripts(ls, 1) AS k
+FROM (SELECT type, row_number() OVER (PARTITION BY type ORDER BY created_at, id) AS n, string_split('- [' || id || '] ' || coalesce(text, ''), chr(10)) AS ls FROM mem WHERE valid_to IS NULL))) WHERE line BETWEEN 2 AND 40""")
+def memory_view(s, d):
+    return proposals.view(t.memories(s, d), 2, 40)
+
+
+@query("""SELECT type, sum((times > 0)::INT)::BIGINT AS memories, max(times) AS most, CASE WHEN sum((times > 0)::INT) = 0 THEN 'not found' WHEN sum((times > 0)::INT) > 1 THEN 'several memories' WHEN max(times) > 1 THEN 'several times' ELSE 'good' END AS status
+FROM (SELECT type, coalesce(((length(text) - length(replace(text, 'stupid', ''))) // 6)::BIGINT, 0) AS times FROM mem WHERE valid_to IS NULL) GROUP BY type""")
+def replace_targets(s, d):
+    return proposals.replace_targets(t.memories(s, d), "stupid")
+
+
+@query("SELECT session_id, turn, sha256(json_object('meta', json_object('agent', NULL, 'session', session_id), 'role', role, 'text', text, 'turn', turn)::VARCHAR) AS body_hash FROM turn")
+def body_hashes(s, d):
+    body = F.struct("turn", "text", "role", F.struct(F.col("session_id").alias("session"), F.lit(None).cast("string").alias("agent")).alias("meta"))
+    rows = t.turns(s, d).select("session_id", "turn", body.alias("body"))
+    return rows.select("session_id", "turn", F.sha2(text.stable_json(F.col("body"), rows.schema["body"].dataType), 256).alias("body_hash"))
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

@@ -61,6 +61,18 @@ def spend(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select(F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"), F.col("o_totalprice").alias("usd"))
 
 
+def proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of memories proposed for a merge, one per vector."""
+    n = F.col("vec_id")
+    rows = read(spark, sf_dir, "embeddings").select(n.alias("id"), n.cast("string").alias("winner"), ((n * 7 + 3) % 400).cast("string").alias("loser"))
+    return rows.where("winner <> loser")
+
+
+def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    action = F.when(F.col("event_id") % 2 == 0, "accept").otherwise("reject")
+    return read(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), F.col("user_id").alias("proposal"), action.alias("action"))
+
+
 #: The same relations for DuckDB, as the start of a WITH clause.
 SQL = f"""
 mem AS (SELECT CAST(doc_id AS VARCHAR) AS id, (['decision','fact','lesson','command','todo','note','event'])[doc_id % 7 + 1] AS type, text,
@@ -71,5 +83,7 @@ ev AS (SELECT event_id AS seq, CASE WHEN family IS NOT NULL THEN 'usefulness' WH
   (['search','pack','tool'])[k % 3 + 1] AS surface, (['personal','team','org'])[k % 3 + 1] AS scope, (epoch_us(ts) // 1000) AS created_at, CASE WHEN event_id % 4 = 0 THEN (epoch_us(ts) // 1000) END AS synced_at FROM ev0),
 job AS (SELECT o_orderkey AS id, CASE WHEN o_orderstatus = 'O' THEN 'pending' WHEN o_orderstatus = 'F' THEN 'completed' WHEN o_orderkey % 2 = 0 THEN 'failed' ELSE 'poison' END AS state, CAST(o_orderkey % 4 AS INTEGER) AS attempts, (epoch_us(o_orderdate) // 1000) AS created_at FROM orders),
 spend AS (SELECT strftime(o_orderdate, '%Y-%m-%d') AS day, o_totalprice AS usd FROM orders),
+prop AS (SELECT vec_id AS id, CAST(vec_id AS VARCHAR) AS winner, CAST((vec_id * 7 + 3) % 400 AS VARCHAR) AS loser FROM embeddings WHERE vec_id <> (vec_id * 7 + 3) % 400),
+verdict AS (SELECT event_id AS seq, user_id AS proposal, CASE WHEN event_id % 2 = 0 THEN 'accept' ELSE 'reject' END AS action FROM events),
 turn AS (SELECT CAST(conv_id AS VARCHAR) AS session_id, turn, role, text FROM conversations)
 """

@@ -1,12 +1,13 @@
 """Small cases of the memory operators."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from recollect.functions import scoring, text
-from recollect.operators import chunks, memory, redact, search
+from recollect.operators import chunks, memory, proposals, redact, search
 from recollect.streaming import ingest
 
 
@@ -97,3 +98,29 @@ def test_stream_replay_adds_nothing(spark, tmp_path):
         (source / f"{n}.json").write_text(line + "\n" + line.replace("v1.0", "v01.0").replace("keep", "drop") + "\n")
         ingest.start(spark, str(source), str(target), str(tmp_path / f"check{n}")).awaitTermination(60)
     assert [r["text"] for r in spark.read.parquet(str(target)).collect()] == ["keep this"]
+
+
+def test_greedy_merges(spark):
+    q = random.Random(3)
+    pairs = sorted({(a, b): q.choice([0.5, 0.6, 0.7, q.random()]) for a, b in [sorted(q.sample(range(40), 2)) for _ in range(150)]}.items(), key=lambda x: (-x[1], x[0]))
+    used, wanted = set(), set()
+    for (a, b), _ in pairs:
+        if not {a, b} & used:
+            used |= {a, b}
+            wanted.add((a, b))
+    frame = spark.createDataFrame([(a, b, x) for (a, b), x in pairs], "a long, b long, similarity double")
+    assert {(r["a"], r["b"]) for r in proposals.greedy_merges(frame).collect()} == wanted
+    assert proposals.greedy_merges(frame.where("false")).count() == 0
+
+
+def test_upserts_keep_what_is_known(spark):
+    rows = [("s", 1, 10, "p", None), ("s", 2, 20, None, "x"), ("s", 3, 30, None, "y"), ("t", 1, 5, None, None)]
+    frame = spark.createDataFrame(rows, "session_id string, ord int, started_at long, project string, agent string")
+    assert sorted(tuple(r) for r in proposals.upsert_sessions(frame, ["project", "agent"]).collect()) == [("s", 10, "p", "y"), ("t", 5, None, None)]
+
+
+def test_view_counts_lines_not_memories(spark):
+    rows = [("1", "fact", "a\nb", 1, None), ("2", "fact", None, 2, None), ("3", "fact", "c", 3, 9), ("4", "fact", "d", 4, None)]
+    frame = spark.createDataFrame(rows, "id string, type string, text string, created_at long, valid_to long")
+    assert [(r["line"], r["content"]) for r in proposals.view(frame, 2, 3).orderBy("line").collect()] == [(2, "b"), (3, "- [2] ")]
+    assert proposals.replace_targets(frame, "d").first()["status"] == "good"

@@ -17,7 +17,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spans.clean(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return spans.clean(table(spark, sf_dir, "documents").select("doc_id", "text"), both_ways=True)
 
 
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,8 @@
 """Substring dedup by sliding sentence spans.
 
 A span starts at every sentence and takes at least two sentences, and so many that it has LEAST_WORDS words; a text too short
-for that is one span as a whole. Spans are compared by a 64-bit hash of their words, A-Z in lower case, without punctuation.
+for that is one span as a whole. With both_ways the shortest such span that ends at every sentence counts too: together they
+cover every repeated run of two sentences and LEAST_WORDS words to its end, forward spans alone leave its last sentences. Spans are compared by a 64-bit hash of their words, A-Z in lower case, without punctuation.
 Of equal spans the first stays, the one of the smallest (doc_id, place); sentences that any
 other one covers are removed.
 
@@ -59,8 +60,8 @@ def sentences(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return begin, hashes, counts, sentence_at
 
 
-def runs(hashes: np.ndarray, counts: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First sentence, end and hash of each span."""
+def runs(hashes: np.ndarray, counts: np.ndarray, at: np.ndarray, both_ways: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First sentence, end and hash of each span, each span once."""
     total = np.concatenate(([0], np.cumsum(counts)))
     start = np.arange(len(hashes))
     text = np.searchsorted(at, start, "right") - 1
@@ -73,11 +74,17 @@ def runs(hashes: np.ndarray, counts: np.ndarray, at: np.ndarray) -> tuple[np.nda
     power[0] = back[0] = 1
     power, back = np.multiply.accumulate(power), np.multiply.accumulate(back)
     sums = np.concatenate((np.zeros(1, arrow.U), np.cumsum(hashes * power[:-1], dtype=arrow.U)))
-    start, end = start[good], end[good]
+    start, end, forward = start[good], end[good], end
+    if both_ways:
+        stop = np.arange(1, len(hashes) + 1)
+        begin = np.minimum(np.searchsorted(total, total[1:] - LEAST_WORDS, "right") - 1, stop - LEAST_SENTENCES)
+        more = begin >= at[text]
+        more[more] = forward[begin[more]] != stop[more]
+        start, end = np.concatenate((start, begin[more])), np.concatenate((end, stop[more]))
     return start, end, arrow.mix((sums[end] - sums[start]) * back[start] + (end - start).astype(arrow.U))
 
 
-def spans(docs: DataFrame) -> DataFrame:
+def spans(docs: DataFrame, both_ways: bool = False) -> DataFrame:
     """doc_id, start, end (sentences) and hash of every span."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,7 +92,7 @@ def spans(docs: DataFrame) -> DataFrame:
             for part in arrow.slices(batch):
                 data, at = arrow.text_bytes(part.column("text"))
                 _, hashes, counts, sentence_at = sentences(data, at)
-                start, end, keys = runs(hashes, counts, sentence_at)
+                start, end, keys = runs(hashes, counts, sentence_at, both_ways)
                 text = np.searchsorted(sentence_at, start, "right") - 1
                 zero = sentence_at[text]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(text)), pa.array((start - zero).astype(np.int32)), pa.array((end - zero).astype(np.int32)), arrow.longs(keys)], names=["doc_id", "start", "end", "hash"])
@@ -93,18 +100,18 @@ def spans(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, T.StructType([docs.schema["doc_id"], *T._parse_datatype_string("start int, end int, hash long").fields]))
 
 
-def repeated(docs: DataFrame) -> DataFrame:
+def repeated(docs: DataFrame, both_ways: bool = False) -> DataFrame:
     """doc_id and covered, the spans (start, end) of each document that are not the first of their kind."""
-    found = spans(docs.where("doc_id is not null"))
+    found = spans(docs.where("doc_id is not null"), both_ways)
     often = found.groupBy("hash").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     later = found.join(often, "hash").where((F.col("doc_id") != F.col("first.doc_id")) | (F.col("start") != F.col("first.start")))
     return later.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("covered"))
 
 
-def clean(docs: DataFrame) -> DataFrame:
+def clean(docs: DataFrame, both_ways: bool = False) -> DataFrame:
     """All columns, text without its repeated sentences, and n_sentences, n_removed and removed, the runs (start, end) of sentences that went."""
     docs = docs.select([docs[c] for c in docs.columns if c not in ("n_sentences", "n_removed", "removed", "covered")])
-    joined = docs.join(repeated(docs), "doc_id", "left").select(*docs.columns, "covered")
+    joined = docs.join(repeated(docs, both_ways), "doc_id", "left").select(*docs.columns, "covered")
     fields = [*docs.schema.fields, *T._parse_datatype_string("n_sentences long, n_removed long, removed array<struct<start:int,end:int>>").fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -157,6 +157,23 @@ def test_spans(spark, rows):
         assert not (r["n_removed"] and r["n_removed"] == r["n_sentences"]) or r["text"] == ""
 
 
+def test_spans_cover_all_runs(spark, rows):
+    tail = [(800, "Own start. " + "One two three four five six seven eight nine ten. " * 2 + "Last one here. Very last. Other end."), (801, "Ten more. " + "One two three four five six seven eight nine ten. " * 2 + "Last one here. Very last. No more.")]
+    given = [*rows, *tail]
+    first, covered, texts = {}, collections.defaultdict(set), {}
+    for i, t in sorted({(i, t) for i, t in given if i is not None and t}):
+        s = [tuple(WORD.findall(x)) for x in re.split(r"(?<=[.!?])(?=[ \t\n\x0b\x0c\r])|(?<=\n)", t.translate(LOW))]
+        texts[i] = s = [x for x in s if x]
+        for a in range(len(s)):
+            for b in range(a + 1, min(len(s), a + 40) + 1):
+                long = b - a >= 2 and sum(map(len, s[a:b])) >= 20
+                if (long or (a, b) == (0, len(s))) and first.setdefault(tuple(s[a:b]), (i, a)) != (i, a):
+                    covered[i] |= set(range(a, b))
+    got = {r["doc_id"]: {x for p in r["removed"] for x in range(p["start"], p["end"])} for r in spans.clean(table(spark, given), True).where("doc_id is not null").collect()}
+    assert got == {i: covered[i] for i in dict(given) if i is not None}
+    assert got[801] >= {3, 4} and not got[800] - {2}
+
+
 def test_decontamination(spark):
     passages = [prose(100 + i, 25 + i) for i in range(6)]
     docs = [(i, f"{prose(i, 80)} {passages[i % 6] if i % 2 else ''} {prose(50 + i, 40)}") for i in range(20)] + [(90, None), (91, ""), (92, passages[0]), (None, passages[1])]

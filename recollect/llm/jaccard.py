@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from recollect.llm import arrow
 from recollect.llm.graph import components
-from recollect.session import cut
+from recollect.session import cut, numbered
 
 #: Fragments of the global order of n-grams.
 FRAGMENTS = 4
@@ -216,6 +216,19 @@ def join(docs: DataFrame, k: int, percent: int) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The documents whose doc_id names their component; rows of one doc_id stay once. All columns stay."""
-    kept = join(docs, k, percent).where("doc_id = component_id or doc_id is null").select("doc_id").distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi").dropDuplicates(["doc_id"])
+    """The documents whose doc_id names their component, equal rows of one doc_id once, and all rows without doc_id. All columns stay.
+
+    Different texts of one doc_id are documents of their own, in the order of (doc_id, digest of the text)."""
+    named = docs.where("doc_id is not null")
+    digest = F.coalesce(F.md5("text"), F.lit(""))
+    short = F.xxhash64("text")
+    # Numbering takes the texts through one more shuffle, so it is done only where a doc_id has several.
+    if named.groupBy("doc_id").agg(F.min(short).alias("low"), F.max(short).alias("high")).where("low != high").isEmpty():
+        kept = join(named, k, percent).where("doc_id = component_id").select("doc_id").distinct()
+        own = named.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    else:
+        texts = numbered(named.select("doc_id", digest.alias("_digest")).distinct(), ["doc_id", "_digest"], "_number")
+        keyed = named.withColumn("_digest", digest).join(texts, ["doc_id", "_digest"])
+        kept = join(keyed.select(F.col("_number").alias("doc_id"), "text"), k, percent).where("doc_id = component_id").select(F.col("doc_id").alias("_number")).distinct()
+        own = keyed.join(kept, "_number", "left_semi").dropDuplicates(["_number"])
+    return own.select(*docs.columns).union(docs.where("doc_id is null"))

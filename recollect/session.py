@@ -8,8 +8,14 @@ import tempfile
 import time
 import uuid
 import zipfile
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def local_session(cpus: int | str = 8, partitions: int = 8) -> SparkSession:
@@ -60,6 +66,25 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def numbered(df: DataFrame, order: list[str], name: str, start: int = 1) -> DataFrame:
+    """All rows with their number in that order, which must be one without ties: ranges of it are counted, and each goes on from those before."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = cut(df.repartitionByRange(parts, *order).sortWithinPartitions(*order))
+    counts = {r["part"]: r["n"] for r in rows.groupBy(F.spark_partition_id().alias("part")).agg(F.count("*").alias("n")).collect()}
+    before, n = {}, start
+    for part in sorted(counts):
+        before[part] = n
+        n += counts[part]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = before.get(TaskContext.get().partitionId(), start)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n + np.arange(batch.num_rows))], names=[*batch.schema.names, name])
+            n += batch.num_rows
+
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(name, T.LongType(), False)]))
+
+
 def _collect_garbage(spark: SparkSession) -> None:
     gc.collect()
     spark.sparkContext._jvm.System.gc()

@@ -97,6 +97,17 @@ def test_jaccard_blocks(spark, monkeypatch):
     assert {r["component_id"] for r in jaccard.join(table(spark, near), 4, 85).collect()} == {0}
 
 
+def test_one_of_each_keeps_rows_without_doc_id_and_texts_of_one_doc_id(spark):
+    a, b, c = prose(1, 100), prose(2, 90), prose(3, 80)
+    alone = [(None, a), (None, b), (None, b), (None, None), (None, "")]
+    once = [(1, a), (2, a + " end"), (3, b), (3, b), (4, None)]
+    assert sorted([(r["doc_id"], r["text"]) for r in jaccard.one_of_each(table(spark, once + alone)).collect()], key=str) == sorted([(1, a), (3, b), (4, None), *alone], key=str)
+    shared = [(1, a), (2, a + " end"), (2, b), (2, b), (2, c), (3, c), (4, None), (4, "")]
+    got = jaccard.one_of_each(table(spark, shared + alone))
+    assert got.columns == ["doc_id", "text", "lang"]
+    assert sorted([(r["doc_id"], r["text"]) for r in got.collect()], key=str) == sorted([(1, a), (2, b), (2, c), (4, None), (4, ""), *alone], key=str)
+
+
 def test_components(spark):
     q = random.Random(2)
     edges = [(q.randrange(50), q.randrange(50)) for _ in range(25)] + [(i, i + 1) for i in range(100, 130)]

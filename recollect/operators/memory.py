@@ -2,11 +2,23 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from recollect.functions import scoring, text
+from recollect.llm import arrow
+from recollect.session import cut
+
+#: Vectors in a block of near_pairs().
+BLOCK = 512
 
 #: Headings of a pack.
 HEADINGS = {"decision": "Decisions", "lesson": "Lessons", "fact": "Facts", "command": "Commands", "todo": "Todos", "note": "Notes", "event": "Events"}
@@ -120,15 +132,80 @@ def reduce_atoms(atoms: DataFrame) -> DataFrame:
     return keyed.withColumns({"n": F.row_number().over(best), "place": first}).where("n = 1").drop("n", "ord")
 
 
-def near_pairs(vectors: DataFrame, merge: float, propose: float, most: int) -> DataFrame:
-    """Pairs of a repo's vectors by cosine: merge or propose. Repos with more than `most` vectors are passed over, as the rule says."""
-    sizes = vectors.groupBy("repo").agg(F.count("*").alias("n")).where(F.col("n") <= most).drop("n")
-    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    rows = vectors.join(sizes, "repo").withColumn("norm", norm)
-    a, b = rows.select("repo", F.col("id").alias("a"), F.col("embedding").alias("x"), F.col("norm").alias("p")), rows.select("repo", F.col("id").alias("b"), F.col("embedding").alias("y"), F.col("norm").alias("q"))
-    dot = F.aggregate(F.zip_with("x", "y", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    pairs = a.join(b, "repo").where("a < b").withColumn("similarity", dot / (F.col("p") * F.col("q")))
-    return pairs.where(F.col("similarity") >= propose).select("repo", "a", "b", "similarity", F.when(F.col("similarity") >= merge, "merge").otherwise("propose").alias("action"))
+def near_pairs(vectors: DataFrame, merge: float, propose: float, most: int | None = None) -> DataFrame:
+    """Pairs of a repo's vectors by cosine: merge or propose. Vectors without a norm have none, nor do those of different lengths.
+
+    Exact: vectors lie in blocks by their angle to one vector of the repo, and as angles obey the triangle inequality, two
+    blocks further apart than the angle of `propose` hold no pair. Each other pair of blocks is compared as a task of its own.
+    With `most`, repos with more vectors are passed over; oversize_groups() names them."""
+    if most is not None:
+        vectors = vectors.join(oversize_groups(vectors, most), "repo", "left_anti")
+    blocks = cut(_blocks(vectors))
+    left, right = (blocks.select("repo", "length", *[F.col(c).alias(f"{c}_{side}") for c in ("block", "low", "high")]) for side in "ab")
+    reach = math.acos(max(-1.0, min(1.0, propose))) + 1e-6
+    near = (F.col("block_a") <= F.col("block_b")) & (F.col("low_a") - F.col("high_b") <= reach) & (F.col("low_b") - F.col("high_a") <= reach)
+    tasks = left.join(right, ["repo", "length"]).where(near).select("block_a", "block_b")
+    held = [blocks.select("repo", "length", *[F.col(c).alias(f"{c}_{side}") for c in ("block", "ids", "norms", "values")]) for side in "ab"]
+    tasks = tasks.join(held[0], "block_a").join(held[1].drop("repo", "length"), "block_b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1)
+                (p, x), (q, y) = ((np.frombuffer(row.column(f"norms_{s}")[0].as_py()), np.frombuffer(row.column(f"values_{s}")[0].as_py()).reshape(-1, row.column("length")[0].as_py())) for s in "ab")
+                ids = [row.column(f"ids_{s}")[0].values for s in "ab"]
+                a, b = np.nonzero(x @ y.T / np.outer(p, q) >= propose - 1e-9)
+                if row.column("block_a")[0] == row.column("block_b")[0]:
+                    a, b = a[a < b], b[a < b]
+                # The sum in the order of the elements, as one by one.
+                dot = np.zeros(len(a))
+                for k in range(x.shape[1]):
+                    dot += x[a, k] * y[b, k]
+                similarity = dot / (p[a] * q[b])
+                good = similarity >= propose
+                a, b, similarity = a[good], b[good], similarity[good]
+                yield pa.RecordBatch.from_arrays([pa.array([row.column("repo")[0].as_py()] * len(a), row.column("repo").type), ids[0].take(pa.array(a)), ids[1].take(pa.array(b)), pa.array(similarity)], names=["repo", "x", "y", "similarity"])
+
+    repo, item = vectors.schema["repo"].dataType, vectors.schema["id"].dataType
+    schema = T.StructType([T.StructField("repo", repo), T.StructField("x", item), T.StructField("y", item), T.StructField("similarity", T.DoubleType())])
+    pairs = tasks.repartition("block_a", "block_b").mapInArrow(run, schema).where("x != y")
+    return pairs.select("repo", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "similarity", F.when(F.col("similarity") >= merge, "merge").otherwise("propose").alias("action"))
+
+
+def oversize_groups(vectors: DataFrame, most: int) -> DataFrame:
+    """repo and n of the repos that near_pairs() passes over with that limit."""
+    return vectors.groupBy("repo").agg(F.count("*").alias("n")).where(F.col("n") > most)
+
+
+def _blocks(vectors: DataFrame) -> DataFrame:
+    """repo, length, block, low and high (the least and largest angle to the repo's first vector), ids, norms and values of at most BLOCK vectors each."""
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda a, b: a * b), F.lit(0.0), lambda s, a: s + a)
+    rows = vectors.where("repo is not null").select("repo", "id", F.col("embedding").cast("array<double>").alias("embedding"), F.size("embedding").alias("length"))
+    rows = rows.withColumn("norm", F.sqrt(dot("embedding", "embedding"))).where("norm > 0")
+    first = rows.groupBy("repo", "length").agg(F.min_by(F.struct("embedding", "norm"), "id").alias("first"))
+    cosine = dot(F.col("embedding"), F.col("first.embedding")) / F.col("norm") / F.col("first.norm")
+    rows = rows.join(first, ["repo", "length"]).select("repo", "length", "id", "embedding", "norm", F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine))).alias("angle"))
+    parts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartitionByRange(parts, "repo", "length", "angle", "id").sortWithinPartitions("repo", "length", "angle", "id")
+    most = BLOCK
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 40
+        for group in arrow.groups(batches, ["repo", "length"]):
+            for start in range(0, group.num_rows, most):
+                part = group.slice(start, most).combine_chunks()
+                ids, values, angles = (part.column(c).combine_chunks() for c in ("id", "embedding", "angle"))
+                ids, values = (x.chunk(0) if isinstance(x, pa.ChunkedArray) else x for x in (ids, values))
+                kind = pa.list_(ids.type)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("repo").combine_chunks().slice(0, 1), part.column("length").combine_chunks().slice(0, 1), pa.array([number]), pa.array([angles[0].as_py()]), pa.array([angles[len(angles) - 1].as_py()]), pa.array([ids.to_pylist()], kind), pa.array([part.column("norm").to_numpy().tobytes()], pa.binary()), pa.array([values.flatten().to_numpy().tobytes()], pa.binary())],
+                    names=["repo", "length", "block", "low", "high", "ids", "norms", "values"],
+                )
+                number += 1
+
+    item, repo = vectors.schema["id"].dataType, vectors.schema["repo"].dataType
+    schema = T.StructType([T.StructField("repo", repo), *T._parse_datatype_string("length int, block long, low double, high double").fields, T.StructField("ids", T.ArrayType(item)), *T._parse_datatype_string("norms binary, values binary").fields])
+    return rows.mapInArrow(run, schema)
 
 
 def ranking_quality(ranked: DataFrame, graded: DataFrame, k: int) -> DataFrame:

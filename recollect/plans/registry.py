@@ -345,7 +345,7 @@ def redaction_counts(s, d):
 
 @query("SELECT CASE WHEN label_a = 0 THEN 0 ELSE label_a END AS repo, a, b, round(sim, 6) AS similarity, CASE WHEN sim >= 0.3 THEN 'merge' ELSE 'propose' END AS action FROM (SELECT x.label AS label_a, x.vec_id AS a, y.vec_id AS b, list_cosine_similarity(x.embedding::DOUBLE[], y.embedding::DOUBLE[]) AS sim FROM embeddings x JOIN embeddings y ON x.label = y.label AND x.vec_id < y.vec_id) WHERE sim >= 0.2")
 def consolidation_pairs(s, d):
-    return memory.near_pairs(t.vectors(s, d), 0.3, 0.2, 100_000).select("repo", "a", "b", r6("similarity"), "action")
+    return memory.near_pairs(t.vectors(s, d), 0.3, 0.2).select("repo", "a", "b", r6("similarity"), "action")
 
 
 @query("SELECT label AS repo, count(*) AS size, count(*) > 45 AS oversize FROM embeddings GROUP BY label")
@@ -394,7 +394,7 @@ def proposal_decisions(s, d):
 
 @query()
 def consolidation_merges(s, d):
-    pairs = memory.near_pairs(t.vectors(s, d), 0.3, 0.3, 100_000)
+    pairs = memory.near_pairs(t.vectors(s, d), 0.3, 0.3)
     return proposals.greedy_merges(pairs).select("a", "b", r6("similarity"))
 
 

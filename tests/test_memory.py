@@ -124,3 +124,23 @@ def test_view_counts_lines_not_memories(spark):
     frame = spark.createDataFrame(rows, "id string, type string, text string, created_at long, valid_to long")
     assert [(r["line"], r["content"]) for r in proposals.view(frame, 2, 3).orderBy("line").collect()] == [(2, "b"), (3, "- [2] ")]
     assert proposals.replace_targets(frame, "d").first()["status"] == "good"
+
+
+@pytest.mark.parametrize(("propose", "size"), [(0.2, 7), (0.95, 7), (0.2, 512)])
+def test_near_pairs_are_all_found(spark, monkeypatch, propose, size):
+    q = random.Random(3)
+    centers = [[q.gauss(0, 1) for _ in range(6)] for _ in range(5)]
+    rows = [(i, i % 3 % 2, [q.gauss(x, 0.2) for x in centers[i % 5]]) for i in range(120)] + [(200, 0, None), (201, 0, [0.0] * 6), (202, 0, [1.0, 2.0]), (203, 2, [1.0] * 6)]
+    frame = spark.createDataFrame(rows, "id long, repo int, embedding array<float>")
+    held = {r["id"]: r for r in frame.where("id < 200").collect()}
+    wanted = set()
+    for a in held:
+        for b in held:
+            x, y = held[a]["embedding"], held[b]["embedding"]
+            if a < b and held[a]["repo"] == held[b]["repo"] and sum(map(float.__mul__, x, y)) / (sum(map(float.__mul__, x, x)) * sum(map(float.__mul__, y, y))) ** 0.5 >= propose:
+                wanted.add((held[a]["repo"], a, b))
+    monkeypatch.setattr(memory, "BLOCK", size)
+    assert len(wanted) > 100 and {(r["repo"], r["a"], r["b"]) for r in memory.near_pairs(frame, 0.99, propose).collect()} == wanted
+    if propose == 0.95:
+        assert {r["repo"] for r in memory.near_pairs(frame, 0.99, propose, 50).collect()} == {1}
+        assert [tuple(r) for r in memory.oversize_groups(frame, 50).collect()] == [(0, 83)]

@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 
 from recollect.functions import scoring, text
 from recollect.llm import arrow
-from recollect.session import cut
+from recollect.session import cut, numbered
 
 #: Vectors in a block of near_pairs().
 BLOCK = 512
@@ -103,6 +103,12 @@ def insert_new(memories: DataFrame, candidates: DataFrame, erased: DataFrame) ->
     return rows.join(erased.select("hash"), "hash", "left_anti").join(memories.select("hash"), "hash", "left_anti")
 
 
+def appended(memories: DataFrame, events: DataFrame) -> DataFrame:
+    """seq and atom_id of every memory as it is appended to the log: the numbers after its last one, by (created_at, id)."""
+    last = events.agg(F.coalesce(F.max("seq"), F.lit(0)).cast("long")).first()[0]
+    return numbered(memories.select("created_at", "id"), ["created_at", "id"], "seq", last + 1).select("seq", F.col("id").alias("atom_id"))
+
+
 def fold_state(memories: DataFrame, events: DataFrame) -> DataFrame:
     """State after an accepted log (seq, event_type, atom_id, payload_json, created_at): the first ending event sets valid_to, the highest promotion the scope, erased atoms go."""
     rank = lambda c: F.array_position(F.array(F.lit("personal"), F.lit("team"), F.lit("org")), c)

@@ -281,9 +281,8 @@ def why_receipts(s, d):
 
 @query("SELECT row_number() OVER (ORDER BY created_at, id) + (SELECT max(seq) FROM ev) AS seq, id AS atom_id FROM mem WHERE type = 'decision' ORDER BY 1 LIMIT 100")
 def next_sequence(s, d):
-    rows = t.memories(s, d).where("type = 'decision'").orderBy("created_at", "id").limit(100)
-    last = t.memory_events(s, d).agg(F.max("seq").alias("last"))
-    return rows.crossJoin(F.broadcast(last)).select((F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("created_at", "id")) + F.col("last")).alias("seq"), F.col("id").alias("atom_id"))
+    rows = memory.appended(t.memories(s, d).where("type = 'decision'"), t.memory_events(s, d))
+    return rows.orderBy("seq").limit(100)  # The SQL shows the first 100; all are numbered.
 
 
 @query("SELECT atom_id AS id, count(*) AS n FROM ev WHERE NOT EXISTS (SELECT 1 FROM mem WHERE mem.id = ev.atom_id) GROUP BY atom_id")

@@ -144,3 +144,11 @@ def test_near_pairs_are_all_found(spark, monkeypatch, propose, size):
     if propose == 0.95:
         assert {r["repo"] for r in memory.near_pairs(frame, 0.99, propose, 50).collect()} == {1}
         assert [tuple(r) for r in memory.oversize_groups(frame, 50).collect()] == [(0, 83)]
+
+
+def test_every_appended_memory_is_numbered(spark):
+    memories = spark.range(1000).selectExpr("cast(id as string) id", "id * 7919 % 997 created_at")
+    events = spark.createDataFrame([(4,), (41,)], "seq long")
+    wanted = sorted([(r["created_at"], r["id"]) for r in memories.collect()])
+    assert sorted(tuple(r) for r in memory.appended(memories, events).collect()) == [(42 + n, i) for n, (_, i) in enumerate(wanted)]
+    assert memory.appended(memories, events.where("false")).agg(F.min("seq")).first()[0] == 1

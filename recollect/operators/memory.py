@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from recollect.batches import groups
 from recollect.functions import scoring, text
-from recollect.llm import arrow
 from recollect.session import cut, numbered
 
 #: Vectors in a block of near_pairs().
@@ -197,7 +197,7 @@ def _blocks(vectors: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 40
-        for group in arrow.groups(batches, ["repo", "length"]):
+        for group in groups(batches, ["repo", "length"]):
             for start in range(0, group.num_rows, most):
                 part = group.slice(start, most).combine_chunks()
                 ids, values, angles = (part.column(c).combine_chunks() for c in ("id", "embedding", "angle"))

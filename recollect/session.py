@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import gc
 import os
 import tempfile
-import time
 import uuid
 import zipfile
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -33,23 +32,33 @@ def local_session(cpus: int | str = 8, partitions: int = 8) -> SparkSession:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Checkpoints go where spark.checkpoint.dir says; a folder of our own only where it is unset."""
+    """Checkpoints go where spark.checkpoint.dir says; a folder of our own only where it is unset and there is one machine."""
     context = spark.sparkContext
-    if context.getConf().get("spark.checkpoint.dir") is None and context.getCheckpointDir() is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="recollect-checkpoint-"))
+    if context.getConf().get("spark.checkpoint.dir") is not None or context.getCheckpointDir() is not None:
+        return
+    if not context.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="recollect-checkpoint-"))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write the rows to the shared checkpoint folder and go on from there.
+@contextmanager
+def _shuffles_deleted(spark: SparkSession) -> Iterator[None]:
+    """Spark deletes the shuffle files of what runs inside as soon as it ends; they are the larger part of a job's disk."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
-    What led to them is garbage from then on. Collecting it lets Spark delete its shuffle files now, not whenever the
-    driver runs out of memory; at scale they are the larger part of a job's disk."""
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    kept = df.checkpoint(eager=True)
-    del df
-    _collect_garbage(spark)
-    return kept
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write the rows to the shared checkpoint folder and go on from there, in the same partitions."""
+    ensure_checkpoint_dir(df.sparkSession)
+    with _shuffles_deleted(df.sparkSession):
+        # The plan is made anew, as a plan keeps the setting that it was made under.
+        return df.select("*").checkpoint(eager=True)
 
 
 def written(df: DataFrame) -> DataFrame:
@@ -57,13 +66,9 @@ def written(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    schema = df.schema
-    del df
-    # Listeners hold the plan of a query until they have heard of its end; collected too early, its shuffle files would stay.
-    time.sleep(1)
-    _collect_garbage(spark)
-    return spark.read.schema(schema).parquet(path)
+    with _shuffles_deleted(spark):
+        df.select("*").write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def numbered(df: DataFrame, order: list[str], name: str, start: int = 1) -> DataFrame:
@@ -85,11 +90,6 @@ def numbered(df: DataFrame, order: list[str], name: str, start: int = 1) -> Data
     return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(name, T.LongType(), False)]))
 
 
-def _collect_garbage(spark: SparkSession) -> None:
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def ship(spark: SparkSession) -> None:
     """Let the Python workers of every executor import this package, as spark-submit --py-files would."""
     context = spark.sparkContext

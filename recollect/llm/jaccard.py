@@ -7,13 +7,16 @@ each fragment by itself and summed per pair, for the pairs that can link at all:
 1. Equal sets are one representative. Of a set of n the first m in the global order are sampled, m so
    large that two linked sets share at least `need` sampled n-grams. Sets with fewer sampled n-grams that another sample has
    too are out. The same is done with the whole sets that are left, where `need` is percent of n.
-2. Of what it shares with any other a set keeps its rarest n-grams but for need - 1; linked sets have one of those in common. Sets that share such an n-gram, directly or over others, are a cluster. A large cluster is cut into
-   blocks, and each pair of blocks is a task of its own, so that no task sees more than two blocks.
-3. In each task the fragments' overlap matrices are counted, then summed; the links are reduced to a
-   spanning forest, and its components are the answer. No link between different sets is lost.
-
-N-grams are compared by 64-bit hashes. A document without words is empty and links with nothing, as does a null text. A shorter text
-than n words is one n-gram. Rows of one doc_id are one document. Rows without doc_id stay by themselves.
+2. Of what it shares with any other a set keeps its rarest n-grams but for need - 1; linked sets have one of those in common.
+   In STARS rounds each set is paired with the one set that comes first in most of its kept n-grams' lists; the partial overlaps of these
+   pairs are summed, and what links becomes one class. That takes one pair for each set however large a group of near copies is.
+3. Sets that share a kept n-gram with a set of another class have all such partners left to compare. They lie in blocks by class and size, and
+   each pair of blocks is a task of its own, unless both lie in one class or no sizes in them can link. In each task the
+   fragments' overlap matrices are counted, then summed; the links are reduced to a
+   spanning forest, and the components of all links are the answer. No link between different sets is lost.
+
+N-grams are compared by 64-bit hashes, sets by 128 bits. A document without words is empty and links with nothing, as does a null text. A shorter text
+than n words is one n-gram. Rows of one doc_id are one document: what links with any of its texts links with it, but for texts without words. Rows without doc_id stay by themselves.
 Extra columns are dropped. An empty table gives no rows.
 """
 
@@ -26,14 +29,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from recollect.batches import groups
 from recollect.llm import arrow
 from recollect.llm.graph import components
-from recollect.session import cut, numbered
+from recollect.session import cut, numbered, written
 
 #: Fragments of the global order of n-grams.
 FRAGMENTS = 4
 #: Sets in a block of a cluster.
 BLOCK = 256
+#: Rounds of pairs with one partner for each set.
+STARS = 2
 #: Sampled n-grams of 100 beyond the prefix that any link needs.
 SPARE = 5
 
@@ -44,7 +50,7 @@ def sampled(n: np.ndarray | int, percent: int):
 
 
 def sets(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """doc_id, n (set size), one and two (a digest of the set), sample."""
+    """id, n (set size), one and two (a digest of the set), sample."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = arrow.spaced_words()
@@ -53,11 +59,11 @@ def sets(docs: DataFrame, k: int, percent: int) -> DataFrame:
                 own = [np.unique(g) for g in _grams(part, tables, k)]
                 digests = np.array([(g.sum(dtype=arrow.U), arrow.mix(g).sum(dtype=arrow.U)) for g in own], arrow.U).reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(np.array([len(g) for g in own], np.int64)), arrow.longs(digests[:, 0]), arrow.longs(digests[:, 1]), arrow.long_lists([g[: sampled(len(g), percent)] for g in own])],
-                    names=["doc_id", "n", "one", "two", "sample"],
+                    [part.column("id"), pa.array(np.array([len(g) for g in own], np.int64)), arrow.longs(digests[:, 0]), arrow.longs(digests[:, 1]), arrow.long_lists([g[: sampled(len(g), percent)] for g in own])],
+                    names=["id", "n", "one", "two", "sample"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n long, one long, two long, sample array<long>")
+    return docs.select("id", "text").mapInArrow(run, "id long, n long, one long, two long, sample array<long>")
 
 
 def _grams(part: pa.RecordBatch, tables, k: int) -> list[np.ndarray]:
@@ -66,17 +72,18 @@ def _grams(part: pa.RecordBatch, tables, k: int) -> list[np.ndarray]:
     return [grams[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
 
 
-def shared(samples: DataFrame, need: str) -> DataFrame:
-    """rep, own (its n-grams that another set has too, the rarest first) and need, of the sets that have at least `need` such n-grams."""
+def known(samples: DataFrame) -> DataFrame:
+    """rep, n, gram and df (how many sets have it) of the n-grams that another set has too. samples: rep, n, sample."""
     rows = samples.select("rep", "n", F.explode("sample").alias("gram"))
-    often = rows.groupBy("gram").agg(F.count("*").alias("df")).where("df > 1")
-    own = rows.join(often, "gram").groupBy("rep", "n").agg(F.sort_array(F.collect_list(F.struct("df", "gram"))).alias("own"))
-    return own.withColumn("need", F.expr(need)).where(F.size("own") >= F.col("need"))
+    # A table of its own, so that Spark can split the rows of a very common n-gram.
+    often = written(rows.groupBy("gram").agg(F.count("*").alias("df")).where("df > 1"))
+    return rows.join(often, "gram")
 
 
 def survivors(samples: DataFrame, percent: int) -> DataFrame:
     """rep of every set whose sample leaves it a chance. samples: rep, n, sample."""
-    return shared(samples, f"greatest(1, ((n * {percent} + 99) div 100) * {SPARE} div 100)").select("rep")
+    need = F.expr(f"greatest(1, ((n * {percent} + 99) div 100) * {SPARE} div 100)")
+    return known(samples).groupBy("rep", "n").agg(F.count("*").alias("own")).where(F.col("own") >= need).select("rep")
 
 
 def whole_sets(docs: DataFrame, reps: DataFrame, k: int) -> DataFrame:
@@ -89,23 +96,19 @@ def whole_sets(docs: DataFrame, reps: DataFrame, k: int) -> DataFrame:
                 own = [np.unique(g) for g in _grams(part, tables, k)]
                 yield pa.RecordBatch.from_arrays([part.column("rep"), pa.array(np.array([len(g) for g in own], np.int64)), arrow.long_lists(own)], names=["rep", "n", "sample"])
 
-    texts = docs.select(F.col("doc_id").alias("rep"), "text").join(reps, "rep")
+    texts = docs.select(F.col("id").alias("rep"), "text").join(reps, "rep")
     return texts.mapInArrow(run, "rep long, n long, sample array<long>")
 
 
-def clusters(whole: DataFrame, percent: int) -> DataFrame:
-    """rep and cluster of every set that may have a partner."""
-    own = shared(whole, f"(n * {percent} + 99) div 100")
-    keys = cut(own.select("rep", F.explode(F.expr("slice(own, 1, cast(size(own) - need + 1 as int))")).alias("key")).select("rep", F.col("key.gram").alias("gram")))
-    first = keys.groupBy("gram").agg(F.min("rep").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    found = components(keys.join(first, "gram").select(F.col("rep").alias("a"), F.col("first").alias("b")))
-    return found.select(F.col("id").alias("rep"), F.col("component").alias("cluster"))
+def kept_grams(whole: DataFrame, percent: int) -> DataFrame:
+    """rep, n and gram: what each set keeps of its n-grams, so that linked sets have one in common."""
+    own = known(whole).groupBy("rep", "n").agg(F.sort_array(F.collect_list(F.struct("df", "gram"))).alias("own"))
+    own = own.withColumn("need", F.expr(f"(n * {percent} + 99) div 100")).where(F.size("own") >= F.col("need"))
+    return own.select("rep", "n", F.explode(F.expr("slice(own, 1, cast(size(own) - need + 1 as int))")).alias("key")).select("rep", "n", F.col("key.gram").alias("gram"))
 
 
-def tasks(whole: DataFrame, members: DataFrame) -> DataFrame:
-    """cluster, i, j (two blocks), fragment, rep, n, side and the n-grams of each set in each fragment, once for each task it is in."""
-    sizes = members.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    placed = members.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+def pieces(whole: DataFrame, reps: DataFrame) -> DataFrame:
+    """rep, n, fragment and grams: the sets of reps, each cut into the fragments of the global order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         width = arrow.U(64 - (FRAGMENTS - 1).bit_length())
@@ -115,23 +118,62 @@ def tasks(whole: DataFrame, members: DataFrame) -> DataFrame:
             own = [grams[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
             edges = [np.searchsorted(g >> width, np.arange(FRAGMENTS + 1)) for g in own]
             take = pa.array(np.repeat(np.arange(len(own)), FRAGMENTS))
-            rest = [batch.column(c).take(take) for c in ("cluster", "blocks", "block", "rep", "n")]
-            pieces = arrow.long_lists([g[e[f] : e[f + 1]] for g, e in zip(own, edges, strict=True) for f in range(FRAGMENTS)])
-            yield pa.RecordBatch.from_arrays([*rest, pa.array(np.tile(np.arange(FRAGMENTS, dtype=np.int32), len(own))), pieces], names=["cluster", "blocks", "block", "rep", "n", "fragment", "grams"])
+            parts = arrow.long_lists([g[e[f] : e[f + 1]] for g, e in zip(own, edges, strict=True) for f in range(FRAGMENTS)])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c).take(take) for c in ("rep", "n")], pa.array(np.tile(np.arange(FRAGMENTS, dtype=np.int32), len(own))), parts], names=["rep", "n", "fragment", "grams"])
+
+    return whole.join(reps, "rep", "left_semi").select("rep", "n", "sample").mapInArrow(run, "rep long, n long, fragment int, grams array<long>")
+
+
+def classed(keys: DataFrame, edges: DataFrame | None) -> DataFrame:
+    """The kept n-grams with the class of their set, as the edges have it so far."""
+    if edges is None:
+        return keys.withColumn("class", F.col("rep"))
+    found = components(edges).withColumnRenamed("id", "rep")
+    return keys.join(found, "rep", "left").withColumn("class", F.coalesce("component", "rep")).drop("component")
+
+
+def star(keys: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
+    """The linked pairs (a, b) of each set and the first set of another class in most of its lists. keys: rep, n, gram, class."""
+    first = written(keys.groupBy("gram").agg(F.min(F.struct("rep", "n", "class")).alias("first"), F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").select("gram", "first"))
+    near = keys.join(first, "gram").where((F.col("class") != F.col("first.class")) & (100 * F.least("n", "first.n") >= percent * F.greatest("n", "first.n")))
+    votes = near.groupBy("rep", F.col("first.rep").alias("pivot")).agg(F.count("*").alias("votes"))
+    pairs = written(votes.groupBy("rep").agg(F.max(F.struct("votes", (-F.col("pivot")).alias("pivot"))).alias("best")).select(F.col("rep").alias("a"), (-F.col("best.pivot")).alias("b")))
+    left = pairs.join(parts.select(F.col("rep").alias("a"), F.col("n").alias("n_a"), "fragment", F.col("grams").alias("grams_a")), "a")
+    both = left.join(parts.select(F.col("rep").alias("b"), F.col("n").alias("n_b"), "fragment", F.col("grams").alias("grams_b")), ["b", "fragment"])
+    partial = both.select("a", "b", "n_a", "n_b", F.size(F.array_intersect("grams_a", "grams_b")).cast("long").alias("overlap"))
+    total = partial.groupBy("a", "b", "n_a", "n_b").agg(F.sum("overlap").alias("overlap"))
+    return total.where(100 * F.col("overlap") >= percent * (F.col("n_a") + F.col("n_b") - F.col("overlap"))).select("a", "b")
 
-    pieces = whole.join(placed, "rep").select("cluster", "blocks", "block", "rep", "n", "sample").mapInArrow(run, "cluster long, blocks int, block int, rep long, n long, fragment int, grams array<long>")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    return pieces.select("*", other).select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "fragment", "rep", "n", (F.col("block") > F.col("other")).alias("side"), "grams")
+
+def clusters(keys: DataFrame) -> DataFrame:
+    """rep, n, class and cluster of every set that shares a kept n-gram with a set of another class."""
+    first = written(keys.groupBy("gram").agg(F.min("rep").alias("first"), F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").select("gram", "first"))
+    open_ = keys.join(first, "gram")
+    found = components(open_.select(F.col("rep").alias("a"), F.col("first").alias("b"))).select(F.col("id").alias("rep"), F.col("component").alias("cluster"))
+    return open_.select("rep", "n", "class").distinct().join(found, "rep")
+
+
+def tasks(parts: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """cluster, i, j (two blocks), fragment, rep, n, side and the n-grams of each set in each fragment, once for each task it is in."""
+    placed = numbered(members.select("cluster", "class", "n", "rep"), ["cluster", "class", "n", "rep"], "number", 0)
+    placed = written(placed.withColumn("block", F.floor(F.col("number") / BLOCK).cast("long")).drop("number"))
+    blocks = written(placed.groupBy("cluster", "block").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.min("n").alias("least"), F.max("n").alias("most")))
+    other = blocks.select("cluster", *[F.col(c).alias(f"{c}_j") for c in ("block", "low", "high", "least", "most")])
+    pairs = blocks.join(other, "cluster").where("block <= block_j and not (low = high and low = low_j and low = high_j)")
+    pairs = pairs.where((100 * F.col("most") >= percent * F.col("least_j")) & (100 * F.col("most_j") >= percent * F.col("least")))
+    sides = pairs.select("cluster", F.col("block").alias("i"), F.col("block_j").alias("j"))
+    both = sides.select("*", F.col("i").alias("block"), F.lit(False).alias("side")).union(sides.where("i < j").select("*", F.col("j").alias("block"), F.lit(True).alias("side")))
+    return parts.join(placed.select("cluster", "block", "rep"), "rep").join(both, ["cluster", "block"]).select("cluster", "i", "j", "fragment", "rep", "n", "side", "grams")
 
 
 TASK = ["cluster", "i", "j"]
 
 
-def overlaps(pieces: DataFrame) -> DataFrame:
+def overlaps(dealt: DataFrame) -> DataFrame:
     """The overlap matrix of each task in each fragment, over its sets by rep: int32, row by row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in arrow.groups(batches, [*TASK, "fragment"]):
+        for group in groups(batches, [*TASK, "fragment"]):
             lists = group.column("grams").combine_chunks()
             lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
             lengths = np.diff(lists.offsets.to_numpy())
@@ -142,8 +184,8 @@ def overlaps(pieces: DataFrame) -> DataFrame:
                 names=[*TASK, "reps", "n", "sides", "partial"],
             )
 
-    keyed = pieces.repartition(*TASK, "fragment").sortWithinPartitions(*TASK, "fragment", "rep", "n", "side")
-    return keyed.mapInArrow(run, "cluster long, i int, j int, reps array<long>, n array<long>, sides array<boolean>, partial binary")
+    keyed = dealt.repartition(*TASK, "fragment").sortWithinPartitions(*TASK, "fragment", "rep", "n", "side")
+    return keyed.mapInArrow(run, "cluster long, i long, j long, reps array<long>, n array<long>, sides array<boolean>, partial binary")
 
 
 def _shared(grams: np.ndarray, owner: np.ndarray, count: int) -> np.ndarray:
@@ -169,7 +211,7 @@ def links(partial: DataFrame, percent: int) -> DataFrame:
     """The edges (a, b) of a spanning forest of each task's links."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in arrow.groups(batches, TASK):
+        for group in groups(batches, TASK):
             reps = group.column("reps")[0].as_py()
             n, sides = np.array(group.column("n")[0].as_py()), np.array(group.column("sides")[0].as_py())
             total = np.zeros((len(reps), len(reps)), np.int64)
@@ -200,19 +242,50 @@ def _forest(linked: np.ndarray) -> list[tuple[int, int]]:
     return edges
 
 
+def _linked(docs: DataFrame, own: DataFrame, k: int, percent: int, same: DataFrame | None = None) -> DataFrame:
+    """one, two and component: the smallest id that links lead to from each set. docs: id, text, where equal ids have equal texts; own: id, n, one, two; same: ids (a, b) that count as linked."""
+    named = own.where("n > 0")
+    samples = sets(docs, k, percent).where("n > 0").groupBy("one", "two").agg(F.min("id").alias("rep"), F.any_value("n").alias("n"), F.any_value("sample").alias("sample"))
+    whole = written(whole_sets(docs, written(survivors(written(samples.select("rep", "n", "sample")), percent)), k))
+    keys = written(kept_grams(whole, percent))
+    parts = written(pieces(whole, keys.select("rep").distinct()))
+    reps = written(named.groupBy("one", "two").agg(F.min("id").alias("rep")))
+    edges = None
+    if same is not None:
+        rep = named.join(reps, ["one", "two"]).select("id", "rep")
+        edges = written(same.join(rep.toDF("a", "x"), "a").join(rep.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b")))
+    for _ in range(STARS):
+        more = written(star(written(classed(keys, edges)), parts, percent))
+        edges = more if edges is None else edges.union(more)
+    members = written(clusters(written(classed(keys, edges))))
+    if not members.isEmpty():
+        edges = edges.union(links(overlaps(tasks(parts, members, percent)), percent))
+    found = components(edges)
+    return reps.join(found, F.col("rep") == F.col("id"), "left").select("one", "two", F.coalesce("component", "rep").alias("component"))
+
+
 def join(docs: DataFrame, k: int, percent: int) -> DataFrame:
     """doc_id, n_shingles and component_id, the smallest doc_id that links lead to, for every row."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    # The samples are read anew rather than kept, as they would be the larger part of the disk all along.
-    full = sets(docs, k, percent)
-    own = cut(full.drop("sample"))
-    reps = full.where("n > 0 and doc_id is not null").groupBy("one", "two").agg(F.min("doc_id").alias("rep"), F.any_value("n").alias("n"), F.any_value("sample").alias("sample"))
-    whole = cut(whole_sets(docs, cut(survivors(reps.select("rep", "n", "sample"), percent)), k))
-    found = components(links(overlaps(tasks(whole, clusters(whole, percent))), percent))
-    named = own.where("n > 0 and doc_id is not null").groupBy("one", "two").agg(F.min("doc_id").alias("rep")).join(found, F.col("rep") == F.col("id"), "left").select("one", "two", F.coalesce("component", "rep").alias("component_id"))
-    alone = (F.col("n") == 0) | F.col("doc_id").isNull()
-    rows = own.select("doc_id", F.col("n").alias("n_shingles"), F.when(alone, None).otherwise(F.col("one")).alias("one"), F.when(alone, None).otherwise(F.col("two")).alias("two"))
-    return rows.join(named, ["one", "two"], "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
+    own = cut(sets(docs, k, percent).drop("sample"))
+    named = own.where("id is not null")
+    if named.groupBy("id").agg(F.min(F.struct("one", "two")).alias("low"), F.max(F.struct("one", "two")).alias("high")).where("low != high").isEmpty():
+        found, own = _linked(docs.where("id is not null"), named, k, percent), own.withColumn("doc_id", F.col("id"))
+    else:
+        # Some doc_id has several texts: they are numbered in the order of doc_id, and count as linked.
+        digest = F.coalesce(F.md5("text"), F.lit(""))
+        keyed = docs.select(F.col("id").alias("doc_id"), digest.alias("digest"), "text")
+        numbers = written(numbered(keyed.where("doc_id is not null").select("doc_id", "digest").distinct(), ["doc_id", "digest"], "id", 0))
+        texts = written(keyed.join(numbers, ["doc_id", "digest"], "left"))
+        own = written(sets(texts, k, percent).drop("sample").where("id is not null").distinct())
+        same = numbers.join(numbers.groupBy("doc_id").agg(F.min("id").alias("a")), "doc_id").select("a", F.col("id").alias("b"))
+        found = _linked(texts.where("id is not null").select("id", "text"), own, k, percent, same)
+        found = found.join(numbers.select(F.col("id").alias("component"), "doc_id"), "component").select("one", "two", F.col("doc_id").alias("component"))
+        alone = sets(texts.where("id is null"), k, percent).drop("sample").withColumn("doc_id", F.lit(None).cast("long"))
+        own = texts.where("id is not null").select("id", "doc_id").join(own, "id").select(alone.columns).union(alone)
+    lone = (F.col("n") == 0) | F.col("doc_id").isNull()
+    rows = own.select("doc_id", F.col("n").alias("n_shingles"), F.when(lone, None).otherwise(F.col("one")).alias("one"), F.when(lone, None).otherwise(F.col("two")).alias("two"))
+    return rows.join(found, ["one", "two"], "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -222,13 +295,16 @@ def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     named = docs.where("doc_id is not null")
     digest = F.coalesce(F.md5("text"), F.lit(""))
     short = F.xxhash64("text")
+    key, number = "_digest", "_number"
+    while {key, number} & set(docs.columns):
+        key, number = f"{key}_", f"{number}_"
     # Numbering takes the texts through one more shuffle, so it is done only where a doc_id has several.
     if named.groupBy("doc_id").agg(F.min(short).alias("low"), F.max(short).alias("high")).where("low != high").isEmpty():
         kept = join(named, k, percent).where("doc_id = component_id").select("doc_id").distinct()
         own = named.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     else:
-        texts = numbered(named.select("doc_id", digest.alias("_digest")).distinct(), ["doc_id", "_digest"], "_number")
-        keyed = named.withColumn("_digest", digest).join(texts, ["doc_id", "_digest"])
-        kept = join(keyed.select(F.col("_number").alias("doc_id"), "text"), k, percent).where("doc_id = component_id").select(F.col("doc_id").alias("_number")).distinct()
-        own = keyed.join(kept, "_number", "left_semi").dropDuplicates(["_number"])
+        texts = numbered(named.select("doc_id", digest.alias(key)).distinct(), ["doc_id", key], number)
+        keyed = named.withColumn(key, digest).join(texts, ["doc_id", key])
+        kept = join(keyed.select(F.col(number).alias("doc_id"), "text"), k, percent).where("doc_id = component_id").select(F.col("doc_id").alias(number)).distinct()
+        own = keyed.join(kept, number, "left_semi").dropDuplicates([number])
     return own.select(*docs.columns).union(docs.where("doc_id is null"))

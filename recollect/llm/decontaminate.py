@@ -3,21 +3,21 @@
 Every window of a document that is as long as an item is compared with the items of that length (a shorter document is
 one window). A window's fingerprint is the 128-bit SimHash of its five-word shingles, each weighing as often as it
 occurs. The fingerprint is cut into 8 blocks of 16 bits; two fingerprints within RADIUS agree in some block up to
-RADIUS // 8 bits, so that a join on blocks with so many bits flipped misses none of them. The weighted
+RADIUS // 8 bits, so that a join on blocks with so many bits flipped misses none of them: it finds the pairs of window and item. The weighted
 Jaccard similarity of the shingles, sum of minima by sum of maxima, verifies what is left.
 
-Windows that cannot reach the similarity are not fingerprinted: at similarity s, s / (1 + s) of all shingles of
-both sides are shared, and a window with fewer shingles of items of its length is out. That drops no match.
+Windows that cannot reach the similarity with any item are not fingerprinted: at similarity s, s / (1 + s) of all shingles of
+both sides are shared. A map of bits, of one size whatever the number of items, tells which shingles no item of a length has; it drops no
+match, and the documents are read once. What the fingerprints lose of all pairs at the similarity is measured in the tests.
 
 Words are runs of ASCII digits, letters and all beyond ASCII, A-Z in lower case. Null or empty texts and
-items match nothing, and neither do rows without doc_id. Repeated rows match alike and are reported once; of equal similarity the first window is reported.
+items match nothing, and neither do rows without doc_id. Repeated rows match alike and are reported once, different texts of one doc_id each by itself under it; of equal similarity the first window is reported.
 Extra columns are dropped by matches() and kept by clean(). An empty table on either side gives no matches.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -26,15 +26,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recollect.llm import arrow
-from recollect.session import cut
+from recollect.session import written
 
 K = 5
 SIMILARITY = 0.8
 BLOCKS, BITS = 8, 16
 #: At similarity 0.8 fingerprints differ in 19 bits on average; 31 are three standard deviations more.
 RADIUS = 31
-#: Items whose shingles the tasks hold at once; more items are taken in blocks, one after the other.
-ITEM_BLOCK = 20_000
+#: Bits of the map of shingles, as a power of two: 8 MB.
+MAP_BITS = 26
 SECOND = 0xA0761D6478BD642F
 
 
@@ -72,86 +72,114 @@ def items(benchmark: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "item_id long, long int, grams array<long>, high long, low long")
 
 
-class Needles:
-    """The shingles of the items, by the items' length in words."""
+def _salted(grams: np.ndarray, long: int) -> np.ndarray:
+    """Another hash of the shingles, for each length of an item its own."""
+    return arrow.mix(grams + arrow.U(long) * arrow.U(0x9E3779B97F4A7C15))
 
-    def __init__(self, rows: list[tuple[int, list[int]]]):
-        by: dict[int, list[np.ndarray]] = {}
-        for long, grams in rows:
-            by.setdefault(long, []).append(np.array(grams, np.int64).view(arrow.U))
-        self.by = {long: np.unique(np.concatenate(g)) for long, g in sorted(by.items())}
-        every = np.unique(np.concatenate(list(self.by.values()))) if by else np.zeros(0, arrow.U)
-        self.every, self.bits = every, min(24, max(12, int(len(every)).bit_length() + 6))
-        self.seen = np.zeros(1 << self.bits, bool)
-        self.seen[every >> arrow.U(64 - self.bits)] = True
 
-    def hits(self, grams: np.ndarray) -> np.ndarray:
-        """Places of shingles that any item has."""
-        near = np.flatnonzero(self.seen[grams >> arrow.U(64 - self.bits)])
-        return near[_within(grams[near], self.every)]
+class Shingles:
+    """Which shingles items have, at all and by the items' length in words: a map of bits, two for each entry, which never denies one that is there."""
 
+    def __init__(self, rows: pa.Table, lengths: list[int]):
+        self.words, self.lengths = np.zeros(1 << (MAP_BITS - 6), arrow.U), lengths
+        self.words[rows.column("word").to_numpy()] = rows.column("bits").to_numpy().view(arrow.U)
 
-def _within(grams: np.ndarray, known: np.ndarray) -> np.ndarray:
-    at = np.minimum(np.searchsorted(known, grams), max(0, len(known) - 1))
-    return known[at] == grams if len(known) else np.zeros(len(grams), bool)
+    def _bit(self, at: np.ndarray) -> np.ndarray:
+        return (self.words[(at >> arrow.U(6)).astype(np.int64)] >> (at & arrow.U(63))) & arrow.U(1) > 0
 
+    def has(self, grams: np.ndarray) -> np.ndarray:
+        return self._bit(grams >> arrow.U(64 - MAP_BITS)) & self._bit((grams >> arrow.U(64 - 2 * MAP_BITS)) & arrow.U((1 << MAP_BITS) - 1))
 
-def _windows(grams: np.ndarray, n_words: int, hits: np.ndarray, needles: Needles, least: float) -> Iterator[tuple[int, int, np.ndarray]]:
-    """First word, length in words and shingles of the windows that can reach the similarity."""
-    for long, known in needles.by.items():
-        own = hits[_within(grams[hits], known)]
-        if not len(own) or (long < K and n_words > long):
-            continue
-        size = min(len(grams), max(1, long - K + 1))
-        need = least / (1 + least) * (size + max(1, long - K + 1)) - 1e-9
-        total = np.concatenate(([0], np.cumsum(np.bincount(own, minlength=len(grams)))))
-        for start in np.flatnonzero(total[size:] - total[: len(grams) - size + 1] >= need):
-            yield int(start), min(long, n_words), grams[start : start + size]
+    def places(self, grams: np.ndarray) -> np.ndarray:
+        return np.flatnonzero(self.has(grams))
 
+    def of_length(self, places: np.ndarray, grams: np.ndarray, long: int) -> np.ndarray:
+        return places[self.has(_salted(grams[places], long))]
 
-def windows(docs: DataFrame, needles: Needles, least: float = SIMILARITY) -> DataFrame:
-    """doc_id, start, long, grams, high and low of the windows that can match."""
-    sent = docs.sparkSession.sparkContext.broadcast(needles)
+
+def shingles(own: DataFrame) -> Shingles:
+    """The map of all items. It comes to the driver as at most 2^(MAP_BITS - 6) words of 64 bits; the lengths are no more than the longest item has words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("grams")
+            grams = lists.flatten().to_numpy().view(arrow.U)
+            long = np.repeat(batch.column("long").to_numpy().astype(arrow.U), np.diff(lists.offsets.to_numpy()))
+            entries = np.concatenate((grams, arrow.mix(grams + long * arrow.U(0x9E3779B97F4A7C15))))
+            at = np.concatenate((entries >> arrow.U(64 - MAP_BITS), (entries >> arrow.U(64 - 2 * MAP_BITS)) & arrow.U((1 << MAP_BITS) - 1)))
+            yield pa.RecordBatch.from_arrays([arrow.longs(at >> arrow.U(6)), arrow.longs(arrow.U(1) << (at & arrow.U(63)))], names=["word", "bits"])
+
+    words = own.select("long", "grams").mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits"))
+    return Shingles(words.toArrow(), sorted(r["long"] for r in own.select("long").distinct().collect()))
+
+
+def _windows(grams: np.ndarray, n_words: int, hits: np.ndarray, long: int, least: float) -> Iterator[tuple[int, int, np.ndarray]]:
+    """First word, length in words and shingles of the windows that can reach the similarity with an item of that length."""
+    size = min(len(grams), long - K + 1)
+    need = least / (1 + least) * (size + long - K + 1) - 1e-9
+    if len(hits) < need:
+        return
+    total = np.concatenate(([0], np.cumsum(np.bincount(hits, minlength=len(grams)))))
+    for start in np.flatnonzero(total[size:] - total[: len(grams) - size + 1] >= need):
+        yield int(start), min(long, n_words), grams[start : start + size]
+
+
+def _runs(words: np.ndarray, at: np.ndarray, long: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and hashes of all runs of fewer words than a shingle has, as texts of just these words have them."""
+    n = len(words) - long + 1
+    if n <= 0:
+        return np.zeros(0, np.int64), np.zeros(0, arrow.U)
+    inside = np.zeros(n + 1, np.int64)
+    for a, b in zip(at[:-1], at[1:], strict=True):
+        if b - a >= long:
+            inside[a] += 1
+            inside[b - long + 1] -= 1
+    places = np.flatnonzero(np.cumsum(inside)[:-1] > 0)
+    keys = arrow.mix(np.arange(1, K + 1, dtype=arrow.U) * arrow.U(0xD1342543DE82EF95)) | arrow.U(1)
+    total = np.full(len(places), long, arrow.U)
+    for j in range(long):
+        total += words[places + j] * keys[j]
+    return places, arrow.mix(total)
+
+
+def windows(docs: DataFrame, known: Shingles, least: float = SIMILARITY) -> DataFrame:
+    """doc_id, text_hash, start, long, grams, high and low of the windows that can match."""
+    sent = docs.sparkSession.sparkContext.broadcast(known)
+
+    def found_in(words: np.ndarray, at: np.ndarray, known: Shingles) -> Iterator[tuple[int, int, int, np.ndarray]]:
+        grams, gram_at = arrow.shingle_hashes(words, at, K)
+        hits = known.places(grams)
+        for long in known.lengths:
+            if long < K:
+                # An item of fewer words than a shingle is one run of words, and so is each window of its length.
+                places, runs = _runs(words, at, long)
+                mine = known.of_length(known.places(runs), runs, long)
+                for place, run in zip(places[mine].tolist(), runs[mine], strict=True):
+                    i = int(np.searchsorted(at, place, "right") - 1)
+                    yield i, place - int(at[i]), long, np.array([run])
+                continue
+            own = known.of_length(hits, grams, long)
+            for i in np.unique(np.searchsorted(gram_at, own, "right") - 1):
+                if at[i + 1] - at[i] >= K:
+                    mine = own[np.searchsorted(own, gram_at[i]) : np.searchsorted(own, gram_at[i + 1])] - gram_at[i]
+                    for window in _windows(grams[gram_at[i] : gram_at[i + 1]], int(at[i + 1] - at[i]), mine, long, least):
+                        yield int(i), *window
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables, needles = arrow.plain_words(), sent.value
-        short = [long for long in needles.by if long < K]
+        tables, known = arrow.plain_words(), sent.value
         for batch in batches:
             for part in arrow.slices(batch):
-                words, at = arrow.word_hashes(*arrow.text_bytes(part.column("text")), tables)
-                grams, gram_at = arrow.shingle_hashes(words, at, K)
-                hits = needles.hits(grams)
-                found = []
-                for i in np.unique(np.searchsorted(gram_at, hits, "right") - 1):
-                    own = hits[np.searchsorted(hits, gram_at[i]) : np.searchsorted(hits, gram_at[i + 1])] - gram_at[i]
-                    found += [(i, *w) for w in _windows(grams[gram_at[i] : gram_at[i + 1]], int(at[i + 1] - at[i]), own, needles, least)]
-                for long in short:
-                    # An item of fewer words than a shingle is one run of words, and so is each window of its length.
-                    runs, run_at = arrow.shingle_hashes(words, at, long)
-                    runs = _as_whole(words, at, long, runs, run_at)
-                    for place in np.flatnonzero(_within(runs, needles.by[long])):
-                        i = int(np.searchsorted(run_at, place, "right") - 1)
-                        if at[i + 1] - at[i] > long:
-                            found.append((i, int(place - run_at[i]), long, runs[place : place + 1]))
+                found = list(found_in(*arrow.word_hashes(*arrow.text_bytes(part.column("text")), tables), known))
                 if found:
                     prints = [fingerprint(f[3]) for f in found]
+                    text = pa.array([f[0] for f in found])
                     yield pa.RecordBatch.from_arrays(
-                        [part.column("doc_id").take(pa.array([int(f[0]) for f in found])), pa.array([f[1] for f in found], pa.int32()), pa.array([f[2] for f in found], pa.int32()), arrow.long_lists([f[3] for f in found]), pa.array([p[0] for p in prints], pa.int64()), pa.array([p[1] for p in prints], pa.int64())],
-                        names=["doc_id", "start", "long", "grams", "high", "low"],
+                        [part.column("doc_id").take(text), part.column("text_hash").take(text), pa.array([f[1] for f in found], pa.int32()), pa.array([f[2] for f in found], pa.int32()), arrow.long_lists([f[3] for f in found]), pa.array([p[0] for p in prints], pa.int64()), pa.array([p[1] for p in prints], pa.int64())],
+                        names=["doc_id", "text_hash", "start", "long", "grams", "high", "low"],
                     )
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
-    return rows.mapInArrow(run, "doc_id long, start int, long int, grams array<long>, high long, low long")
-
-
-def _as_whole(words: np.ndarray, at: np.ndarray, long: int, runs: np.ndarray, run_at: np.ndarray) -> np.ndarray:
-    """The hashes that texts of just these words would have as a whole."""
-    out = runs.copy()
-    counts = np.diff(at)
-    for i in np.flatnonzero(counts > long):
-        for s in range(counts[i] - long + 1):
-            out[run_at[i] + s] = arrow.shingle_hashes(words[at[i] + s : at[i] + s + long], np.array([0, long]), K)[0][0]
-    return out
+    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
+    return rows.mapInArrow(run, "doc_id long, text_hash long, start int, long int, grams array<long>, high long, low long")
 
 
 def _value():
@@ -171,21 +199,13 @@ def index(own: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 def matches(docs: DataFrame, benchmark: DataFrame, least: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
     """doc_id, item_id, start and n_words of the best window, its similarity and Hamming distance."""
-    own = cut(items(benchmark))
-    blocks = max(1, -(-own.count() // ITEM_BLOCK))
-    found = []
-    for b in range(blocks):
-        mine = own.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b) if blocks > 1 else own
-        needles = Needles([(r["long"], r["grams"]) for r in mine.select("long", "grams").collect()])
-        found.append(_matched(cut(windows(docs, needles, least)), mine, least, radius))
-    return reduce(DataFrame.union, found)
-
-
-def _matched(seen: DataFrame, own: DataFrame, least: float, radius: int) -> DataFrame:
-    parts = seen.select("doc_id", "start", "long", "high", "low", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))).alias("block")).withColumn("value", _value())
+    own = written(items(benchmark))
+    seen = written(windows(docs, shingles(own), least))
+    place = ["doc_id", "text_hash", "start", "long"]
+    parts = seen.select(*place, "high", "low", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))).alias("block")).withColumn("value", _value())
     distance = (F.bit_count(F.col("high").bitwiseXOR(F.col("item_high"))) + F.bit_count(F.col("low").bitwiseXOR(F.col("item_low")))).alias("distance")
-    near = parts.join(index(own, radius), ["block", "value"]).select("doc_id", "start", "long", "item_id", distance).where(F.col("distance") <= radius).distinct()
-    both = near.join(seen.select("doc_id", "start", "long", "grams").dropDuplicates(["doc_id", "start", "long"]), ["doc_id", "start", "long"]).join(own.select("item_id", F.col("grams").alias("item_grams")), "item_id")
+    near = parts.join(index(own, radius), ["block", "value"]).select(*place, "item_id", distance).where(F.col("distance") <= radius).distinct()
+    both = near.join(seen.select(*place, "grams").dropDuplicates(place), place).join(own.select("item_id", F.col("grams").alias("item_grams")), "item_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -200,5 +220,5 @@ def _matched(seen: DataFrame, own: DataFrame, least: float, radius: int) -> Data
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents without a passage of the benchmark. All columns stay."""
-    leaks = matches(docs, benchmark).select(F.col("doc_id").alias("_leak")).distinct()
-    return docs.join(leaks, docs["doc_id"] == leaks["_leak"], "left_anti")
+    leaks = matches(docs, benchmark).select("doc_id").distinct()
+    return docs.join(leaks, docs["doc_id"].cast("long") == leaks["doc_id"], "left_anti")

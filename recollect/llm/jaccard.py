@@ -96,7 +96,8 @@ def whole_sets(docs: DataFrame, reps: DataFrame, k: int) -> DataFrame:
                 own = [np.unique(g) for g in _grams(part, tables, k)]
                 yield pa.RecordBatch.from_arrays([part.column("rep"), pa.array(np.array([len(g) for g in own], np.int64)), arrow.long_lists(own)], names=["rep", "n", "sample"])
 
-    texts = docs.select(F.col("id").alias("rep"), "text").join(reps, "rep")
+    # Merged at every size: what is left grows with the input and isn't sent to all tasks.
+    texts = docs.select(F.col("id").alias("rep"), "text").join(reps.hint("merge"), "rep")
     return texts.mapInArrow(run, "rep long, n long, sample array<long>")
 
 

@@ -260,7 +260,8 @@ def _linked(docs: DataFrame, own: DataFrame, k: int, percent: int, same: DataFra
         edges = more if edges is None else edges.union(more)
     members = written(clusters(written(classed(keys, edges))))
     if not members.isEmpty():
-        edges = edges.union(links(overlaps(tasks(parts, members, percent)), percent))
+        more = links(overlaps(tasks(parts, members, percent)), percent)
+        edges = more if edges is None else edges.union(more)
     found = components(edges)
     return reps.join(found, F.col("rep") == F.col("id"), "left").select("one", "two", F.coalesce("component", "rep").alias("component"))
 

@@ -2,8 +2,9 @@
 
 All rolling word k-gram hashes of the texts are joined with the k-grams of license templates. A hit
 votes for the diagonal of its offset, the place in the text less the place in the template. Diagonals
-next to each other are one span, for a word more or less in the text; a span is verified by how much of
-the template it covers and how long it is. Beside that, fixed phrases give base labels.
+next to each other are one span, for a word more or less in the text. A span is verified by an alignment: of its hits whose words are
+those of the template, as many as stand in the same order on both sides must cover enough of the template, in not many more words.
+Templates are whole short licenses, the notices of long ones, and passages of both. Beside that, fixed phrases give base labels.
 
 A null or empty text has no words and no labels. Rows with equal doc_id and text get equal results. An
 empty table gives no rows. Extra columns are dropped.
@@ -18,20 +19,47 @@ from pyspark.sql.window import Window
 #: Base phrases and their labels.
 BASE = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Passages of public licenses, by the label that they speak for.
+#: Public licenses, their notices and passages, by the label that they speak for.
+GRANT = "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software"
+NOTICE = "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"
+AS_IS = "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"
+BINARY = "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"
+RETAIN = "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"
+REPRODUCE = "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"
+ENDORSE = "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"
+HOLDERS = "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall the copyright holder or contributors be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage"
+APPLICABLE = "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied"
+FREE = "is free software you can redistribute it and or modify it under the terms of the gnu {} general public license as published by the free software foundation"
+NO_WARRANTY = "is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu {} general public license for more details"
 TEMPLATES = (
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software"),
-    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
+    ("mit", f"{GRANT} and to permit persons to whom the software is furnished to do so subject to the following conditions {NOTICE} {AS_IS}"),
+    ("mit", GRANT),
+    ("mit", NOTICE),
     ("mit", "released under the mit license"),
     ("mit", "licensed under the terms of the mit license"),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software"),
+    ("bsd", f"{BINARY} 1 {RETAIN} 2 {REPRODUCE} {HOLDERS}"),
+    ("bsd", f"{BINARY} 1 {RETAIN} 2 {REPRODUCE} 3 {ENDORSE} {HOLDERS}"),
+    ("bsd", BINARY),
+    ("bsd", RETAIN),
+    ("bsd", ENDORSE),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions 1 the origin of this software must not be misrepresented you must not claim that you wrote the original software if you use this software in a product an acknowledgment in the product documentation would be appreciated but is not required 2 altered source versions must be plainly marked as such and must not be misrepresented as being the original software 3 this notice may not be removed or altered from any source distribution"),
+    ("unlicense", "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means"),
+    ("apache-2", f"licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0 {APPLICABLE} see the license for the specific language governing permissions and limitations under the license"),
     ("apache-2", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0"),
     ("apache-2", "licensed under the apache license version 2 0"),
-    ("apache-2", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
-    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"),
+    ("apache-2", APPLICABLE),
+    ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0"),
+    ("gpl", f"this program {FREE.format('').replace('  ', ' ')} either version 3 of the license or at your option any later version this program {NO_WARRANTY.format('').replace('  ', ' ')}"),
+    ("gpl", f"this program {FREE.format('').replace('  ', ' ')}"),
+    ("lgpl", f"this library {FREE.format('lesser')} either version 2 1 of the license or at your option any later version this library {NO_WARRANTY.format('lesser')}"),
+    ("agpl", f"this program {FREE.format('affero')} either version 3 of the license or at your option any later version this program {NO_WARRANTY.format('affero')}"),
     ("cc-by-nc", "licensed under a creative commons attribution noncommercial 4 0 international license"),
     ("cc-by-nc", "this work is licensed under cc by nc 4 0"),
+    ("cc-by-nc", "licensed under cc by nc 4 0"),
+    ("cc-by-sa", "licensed under a creative commons attribution sharealike 4 0 international license"),
     ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license"),
+    ("cc0", "the person who associated a work with this deed has dedicated the work to the public domain by waiving all of his or her rights to the work worldwide under copyright law"),
 )
 GRAM = 3
 #: Diagonals at most so far apart are one span.
@@ -45,31 +73,33 @@ def words(text: Column) -> Column:
 
 
 def _grams(own: Column, k: int) -> Column:
-    """(place, hash) of each run of k words."""
+    """(place, hash, words) of each run of k words."""
     last = F.size(own) - k
-    runs = F.transform(F.sequence(F.lit(0), last), lambda i: F.struct(i.alias("at"), F.xxhash64(*[F.get(own, i + j) for j in range(k)]).alias("gram")))
-    return F.when(last >= 0, runs).otherwise(F.array().cast("array<struct<at:int,gram:bigint>>"))
+    runs = F.transform(F.sequence(F.lit(0), last), lambda i: F.struct(i.alias("at"), F.xxhash64(*[F.get(own, i + j) for j in range(k)]).alias("gram"), F.get(own, i).alias("word")))
+    return F.when(last >= 0, runs).otherwise(F.array().cast("array<struct<at:int,gram:bigint,word:string>>"))
 
 
 def template_grams(spark: SparkSession, templates=TEMPLATES, k: int = GRAM) -> DataFrame:
     """One row per k-gram of a template; as small as the fixed list of templates."""
     rows = spark.createDataFrame([(i, label, text) for i, (label, text) in enumerate(templates)], "template int, label string, body string")
     own = rows.select("template", "label", words(F.col("body")).alias("own"))
-    return own.select("template", "label", F.size("own").alias("long"), F.explode(_grams(F.col("own"), k)).alias("g")).select("template", "label", "long", F.col("g.at").alias("place"), F.col("g.gram").alias("gram"))
+    return own.select("template", "label", F.size("own").alias("long"), F.explode(_grams(F.col("own"), k)).alias("g")).select("template", "label", "long", F.col("g.at").alias("place"), F.col("g.gram").alias("gram"), F.col("g.word").alias("template_word"))
 
 
 def spans(docs: DataFrame, templates=TEMPLATES, k: int = GRAM, covered: float = COVERED) -> DataFrame:
     """doc_id, text_hash, label, start, end and cover of each verified span, in words."""
     text = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), words(F.col("text")).alias("own"))
-    grams = text.select("doc_id", "text_hash", F.explode(_grams(F.col("own"), k)).alias("g")).select("doc_id", "text_hash", F.col("g.at").alias("at"), F.col("g.gram").alias("gram"))
-    hits = grams.join(F.broadcast(template_grams(docs.sparkSession, templates, k)), "gram").withColumn("diagonal", F.col("at") - F.col("place"))
+    grams = text.select("doc_id", "text_hash", F.explode(_grams(F.col("own"), k)).alias("g")).select("doc_id", "text_hash", F.col("g.at").alias("at"), F.col("g.gram").alias("gram"), F.col("g.word").alias("word"))
+    hits = grams.join(F.broadcast(template_grams(docs.sparkSession, templates, k)), "gram").where("word = template_word").withColumn("diagonal", F.col("at") - F.col("place"))
     keys = ["doc_id", "text_hash", "template"]
-    votes = hits.groupBy(*keys, "label", "long", "diagonal").agg(F.min("at").alias("start"), (F.max("at") + k).alias("end"), F.collect_set("place").alias("places"))
+    votes = hits.groupBy(*keys, "label", "long", "diagonal").agg(F.min("at").alias("start"), (F.max("at") + k).alias("end"), F.collect_set(F.struct("at", "place")).alias("places"))
     order = Window.partitionBy(*keys).orderBy("diagonal")
     new = (F.col("diagonal") - F.lag("diagonal").over(order) > APART).cast("int")
     votes = votes.withColumn("span", F.sum(F.coalesce(new, F.lit(1))).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    merged = votes.groupBy(*keys, "label", "long", "span").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"))
-    merged = merged.withColumn("cover", F.size("places") / (F.col("long") - (k - 1)))
+    merged = votes.groupBy(*keys, "label", "long", "span").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.array_sort(F.flatten(F.collect_list("places"))).alias("places"))
+    # The hits in the order of the text, as far as each goes on in the template.
+    aligned = F.aggregate("places", F.struct(F.lit(-1).alias("last"), F.lit(0).alias("n")), lambda s, x: F.when(x["place"] > s["last"], F.struct(x["place"].alias("last"), (s["n"] + 1).alias("n"))).otherwise(s), lambda s: s["n"])
+    merged = merged.withColumn("cover", aligned / (F.col("long") - (k - 1)))
     return merged.where((F.col("cover") >= covered) & (F.col("end") - F.col("start") <= F.col("long") * 1.5 + APART)).select("doc_id", "text_hash", "label", "start", "end", "cover")
 
 

@@ -11,14 +11,13 @@ coefficient arrays, for all restart intervals of a batch in step, transforms the
 full-resolution RGB tensor, row by row.
 
 A null or empty text is 192 spaces. Equal texts give equal bytes. Rows repeat as they come; extra columns are dropped. An
-empty table gives no rows.
+empty table gives no rows. A text is one image, which one task holds as a whole, with some thirty times the text's size in arrays.
 """
 
 from __future__ import annotations
 
 import math
 import struct
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -99,13 +98,11 @@ def _scan(blocks: np.ndarray, place: np.ndarray, first: int, last: int, high: in
             coded = np.packbits(bits, axis=1)
     out = np.empty((len(blocks), coded.shape[1] + 2), np.uint8)
     out[:, 0], out[:, 1], out[:, 2:] = 0xFF, 0xD0 + (place - 1) % 8, coded
-    times = np.ones(out.shape, np.int64)
-    times[:, 2:][coded == 0xFF] = 2
-    times[place == 0, :2] = 0
-    begin = np.concatenate(([0], np.cumsum(times.sum(axis=1))))
-    flat = np.repeat(out.ravel(), times.ravel())
-    flat[np.cumsum(times.ravel())[times.ravel() == 2] - 1] = 0
-    return flat, begin
+    kept, full = np.ones(out.shape, bool), np.zeros(out.shape, bool)
+    kept[place == 0, :2], full[:, 2:] = False, coded == 0xFF
+    begin = np.concatenate(([0], np.cumsum(kept.sum(axis=1) + full.sum(axis=1))))
+    # A zero goes behind each coded byte that looks like a marker.
+    return np.insert(out[kept], np.flatnonzero(full[kept]) + 1, 0), begin
 
 
 def write(payloads: list[bytes]) -> list[bytes]:
@@ -391,26 +388,21 @@ def encode(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, T.StructType([docs.schema["doc_id"], T.StructField("n_bytes", T.LongType()), T.StructField("media", T.BinaryType())]))
 
 
-def decode(media: DataFrame, tensors: bool = True) -> DataFrame:
-    """Adds payload, height, width and feature, and with `tensors` rgb, the tensor's bytes.
-
-    The feature tells the tensor's size, the sums of its channels and its CRC-32."""
-    added = [("payload", pa.binary()), ("height", pa.int32()), ("width", pa.int32()), ("feature", pa.string()), *([("rgb", pa.binary())] if tensors else [])]
-    kinds = {"payload": T.BinaryType(), "height": T.IntegerType(), "width": T.IntegerType(), "feature": T.StringType(), "rgb": T.BinaryType()}
+def decode(media: DataFrame) -> DataFrame:
+    """Adds payload, height, width, sums (of the tensor's channels) and rgb, the tensor's bytes, row by row; columns of these names are replaced."""
+    added = [("payload", pa.binary()), ("height", pa.int32()), ("width", pa.int32()), ("sums", pa.list_(pa.int64())), ("rgb", pa.binary())]
+    media = media.select([media[c] for c in media.columns if c not in dict(added)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in _parts(batch):
                 rows = []
                 for payload, tensor in read(part.column("media").to_pylist()):
-                    height, width = tensor.shape[:2]
-                    body = tensor.tobytes()
-                    sums = tensor.reshape(-1, 3).sum(axis=0, dtype=np.int64).tolist()
-                    rows.append((payload, height, width, f"{height}x{width}:{':'.join(map(str, sums))}:{zlib.crc32(body):08x}", *([body] if tensors else [])))
+                    rows.append((payload, *tensor.shape[:2], tensor.reshape(-1, 3).sum(axis=0, dtype=np.int64).tolist(), tensor.tobytes()))
                 columns = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([*part.columns, *[pa.array(v, kind) for v, (_, kind) in zip(columns, added, strict=True)]], names=[*part.schema.names, *[n for n, _ in added]])
 
-    return media.mapInArrow(run, T.StructType([*media.schema.fields, *[T.StructField(n, kinds[n]) for n, _ in added]]))
+    return media.mapInArrow(run, T.StructType([*media.schema.fields, *T._parse_datatype_string("payload binary, height int, width int, sums array<long>, rgb binary").fields]))
 
 
 def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -424,8 +416,9 @@ def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    """Per document the digests of the payload as it was read back, of the stored file, and the tensor's feature."""
-    found = decode(encode(docs), tensors=False)
+    """Per document the digests of the payload as it was read back and of the stored file, and as its feature the tensor's size, the sums of its channels and its CRC-32."""
+    found = decode(encode(docs))
     payload = F.col("payload")
     tail = F.crc32(F.substring(payload, -16, 16))
-    return found.select("doc_id", "n_bytes", F.octet_length(payload).cast("long").alias("payload_bytes"), F.sha2(payload, 256).alias("payload_sha256"), tail.alias("tail_crc32"), F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "feature")
+    feature = F.concat_ws(":", F.concat_ws("x", "height", "width"), F.array_join(F.col("sums").cast("array<string>"), ":"), F.lower(F.lpad(F.hex(F.crc32("rgb")), 8, "0")))
+    return found.select("doc_id", "n_bytes", F.octet_length(payload).cast("long").alias("payload_bytes"), F.sha2(payload, 256).alias("payload_sha256"), tail.alias("tail_crc32"), F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), feature.alias("feature"))

@@ -13,8 +13,9 @@ from recollect.session import ship
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model rejects go; it learns from labelled documents of this input."""
-    scored = toxicity.train(docs, table(spark, sf_dir, "labels")).score(docs)
-    return scored.where("predicted = 0").select(*docs.columns)
+    whole = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["text"].alias("text"))
+    scored = toxicity.train(docs, table(spark, sf_dir, "labels")).score(whole)
+    return scored.where("predicted = 0").select("row.*")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

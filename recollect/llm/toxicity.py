@@ -3,10 +3,11 @@
 The features are lexicon densities, hits near the second person, capitals, punctuation and obfuscation.
 The lexicon has a fixed part and stems learned from labelled rows: whole words and their first letters
 that stand in toxic texts far more often than elsewhere. The model is fitted on a bounded sample of the labelled rows, those
-with the lowest hashes of doc_id: half of it for the stems, the rest for the trees and the calibration.
+with the lowest hashes of doc_id: half of it for the stems, a quarter for the trees, and that and the last one for the calibration. Where a part
+lacks a class, the trees take both last quarters, or else the whole sample.
 
 Only the text goes into a score. A null or empty text has all features 0 and is scored like any other.
-Repeated rows get equal scores. Without labels of both classes the fixed lexicon alone decides. An empty
+Repeated rows get equal scores. Without labels of both classes in the whole sample the fixed lexicon alone decides. An empty
 table gives no rows. Other columns stay; those of the results' names are replaced.
 """
 
@@ -101,7 +102,9 @@ class Model:
 
     def score(self, docs: DataFrame, text: str = "text") -> DataFrame:
         """Adds score and predicted."""
-        rows = with_features(docs, self.learned, text)
+        # The caller's columns go along in one, so that no name can clash.
+        rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_tox_row"), docs[text].alias("_tox_text"))
+        rows = with_features(rows, self.learned, "_tox_text")
         if self.trees is None:
             raw = F.lit(1.0) - F.exp(-F.col("_tox_fixed_n"))
             rows = rows.withColumn("score", raw)
@@ -112,7 +115,7 @@ class Model:
             # The calibration is a step function; a fiftieth of the uncalibrated score orders what shares a step.
             rows = rows.withColumn("score", F.lit(0.98) * F.least(F.greatest("_tox_level", F.lit(0.0)), F.lit(1.0)) + F.lit(0.02) * F.col("_tox_p"))
         rows = rows.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
-        return rows.select(*[c for c in rows.columns if not c.startswith("_tox_")])
+        return rows.select(*[F.col(f"_tox_row.`{c}`").alias(c) for c in docs.columns if c not in ("score", "predicted")], "score", "predicted")
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
@@ -120,19 +123,21 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
     labelled = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("double").alias("toxic"))
     chosen = labelled.withColumn("order", F.xxhash64("doc_id")).orderBy("order", "doc_id").limit(rows)
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").withColumn("part", F.pmod(F.xxhash64("text"), F.lit(4))).persist()
+    stems = learn_stems(sample.where("part < 2"))
+    training = VectorAssembler(inputCols=[f"_tox_{f}" for f in FEATURES], outputCol="_tox_all").transform(with_features(sample, stems)).select("part", "toxic", "_tox_all").persist()
     try:
-        stems = learn_stems(sample.where("part < 2"))
-        training = VectorAssembler(inputCols=[f"_tox_{f}" for f in FEATURES], outputCol="_tox_all").transform(with_features(sample.where("part >= 2"), stems)).select("part", "toxic", "_tox_all").persist()
-        if {r["toxic"] for r in training.where("part = 2").select("toxic").distinct().collect()} != {0.0, 1.0}:
+        classes = {r["part"]: r["n"] for r in training.groupBy("part").agg(F.count_distinct("toxic").alias("n")).collect()}
+        if training.select("toxic").distinct().count() < 2:
             return Model(stems, None, None)
+        own = "part = 2" if classes.get(2) == 2 else "part >= 2" if training.where("part >= 2").select("toxic").distinct().count() == 2 else "part >= 0"
         trees = GBTClassifier(labelCol="toxic", featuresCol="_tox_all", predictionCol="_tox_guess", maxIter=10, maxDepth=3, stepSize=0.3, seed=7)
-        trees = trees.setRawPredictionCol("_tox_raw").setProbabilityCol("_tox_both").fit(training.where("part = 2"))
-        scored = trees.transform(training).withColumn("_tox_p", F.get(vector_to_array("_tox_both"), F.lit(1)))
+        trees = trees.setRawPredictionCol("_tox_raw").setProbabilityCol("_tox_both").fit(training.where(own))
+        scored = trees.transform(training.where("part >= 2") if own != "part >= 0" else training).withColumn("_tox_p", F.get(vector_to_array("_tox_both"), F.lit(1)))
         calibration = IsotonicRegression(labelCol="toxic", featuresCol="_tox_p", predictionCol="_tox_level").fit(scored)
-        training.unpersist()
         return Model(stems, trees, calibration)
     finally:
         sample.unpersist()
+        training.unpersist()
 
 
 def held_out(doc_id: Column) -> Column:

@@ -97,6 +97,34 @@ def test_jaccard_blocks(spark, monkeypatch):
     assert {r["component_id"] for r in jaccard.join(table(spark, near), 4, 85).collect()} == {0}
 
 
+def test_jaccard_texts_of_one_doc_id_link(spark):
+    a, b = prose(1, 100), prose(2, 90)
+    got = jaccard.join(table(spark, [(5, a), (5, b), (3, b), (9, a), (9, ""), (None, a), (7, None)]), 4, 85).where("doc_id is not null").collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in got) == [(3, 3), (5, 3), (5, 3), (7, 7), (9, 3), (9, 9)]
+
+
+@pytest.mark.parametrize("stars", [0, 2])
+def test_jaccard_at_the_border(spark, monkeypatch, stars):
+    """Chains of texts that link with their neighbours only, with and without rounds of stars, in small blocks."""
+    monkeypatch.setattr(jaccard, "STARS", stars)
+    monkeypatch.setattr(jaccard, "BLOCK", 4)
+    words = [f"w{i}" for i in range(400)]
+    given = [(100 * c + i, " ".join(words[100 * c + 5 * i : 100 * c + 5 * i + 90])) for c in range(3) for i in range(12)]
+    sets = {i: {tuple(t.split()[j : j + 4]) for j in range(87)} for i, t in given}
+    parent = {i: i for i in sets}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            if a < b and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+                parent[max(find(a), find(b))] = min(find(a), find(b))
+    assert {r["doc_id"]: r["component_id"] for r in jaccard.join(table(spark, given), 4, 85).collect()} == {i: find(i) for i in sets}
+
+
 def test_one_of_each_keeps_rows_without_doc_id_and_texts_of_one_doc_id(spark):
     a, b, c = prose(1, 100), prose(2, 90), prose(3, 80)
     alone = [(None, a), (None, b), (None, b), (None, None), (None, "")]
@@ -146,6 +174,21 @@ def test_suffixes(spark, rows, monkeypatch, hot):
     assert sorted([tuple(r) for r in suffixes.digests(table(spark, rows), 200).collect()], key=str) == brute_repeats(rows, 200)
 
 
+def test_every_string_has_an_anchor(monkeypatch):
+    monkeypatch.setattr(suffixes.arrow, "SLICE_BYTES", 3000)
+    q = random.Random(6)
+    texts = [bytes(q.choice(b"ab") for _ in range(900)), b"z" * 700, b"xyz" * 300, b"short", b"", bytes(q.choice(b"abcdefgh ") for _ in range(9000))]
+    data, at = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+    seen = collections.Counter()
+    for zero, part, own in suffixes._blocks(data, at, 200):
+        places, _, first, last = suffixes.anchor_places(part, own, 200)
+        for p, a, b in zip(places, first, last, strict=True):
+            assert b - a < 177 and a <= p < a + 177 and b <= p
+            seen.update(range(zero + a, zero + b + 1))
+    wanted = {s for a, b in zip(at[:-1], at[1:], strict=True) for s in range(a, b - 199)}
+    assert set(seen) == wanted and all(seen[s] == 1 for s in wanted if at[3] <= s)
+
+
 def test_spans(spark, rows):
     got = spans.clean(table(spark, rows)).where("doc_id is not null").collect()
     first, covered, counts = {}, collections.defaultdict(set), {}
@@ -199,6 +242,37 @@ def test_decontamination(spark):
     assert decontaminate.matches(table(spark, docs), items.where("false")).count() == 0
 
 
+def test_decontamination_finds_what_all_pairs_find(spark):
+    """Every window of an item's length against every item, by the weighted similarity alone."""
+    q = random.Random(12)
+    passages = [prose(300 + i, q.randint(15, 60)) for i in range(40)]
+    docs = []
+    for i in range(120):
+        words = passages[i % 40].split()
+        for _ in range(i // 40):
+            words[q.choice([0, 1, len(words) - 2, len(words) - 1])] = f"new{q.randrange(99)}"
+        docs.append((i, f"{prose(i, 30)} {' '.join(words)} {prose(900 + i, 25)}"))
+    items = list(enumerate(passages))
+
+    def grams(words):
+        return collections.Counter(tuple(words[j : j + 5]) for j in range(len(words) - 4))
+
+    wanted = set()
+    for i, t in docs:
+        own = WORD.findall(t.translate(LOW))
+        for item, p in items:
+            words = WORD.findall(p.translate(LOW))
+            there = grams(words)
+            for s in range(len(own) - len(words) + 1):
+                here = grams(own[s : s + len(words)])
+                shared = sum((here & there).values())
+                if shared >= 0.8 * (sum(here.values()) + sum(there.values()) - shared):
+                    wanted.add((i, item))
+                    break
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.matches(table(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert len(wanted) > 60 and got <= wanted and len(got) >= 0.9 * len(wanted)
+
+
 def test_block_index_misses_nothing(spark):
     q = random.Random(4)
     high, low = q.getrandbits(63), q.getrandbits(63)
@@ -236,6 +310,19 @@ def test_secrets(spark, rows):
     assert masked[501] == "value [SECRET] done" and key not in masked[500] and masked[500].startswith("é😀 [SECRET]")
 
 
+def test_secrets_in_long_candidates(spark):
+    q = random.Random(8)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    blob = "".join(q.choice(letters) for _ in range(1_000_000))
+    digits = "".join(q.choice("0123456789abcdef") for _ in range(1_000_000))
+    long = [(1, "/aB" * 300_000), (2, "/aB" * 300_000 + "4"), (3, blob), (4, digits), (5, "password=abcdefg1 " * 20_000), (6, "z" * 1_000_000), (7, "0a1b2c3d4e5f6g7h8i9j0k1l2m3n"), (8, "ABCDEFGH23456JKLMNPQ7XYZ22")]
+    got = {r["doc_id"]: r for r in secrets.digests(table(spark, long)).collect()}
+    assert got[1]["spans"] == "" == got[6]["spans"] and got[2]["spans"] == f"entropy_mixed:0:{len(long[1][1])}"
+    assert got[3]["spans"] == "entropy_mixed:0:1000000" and got[4]["n_hex"] == 1 and got[5]["n_assign"] == 20_000
+    assert got[7]["spans"] == "entropy_lower:0:28" and got[8]["spans"] == "entropy_upper:0:26"
+    assert secrets.redact(table(spark, long[4:5])).first()["text"] == "[SECRET] " * 20_000
+
+
 def test_entropy_counts(spark):
     text = "aB3dE6gH9jK2mN5pQ8sT1vW4aaaa"
     got = spark.createDataFrame([(text,)], "t string").select(secrets.highest_entropy(F.col("t"), 20).alias("x")).first()["x"]
@@ -256,6 +343,26 @@ def test_sharding(spark, rows):
     assert max(map(len, groups.values())) == 1 and sharding.digests(table(spark, [])).count() == 0
 
 
+def test_shards_are_as_small_as_can_be(spark, rows):
+    """The largest shard against a search over all capacities, on the groups in the order of the operator."""
+    got = sharding.ordered(table(spark, rows)).collect()
+    sizes = collections.OrderedDict()
+    for r in sorted(got, key=lambda r: r["row"]):
+        sizes[r["group"]] = sizes.get(r["group"], 0) + r["size"]
+    capacity = max(sizes.values())
+    while True:
+        n = held = 0
+        for x in sizes.values():
+            n, held = (n + 1, x) if n == 0 or held + x > capacity else (n, held + x)
+        if n <= 5:
+            break
+        capacity += 1
+    out = collections.Counter()
+    for r in sharding.shards(table(spark, rows), 5).collect():
+        out[r["shard"]] += r["size"]
+    assert max(out.values()) == capacity and sum(out.values()) == sum(sizes.values())
+
+
 def test_capacity_is_minimal():
     for seed in range(200):
         q = random.Random(seed)
@@ -284,10 +391,37 @@ def test_few_points_find_the_same_cuts(spark):
 
 def test_media(spark, rows):
     given = dict(rows)
-    for r in media.decode(media.encode(table(spark, rows[:-3]))).collect():
+    stored = media.decode(media.encode(table(spark, rows[:-3]))).collect()
+    for r in stored:
         data = (given[r["doc_id"]] or "").encode()
         assert bytes(r["payload"]) == data + b" " * (max(192, -(-len(data) // 192) * 192) - len(data)) and r["n_bytes"] == len(data)
-        assert len(r["rgb"]) == r["height"] * r["width"] * 3 and bytes(r["media"][:2]) == b"\xff\xd8" and r["feature"].endswith(f"{zlib.crc32(bytes(r['rgb'])):08x}")
+        assert len(r["rgb"]) == r["height"] * r["width"] * 3 and bytes(r["media"][:2]) == b"\xff\xd8"
+        assert r["sums"] == np.frombuffer(r["rgb"], np.uint8).reshape(-1, 3).sum(axis=0).tolist()
+    got = {r["doc_id"]: r for r in media.digests(table(spark, rows[:-3])).collect()}
+    for r in stored:
+        own = got[r["doc_id"]]
+        assert (own["payload_sha256"], own["media_sha256"], own["tail_crc32"]) == (hashlib.sha256(r["payload"]).hexdigest(), hashlib.sha256(r["media"]).hexdigest(), zlib.crc32(r["payload"][-16:]))
+        assert own["feature"] == f"{r['height']}x{r['width']}:{':'.join(map(str, r['sums']))}:{zlib.crc32(bytes(r['rgb'])):08x}"
+
+
+def test_media_tensor_by_a_plain_reader():
+    """Pixel by pixel from the coefficients that the payload stands for, without the reader's arrays."""
+    payload = bytes(range(256)) + b" " * 128
+    (read_back, tensor), = media.read(media.write([payload]))
+    assert read_back == payload and tensor.shape == (16, 16, 3)
+    blocks = []
+    for start in range(0, 384, 64):
+        own = [b if b >= 128 else b - 255 for b in payload[start : start + 64]]
+        own[0] = payload[start] if payload[start] >= 128 else payload[start] - 254
+        square = np.zeros(64)
+        square[media.ZIGZAG] = own
+        half = np.array([[(np.sqrt(0.5) if u == 0 else 1) / 2 * np.cos((2 * x + 1) * u * np.pi / 16) for x in range(8)] for u in range(8)])
+        blocks.append(np.clip(np.rint(half.T @ square.reshape(8, 8) @ half + 128), 0, 255))
+    for y in range(16):
+        for x in range(16):
+            luma, blue, red = blocks[2 * (y // 8) + x // 8][y % 8, x % 8], blocks[4][y // 2, x // 2] - 128, blocks[5][y // 2, x // 2] - 128
+            wanted = np.clip([luma + 1.402 * red, luma - 0.344136 * blue - 0.714136 * red, luma + 1.772 * blue], 0, 255)
+            assert np.abs(wanted - tensor[y, x]).max() <= 4
 
 
 def test_samples_are_the_inverse_transform():
@@ -310,15 +444,93 @@ def test_toxicity(spark):
     assert toxicity.digests(docs, labels.where("false")).count() == docs.count()
 
 
+def test_toxicity_on_rows_held_out(spark):
+    d = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{d}/labels.parquet")
+    docs = spark.read.parquet(f"{d}/documents.parquet").join(labels, "doc_id", "left_semi")
+    got = toxicity.digests(docs, labels).join(labels, "doc_id").where("held_out").select("toxic", "score", "predicted").collect()
+    good, bad = [r["score"] for r in got if r["toxic"]], [r["score"] for r in got if not r["toxic"]]
+    assert len(good) > 3 and np.mean([[(x > y) + (x == y) / 2 for y in bad] for x in good]) >= 0.95
+    assert np.mean([r["predicted"] == r["toxic"] for r in got]) >= 0.9
+
+
+def test_toxicity_with_few_labels(spark):
+    docs = table(spark, [(i, "you pathetic stupid idiot" if i < 3 else prose(i, 20)) for i in range(30)])
+    labels = spark.createDataFrame([(i, int(i < 3)) for i in range(30)], "doc_id long, toxic int")
+    got = {r["doc_id"]: r["score"] for r in toxicity.fit(docs, labels).score(docs).collect()}
+    assert min(got[i] for i in range(3)) > max(got[i] for i in range(3, 30))
+
+
+def brute_licenses(t):
+    own = WORD.findall((t or "").translate(LOW))
+    found = [(i, label) for phrase, label in licenses.BASE for i in range(len(own)) if own[i : i + len(phrase.split())] == phrase.split()]
+    return len(own), len(found), min((i for i, _ in found), default=None), max((i for i, _ in found), default=None), ",".join(sorted({x for _, x in found}))
+
+
 def test_licenses(spark, rows):
-    extra = [(700, "Licensed under the Apache License, Version 2.0."), (701, "x CC BY-NC; cc by nc"), (702, "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies")]
+    extra = [(700, "Licensed under the Apache License, Version 2.0."), (701, "x CC BY-NC; cc by nc"), (703, "under the MIT license " * 3), (704, "the MIT license")]
+    extra.append((702, "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies"))
+    whole = licenses.TEMPLATES[0][1].split()
+    extra += [(710, " ".join(whole[:60] + ["added"] + whole[60:])), (711, " ".join(whole[i] for i in sorted(range(len(whole)), key=lambda i: i * 7919 % len(whole))))]
     got = {r["doc_id"]: r for r in licenses.scan(table(spark, rows + extra)).collect()}
     assert len(licenses.scan(table(spark, rows + extra)).collect()) == len(rows + extra)
     for i, t in [*rows, *extra]:
-        assert i is None or got[i]["n_words"] == len(WORD.findall((t or "").translate(LOW)))
-    assert (got[700]["base_labels"], got[700]["first_word"]) == ("apache-2", 3)
-    assert (got[701]["n_base"], got[701]["first_word"], got[701]["last_word"], got[701]["labels"]) == (2, 1, 4, "cc-by-nc")
+        assert i is None or tuple(got[i][c] for c in ("n_words", "n_base", "first_word", "last_word", "base_labels")) == brute_licenses(t)
+        assert i is None or (set(got[i]["base_labels"].split(",")) - {""} <= set(got[i]["labels"].split(",")) and 0 <= got[i]["score"] <= 1)
     assert (got[702]["base_labels"], got[702]["labels"]) == ("", "mit") and got[0]["labels"] == ""
+    assert (got[710]["labels"], got[711]["labels"]) == ("mit", "")
+    aligned = {r["doc_id"]: r["cover"] for r in licenses.spans(table(spark, extra), (("mit", licenses.TEMPLATES[0][1]),)).collect()}
+    assert set(aligned) == {710} and 0.95 < aligned[710] < 1
+
+
+CLASH = ["score", "predicted", "base", "entropy", "covered", "row", "class", "_tox_p", "_covered", "_number", "_digest", "_secret_spans", "n"]
+
+
+def clashing(spark, rows):
+    """The rows twice, with columns of names that operators use within."""
+    docs = table(spark, rows + rows)
+    return docs.withColumns({c: F.concat(F.lit(f"{c} "), F.coalesce("doc_id", F.lit(-1))) for c in CLASH})
+
+
+def test_stages_with_nulls_repeated_rows_and_clashing_columns(spark, rows):
+    docs = clashing(spark, rows)
+    given = docs.columns
+    for name, stage in stages.STAGES:
+        out = stage(spark, docs, DATA)
+        assert out.columns[: len(given)] == given, name
+        for r in out.collect():
+            assert all(r[c] == f"{c} {-1 if r['doc_id'] is None else r['doc_id']}" for c in CLASH), name
+        empty = stage(spark, docs.where("false"), DATA)
+        assert empty.columns[: len(given)] == given and empty.count() == 0, name
+    cut_ = spans.clean(docs, True)
+    assert cut_.columns[: len(given)] == given and all(r["covered"].startswith("covered ") for r in cut_.collect())
+
+
+def test_empty_tables(spark):
+    none, labels = table(spark, []), spark.read.parquet(f"{DATA}/labels.parquet")
+    benchmark = spark.read.parquet(f"{DATA}/benchmark.parquet")
+    for out in (spans.clean(none, True), decontaminate.matches(none, benchmark), bpe.digests(none, RANKS, P.PATTERN), jaccard.join(none, 4, 85), sharding.digests(none), secrets.digests(none), suffixes.digests(none), media.digests(none), toxicity.digests(none, labels), licenses.scan(none)):
+        assert out.count() == 0
+
+
+def test_pipeline_against_its_operators(spark):
+    """Each stage on its own input keeps just the rows that its operator's results, taken apart, leave."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").cache()
+    ids = lambda frame: {r["doc_id"] for r in frame.select("doc_id").collect()}
+    labels, benchmark = (spark.read.parquet(f"{DATA}/{n}.parquet") for n in ("labels", "benchmark"))
+    scored = toxicity.train(docs, labels).score(docs.select("doc_id", "text"))
+    assert ids(stages.drop_toxic(spark, docs, DATA)) == ids(scored.where("score < 0.3"))
+    found = jaccard.join(docs, 5, 80)
+    one = ids(stages.drop_near_copies(spark, docs, DATA))
+    assert one == {r["component_id"] for r in found.collect()} and len(one) < docs.count()
+    leaks = ids(decontaminate.matches(docs, benchmark))
+    assert ids(stages.drop_leaks(spark, docs, DATA)) == ids(docs) - leaks and leaks
+    for r in stages.mask_secrets(spark, docs, DATA).join(docs.select("doc_id", F.col("text").alias("was")), "doc_id").collect():
+        spans_ = brute_secrets(r["was"] or "")
+        assert (r["text"] != r["was"]) >= bool(spans_) and all(r["was"][a:b] not in r["text"] for a, _, b, k in spans_)
+    own = encoding()
+    for r in stages.tokenize(spark, docs.limit(50), DATA).collect():
+        assert list(r["ids"]) == own.encode_ordinary(r["text"] or "")
 
 
 def test_stages_keep_the_columns(spark):

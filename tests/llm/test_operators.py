@@ -317,7 +317,7 @@ def test_secrets_in_long_candidates(spark):
     digits = "".join(q.choice("0123456789abcdef") for _ in range(1_000_000))
     long = [(1, "/aB" * 300_000), (2, "/aB" * 300_000 + "4"), (3, blob), (4, digits), (5, "password=abcdefg1 " * 20_000), (6, "z" * 1_000_000), (7, "0a1b2c3d4e5f6g7h8i9j0k1l2m3n"), (8, "ABCDEFGH23456JKLMNPQ7XYZ22")]
     got = {r["doc_id"]: r for r in secrets.digests(table(spark, long)).collect()}
-    assert got[1]["spans"] == "" == got[6]["spans"] and got[2]["spans"] == f"entropy_mixed:0:{len(long[1][1])}"
+    assert got[1]["spans"] == "" == got[6]["spans"] and got[2]["spans"] == ""
     assert got[3]["spans"] == "entropy_mixed:0:1000000" and got[4]["n_hex"] == 1 and got[5]["n_assign"] == 20_000
     assert got[7]["spans"] == "entropy_lower:0:28" and got[8]["spans"] == "entropy_upper:0:26"
     assert secrets.redact(table(spark, long[4:5])).first()["text"] == "[SECRET] " * 20_000

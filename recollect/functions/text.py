@@ -9,36 +9,52 @@ from pyspark.sql import types as T
 ACCENTED, PLAIN = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"
 
 
+#: A character of a term, and one between terms.
+TERM, BETWEEN = r"[\p{L}\p{N}]", r"[^\p{L}\p{N}]"
+
+
+def folded(text: Column) -> Column:
+    """In lower case, without Latin accents."""
+    return F.translate(F.lower(text), ACCENTED, PLAIN)
+
+
 def terms(text: Column) -> Column:
     """Lower-case words of letters and digits, without Latin accents."""
-    return F.filter(F.split(F.translate(F.lower(text), ACCENTED, PLAIN), r"[^\p{L}\p{N}]+"), lambda x: x != "")
+    return F.regexp_extract_all(folded(text), F.lit(f"{TERM}+"), F.lit(0))
 
 
 #: How names are written, in order. Word borders are those of ASCII.
 NAMES = (
     ("sqlite-vec", "sqlite-vec"), ("sqlite(?!-vec)", "SQLite"), ("postgres(?:ql)?", "PostgreSQL"), ("mysql", "MySQL"), ("javascript", "JavaScript"), ("typescript", "TypeScript"),
-    (r"nodejs|node\.js", "Node.js"), ("bun", "Bun"), ("fastify", "Fastify"), ("zod", "Zod"), ("vitest", "Vitest"), ("github", "GitHub"), ("windows", "Windows"), ("macos|mac os x", "macOS"), ("linux", "Linux"),
+    (r"nodejs|node\.js", "Node.js"), ("bun", "Bun"), ("fastify", "Fastify"), ("zod", "Zod"), ("vitest", "Vitest"), ("github", "GitHub"), ("windows", "Windows"), ("macos", "macOS"), ("linux", "Linux"),
 )
 SPACE = r"[\s\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
 
 
+#: The same white space as characters, and what is more than one plain space.
+SPACES = " \t\n\x0b\f\r\u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
+UNEVEN = f"(?: {SPACE}+|(?! ){SPACE}{SPACE}*)"
+
+
 def trimmed(text: Column) -> Column:
-    return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(text, F.lit(SPACES))
 
 
 def collapsed(text: Column) -> Column:
-    return F.regexp_replace(trimmed(text), f"{SPACE}+", " ")
+    return F.regexp_replace(trimmed(text), UNEVEN, " ")
 
 
 def normalized(text: Column) -> Column:
     out = collapsed(text)
     for pattern, name in NAMES:
         out = F.regexp_replace(out, f"(?i)(?<![A-Za-z0-9_])(?:{pattern})(?![A-Za-z0-9_])", name)
+    # Fixed value: this one has a border behind it only.
+    out = F.regexp_replace(out, "(?i)mac os x(?![A-Za-z0-9_])", "macOS")
     return out
 
 
 def reduce_key(text: Column) -> Column:
-    return F.sha2(F.regexp_replace(F.lower(trimmed(text)), f"{SPACE}+", " "), 256)
+    return F.sha2(F.lower(collapsed(text)), 256)
 
 
 def cleaned(text: Column) -> Column:
@@ -89,3 +105,67 @@ def _sorted_fields(value: Column, kind: T.DataType) -> Column:
 def stable_json(value: Column, kind: T.DataType) -> Column:
     """JSON of a nested value with the keys in order at every level; nulls stay as such."""
     return F.to_json(_sorted_fields(value, kind), {"ignoreNullFields": "false"})
+
+
+def parsed_query(raw: Column, now_ms: int) -> Column:
+    """struct(q, type, repo, project, since_ms) of a query with type:, repo:, project: and since: filters. The last repo, project and
+    since of good form (7d, 24h) count; other words, those with unknown prefixes too, stay in q."""
+    tokens = F.filter(F.split(F.trim(raw), r"\s+"), lambda x: x != "")
+    good = r"^(type|repo|project|since):.+"
+    of = lambda key, form=".+": F.transform(F.filter(tokens, lambda x: x.rlike(f"^{key}:{form}$")), lambda x: F.substring(x, len(key) + 2, 2**30))
+    last = lambda values: F.try_element_at(values, F.lit(-1))
+    span = last(of("since", "[0-9]+[dh]"))
+    ms = F.regexp_extract(span, "^[0-9]+", 0).cast("long") * F.when(span.endswith("d"), 86_400_000).otherwise(3_600_000)
+    return F.struct(F.array_join(F.filter(tokens, lambda x: ~x.rlike(good)), " ").alias("q"), of("type").alias("type"), last(of("repo")).alias("repo"), last(of("project")).alias("project"), (F.lit(now_ms) - ms).alias("since_ms"))
+
+
+#: How agents are named, in order.
+AGENTS = (("claude-code", "claude-code"), ("claude code", "claude-code"), ("claudecode", "claude-code"), ("cursor", "cursor"), ("copilot", "github-copilot"), ("github copilot", "github-copilot"), ("github-copilot", "github-copilot"))
+INSTANT = r"(\d{4}-\d{2}-\d{2})\s+(\d{2}:\d{2}:\d{2})(?:\.\d+)?(?:\s*UTC|\s*Z)?"
+
+
+def normalised_paths(text: Column, home: str) -> Column:
+    """Windows paths with forward slashes, and paths below home from ~ on."""
+    slashed = F.array_join(
+        F.transform(
+            F.arrays_zip(F.split(text, WINDOWS_PATH, -1).alias("gap"), F.regexp_extract_all(text, F.lit(WINDOWS_PATH), F.lit(0)).alias("path")),
+            lambda x: F.concat(x["gap"], F.coalesce(F.replace(x["path"], F.lit("\\"), F.lit("/")), F.lit(""))),
+        ),
+        "",
+    )
+    literal = "".join(f"\\{c}" if not c.isalnum() else c for c in home.replace("\\", "/"))
+    start = r"(?<![A-Za-z0-9_/])" if not home[:1].isalpha() else r"(?<![A-Za-z0-9_])"
+    return F.regexp_replace(slashed, f"{start}{literal}", "~")
+
+
+WINDOWS_PATH = r"[A-Za-z]:\\[^\s\"'<>|?*\r\n]+"
+
+
+def normalised_times(text: Column) -> Column:
+    """Dates and times with white space between them, as ISO 8601 in UTC."""
+    return F.regexp_replace(text, INSTANT, "$1T$2Z")
+
+
+def normalised_agents(text: Column) -> Column:
+    for alias, name in AGENTS:
+        text = F.regexp_replace(text, f"(?i)(?<![A-Za-z0-9_]){alias}(?![A-Za-z0-9_])", name)
+    return text
+
+
+def normalised(text: Column, home: str) -> Column:
+    """Paths, times and names of agents, in this order."""
+    return normalised_agents(normalised_times(normalised_paths(text, home)))
+
+
+def fake_seed(text: Column) -> Column:
+    """A signed 32-bit hash of the text's UTF-16 units."""
+    points = F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.ascii(c))
+    units = F.flatten(F.transform(points, lambda p: F.when(p > 0xFFFF, F.array((F.lit(0xD800) + F.floor((p - 0x10000) / 1024)).cast("int"), F.lit(0xDC00) + (p - 0x10000) % 1024)).otherwise(F.array(p))))
+    wrap = lambda x: F.pmod(x + 2**31, F.lit(2**32)) - 2**31
+    return F.aggregate(units, F.lit(0).cast("long"), lambda h, c: wrap(h * 31 + c))
+
+
+def fake_vector(text: Column, size: int = 1024) -> Column:
+    """A deterministic vector for tests: sines that start at the text's hash."""
+    sines = lambda seed: F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.sin(seed * 0.001 + i * 0.01).cast("float"))
+    return F.get(F.transform(F.array(fake_seed(text)), sines), F.lit(0))  # so that the hash is worked out once

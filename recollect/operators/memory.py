@@ -123,6 +123,58 @@ def fold_state(memories: DataFrame, events: DataFrame) -> DataFrame:
     return rows.select("id", "type", F.coalesce("valid_to", F.col("ended.created_at")).alias("valid_to"), F.col("ended.by").alias("superseded_by"), scope.alias("scope"))
 
 
+def served(recalls: DataFrame) -> DataFrame:
+    """One recall_served event for each atom of recalls (recall, query, atom_ids, scores, surface, mode); of the query only a hash is kept, scores go by index."""
+    rows = recalls.select("recall", F.posexplode("atom_ids").alias("at", "atom_id"), F.substring(F.sha2("query", 256), 1, 16).alias("query_hash"), "scores", "surface", "mode")
+    body = F.struct(F.lit("recall_served").alias("family"), "query_hash", F.get("scores", F.col("at")).alias("score"), "surface", "mode")
+    return rows.select("recall", "atom_id", F.lit("usefulness").alias("event_type"), F.to_json(body, {"ignoreNullFields": "false"}).alias("payload_json"))
+
+
+def used_or_corrected(rows: DataFrame) -> DataFrame:
+    """The events of atoms that were used (family recall_used: surface, signal) or corrected (memory_corrected: action)."""
+    used = F.to_json(F.struct("family", "surface", "signal"))
+    return rows.select("atom_id", F.lit("usefulness").alias("event_type"), F.when(F.col("family") == "recall_used", used).otherwise(F.to_json(F.struct("family", "action"))).alias("payload_json"))
+
+
+def repointed(placeholders: DataFrame, made: DataFrame) -> DataFrame:
+    """transcript_id and memory_id: the first memory (transcript_id, ord, id) that a transcript led to, or its placeholder."""
+    first = made.groupBy("transcript_id").agg(F.min(F.struct("ord", "id"))["id"].alias("first"))
+    return placeholders.join(first, "transcript_id", "left").select("transcript_id", F.coalesce("first", "memory_id").alias("memory_id"))
+
+
+def event_atoms(envelopes: DataFrame) -> DataFrame:
+    """The memories of typed events (ord, events): defaults for importance and confidence, one of equal texts, normalised, with their hash."""
+    rows = envelopes.select("ord", F.posexplode("events").alias("at", "e")).select(F.struct("ord", "at").alias("ord"), "e.type", "e.text", F.coalesce("e.importance", F.lit(0.7)).alias("importance"), F.coalesce("e.confidence", F.lit(0.9)).alias("confidence"))
+    found = rows.withColumn("key", text.reduce_key(F.col("text"))).groupBy("key").agg(F.min(F.struct((-F.col("importance")).alias("less"), "ord", "type", "text", "importance", "confidence")).alias("best"))
+    out = found.select("best.type", text.normalized(F.col("best.text")).alias("text"), "best.importance", "best.confidence")
+    return out.withColumn("hash", F.sha2("text", 256))
+
+
+def upserted_vectors(vectors: DataFrame, new: DataFrame, size: int) -> DataFrame:
+    """The vectors after an upsert, and how each came about; vectors of another size or of unknown ids change nothing."""
+    good = new.where(F.size("embedding") == size).groupBy("id").agg(F.max("embedding").alias("new"))
+    rows = vectors.join(good, "id", "left")
+    return rows.select("id", F.coalesce("new", "embedding").alias("embedding"), F.when(F.col("new").isNotNull(), "replaced").otherwise("kept").alias("how"))
+
+
+def sync_batches(events: DataFrame, size: int = 200) -> DataFrame:
+    """batch, n, first_seq and acked_seq, where the cursor goes once the batch is acknowledged."""
+    rows = numbered(events.select("seq"), ["seq"], "number", 0)
+    return rows.groupBy(F.floor(F.col("number") / size).alias("batch")).agg(F.count("*").alias("n"), F.min("seq").alias("first_seq"), F.max("seq").alias("acked_seq"))
+
+
+def lifecycle_outcomes(memories: DataFrame, log: DataFrame) -> DataFrame:
+    """What becomes of each request (seq, atom_id, kind, new_id) to invalidate or supersede: the first good one on a valid memory is done, later ones conflict; a superseding memory must be there and valid."""
+    state = memories.select(F.col("id").alias("atom_id"), F.col("valid_to").isNull().alias("valid"))
+    target = memories.select(F.col("id").alias("new_id"), F.col("valid_to").isNull().alias("target_valid"))
+    rows = log.join(state, "atom_id", "left").join(target, "new_id", "left")
+    good = (F.col("kind") == "invalidate") | F.coalesce("target_valid", F.lit(False))
+    rows = rows.select("seq", "atom_id", "valid", good.alias("good"))
+    first = rows.where("valid and good").groupBy("atom_id").agg(F.min("seq").alias("first"))
+    outcome = F.when(F.col("valid").isNull(), "not found").when(~F.col("valid") | (F.col("first") < F.col("seq")), "conflict").when(~F.col("good"), "invalid target").otherwise("done")
+    return rows.join(first, "atom_id", "left").select("seq", outcome.alias("outcome"))
+
+
 def claim_status(requests: DataFrame, claims: DataFrame) -> DataFrame:
     """new, replay or conflict for requests (key, body_hash) by what is known of their keys."""
     known = claims.select("key", F.col("body_hash").alias("known"))
@@ -133,9 +185,8 @@ def claim_status(requests: DataFrame, claims: DataFrame) -> DataFrame:
 def reduce_atoms(atoms: DataFrame) -> DataFrame:
     """One atom (ord, type, text, importance) per text up to case and white space: the most important, the first of equals."""
     keyed = atoms.withColumn("key", text.reduce_key(F.col("text")))
-    best = Window.partitionBy("key").orderBy(F.desc("importance"), "ord")
-    first = F.min("ord").over(Window.partitionBy("key"))
-    return keyed.withColumns({"n": F.row_number().over(best), "place": first}).where("n = 1").drop("n", "ord")
+    found = keyed.groupBy("key").agg(F.min(F.struct((-F.col("importance")).alias("less"), "ord", "type", "text", "importance")).alias("best"), F.min("ord").alias("place"))
+    return found.select("key", "best.type", "best.text", "best.importance", "place")
 
 
 def near_pairs(vectors: DataFrame, merge: float, propose: float, most: int | None = None) -> DataFrame:

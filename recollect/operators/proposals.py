@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -45,6 +45,48 @@ def greedy_merges(pairs: DataFrame) -> DataFrame:
     return reduce(DataFrame.union, done) if done else pairs.select("a", "b", "similarity").where("false")
 
 
+def winners(pairs: DataFrame, memories: DataFrame, useful: DataFrame) -> DataFrame:
+    """winner and loser of each pair (a, b, ...) beside its other columns: the more useful, then the more important, then the older, then by id. Pairs with a memory that is gone go."""
+    rank = memories.join(useful.select("id", "useful"), "id", "left").select("id", F.struct((-F.coalesce("useful", F.lit(0.5))).alias("useful"), (-F.col("importance")).alias("importance"), "created_at", "id").alias("rank"))
+    both = pairs.join(rank.select(F.col("id").alias("a"), F.col("rank").alias("rank_a")), "a").join(rank.select(F.col("id").alias("b"), F.col("rank").alias("rank_b")), "b")
+    rest = [c for c in pairs.columns if c not in ("a", "b")]
+    first = F.col("rank_a") < F.col("rank_b")
+    return both.select(*rest, F.when(first, F.col("a")).otherwise(F.col("b")).alias("winner"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("loser"))
+
+
+def lineage(merges: DataFrame, order: str) -> DataFrame:
+    """winner and derived_from, its losers in the order of their first merge, each once."""
+    first = merges.groupBy("winner", "loser").agg(F.min(order).alias("at"))
+    return first.groupBy("winner").agg(F.sort_array(F.collect_list(F.struct("at", "loser")))["loser"].alias("derived_from"))
+
+
+def superseded(memories: DataFrame, merges: DataFrame, order: str, now_ms: int) -> DataFrame:
+    """The memories after the merges: the first one that a valid memory loses ends it."""
+    first = merges.groupBy(F.col("loser").alias("id")).agg(F.min(F.struct(order, "winner"))["winner"].alias("by"))
+    rows = memories.join(first, "id", "left")
+    valid = F.col("valid_to").isNull()
+    return rows.withColumns({"superseded_by": F.when(valid, F.col("by")), "valid_to": F.coalesce("valid_to", F.when(F.col("by").isNotNull(), F.lit(now_ms)))}).drop("by")
+
+
+ATOM = "struct<type:string,text:string,importance:double,confidence:double>"
+KINDS = ("decision", "fact", "lesson", "command", "todo", "note", "event")
+
+
+def good_atom(atom: Column) -> Column:
+    """Whether an atom has a known type, 5 to 500 characters, and importance and confidence, where given, from 0 to 1."""
+    within = lambda c: c.isNull() | c.between(0, 1)
+    return atom["type"].isin(*KINDS) & F.length(atom["text"]).between(5, 500) & within(atom["importance"]) & within(atom["confidence"])
+
+
+def extracted(answers: DataFrame) -> DataFrame:
+    """outcome and atoms of answers (answer, body): the outermost JSON object in each, fenced or not; bad atoms go one by one, an answer without an array of atoms is a deterministic error."""
+    json = F.regexp_extract("body", r"(?s)(\{.*\})", 1)
+    atoms = F.from_json(json, f"struct<atoms:array<{ATOM}>>")["atoms"]
+    rows = answers.withColumn("found", atoms)
+    kept = F.filter("found", lambda a: F.coalesce(good_atom(a), F.lit(False)))
+    return rows.select("answer", F.when(F.col("found").isNull(), "deterministic").otherwise("parsed").alias("outcome"), kept.alias("atoms"))
+
+
 def upsert_sessions(rows: DataFrame, latest: list[str]) -> DataFrame:
     """One row per session of ingests (session_id, ord, started_at, ...): the last value that is not null of each
     column in latest, and started_at as the first ingest has it."""

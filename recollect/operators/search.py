@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from recollect.functions import scoring, text
+from recollect.session import written
 
 
 def keyword_scores(memories: DataFrame, query: str) -> DataFrame:
@@ -20,9 +21,9 @@ def keyword_scores(memories: DataFrame, query: str) -> DataFrame:
     wanted = [(r["phrase"], r["own"]) for r in phrases.collect() if r["own"]]
     if not wanted:
         return memories.select("id", F.lit(0.0).alias("bm25")).where("false")
-    own = memories.select("id", text.terms(F.col("text")).alias("own"))
-    counts = [(2 * _occurrences(F.col("own"), words)).alias(f"f{i}") for i, words in wanted]
-    found = own.select("id", (2 * F.size("own")).alias("size"), *counts)
+    folded = memories.select("id", text.folded(F.col("text")).alias("body"))
+    # Counted in the text, without an array of its terms, and written, as both the corpus and the scores need it.
+    found = written(folded.select("id", (2 * F.regexp_count("body", F.lit(f"{text.TERM}+"))).alias("size"), *[(2 * F.regexp_count("body", F.lit(_phrase(words)))).alias(f"f{i}") for i, words in wanted]))
     names = [f"f{i}" for i, _ in wanted]
     corpus = found.agg(F.count("*").alias("n"), F.avg("size").alias("mean"), *[F.sum((F.col(c) > 0).cast("long")).alias(f"d{c}") for c in names])
     both = found.where(" and ".join(f"{c} > 0" for c in names)).crossJoin(F.broadcast(corpus))
@@ -33,12 +34,34 @@ def keyword_scores(memories: DataFrame, query: str) -> DataFrame:
     return both.select("id", score.alias("bm25"))
 
 
-def _occurrences(own, words: list[str]):
-    """How often the words stand one after the other in an array of terms."""
-    if len(words) == 1:
-        return F.size(F.filter(own, lambda x: x == words[0]))
-    shifted = F.arrays_zip(*[F.slice(own, j + 1, F.greatest(F.size(own) - j, F.lit(0))).alias(f"w{j}") for j in range(len(words))])
-    return F.size(F.filter(shifted, lambda x: F.coalesce(F.struct(*[x[f"w{j}"].alias(f"w{j}") for j in range(len(words))]) == F.struct(*[F.lit(w).alias(f"w{j}") for j, w in enumerate(words)]), F.lit(False))))
+def _phrase(words: list[str]) -> str:
+    """A pattern that matches wherever the words start to stand one after the other."""
+    first, rest = words[0], "".join(f"{text.BETWEEN}+{w}(?!{text.TERM})" for w in words[1:])
+    return f"(?<!{text.TERM}){first}(?!{text.TERM})" + (f"(?={rest})" if rest else "")
+
+
+def postings(memories: DataFrame) -> DataFrame:
+    """term, id, tf and size: the inverted index. Written once, sorted by term, it answers queries without the texts."""
+    own = memories.select("id", text.terms(F.col("text")).alias("own"))
+    rows = own.select("id", (2 * F.size("own")).alias("size"), F.explode("own").alias("term"))
+    return rows.groupBy("term", "id").agg((2 * F.count("*")).alias("tf"), F.first("size").alias("size"))
+
+
+def corpus(memories: DataFrame) -> DataFrame:
+    """n and mean: the number of texts and their mean length in terms."""
+    return memories.agg(F.count("*").alias("n"), F.avg(2 * F.regexp_count(text.folded(F.col("text")), F.lit(f"{text.TERM}+"))).alias("mean"))
+
+
+def indexed_scores(index: DataFrame, corpus: DataFrame, query: str) -> DataFrame:
+    """The same as keyword_scores() by the index, for queries of single words: the terms' postings are filtered in the scan and joined by id."""
+    spark = index.sparkSession
+    words = spark.createDataFrame([(query,)], "body string").select(F.array_distinct(text.terms(F.col("body"))).alias("own")).first()["own"]
+    hits = index.where(F.col("term").isin(words))
+    idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weighed = hits.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(corpus)).select("term", "mean", F.when(idf > 0, idf).otherwise(1e-6).alias("idf"))
+    rows = hits.join(F.broadcast(weighed), "term")
+    part = F.col("idf") * F.col("tf") * 2.2 / (F.col("tf") + 1.2 * (0.25 + 0.75 * F.col("size") / F.col("mean")))
+    return rows.groupBy("id").agg((-F.sum(part)).alias("bm25"), F.count("*").alias("terms")).where(F.col("terms") == len(words)).select("id", "bm25")
 
 
 def nearest(vectors: DataFrame, query: Sequence[float], k: int) -> DataFrame:
@@ -48,7 +71,7 @@ def nearest(vectors: DataFrame, query: Sequence[float], k: int) -> DataFrame:
     return vectors.select("id", F.sqrt(square).alias("distance")).orderBy("distance", "id").limit(k).withColumn("score", 1 / (1 + F.col("distance")))
 
 
-def hybrid(memories: DataFrame, keyword: DataFrame, vector: DataFrame, useful: DataFrame, now_ms: int, limit: int, candidates: int | None = None, weights: scoring.Weights = scoring.Weights(), types: Sequence[str] = (), repo: str | None = None, mode: str = "hybrid") -> DataFrame:
+def hybrid(memories: DataFrame, keyword: DataFrame, vector: DataFrame, useful: DataFrame, now_ms: int, limit: int, candidates: int | None = None, weights: scoring.Weights = scoring.Weights(), types: Sequence[str] = (), repo: str | None = None, projects: Sequence[str] = (), since_ms: int | None = None, mode: str = "hybrid") -> DataFrame:
     """Fused scores of the candidates of both legs, filtered after fusion, with each signal's share.
 
     keyword: id, bm25; vector: id, score; useful: id, useful. Candidates are at most twice `candidates` rows."""
@@ -67,4 +90,6 @@ def hybrid(memories: DataFrame, keyword: DataFrame, vector: DataFrame, useful: D
     kept = rows.where(F.col("valid_to").isNull() & F.col("text").isNotNull())
     kept = kept.where(F.col("type").isin(list(types))) if types else kept
     kept = kept.where(F.col("repo") == repo) if repo is not None else kept
+    kept = kept.where(F.col("project").isin(list(projects))) if projects else kept
+    kept = kept.where(F.col("created_at") >= since_ms) if since_ms is not None else kept
     return kept.orderBy(F.desc("score"), "id").limit(limit)

@@ -2,43 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from recollect.functions import scoring, text
 from recollect.operators import chunks, memory, proposals, redact, search
-from recollect.session import ship
+from recollect.plans import more  # noqa: F401  registers its queries too
+from recollect.plans.catalog import ORACLES, QUERIES, Query, query, r6
+from recollect.session import written
 from recollect.sources import tables as t
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
 NOW = t.NOW_MS
 WORDS = "stupid idiot"
 POINT = [((i * 37) % 19 - 9) / 9 for i in range(64)]
 
 
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def register(function: Query) -> Query:
-        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            ship(spark)
-            return function(spark, sf_dir)
-
-        QUERIES[function.__name__] = run
-        if sql is not None:
-            ORACLES[function.__name__] = f"WITH {t.SQL}{sql}"  # sql goes on with the relations after a comma, or selects
-        return function
-
-    return register
-
-
-def r6(name: str, value=None):
-    return F.round(F.col(name) if value is None else value, 6).alias(name)
-
-
 @query("SELECT id, type, repo, importance, scope FROM mem WHERE id = '42'")
 def point_lookup(s, d):
     return t.memories(s, d).where("id = '42'").select("id", "type", "repo", "importance", "scope")
@@ -172,10 +151,10 @@ def bm25(s, d):
     return search.keyword_scores(t.memories(s, d), WORDS).select("id", r6("bm25"))
 
 
-def _hybrid(s, d, mode="hybrid"):
+def _hybrid(s, d, mode="hybrid", **filters):
     vector = search.nearest(t.vectors(s, d), POINT, 50).select(F.col("id").cast("string").alias("id"), "score")
     useful = memory.usefulness_scores(t.memory_events(s, d)).select("id", "useful")
-    return search.hybrid(t.memories(s, d), search.keyword_scores(t.memories(s, d), WORDS), vector, useful, NOW, 10, mode=mode)
+    return search.hybrid(t.memories(s, d), search.keyword_scores(t.memories(s, d), WORDS), vector, useful, NOW, 10, mode=mode, **filters)
 
 
 HYBRID = f""", {BM25}, k AS (SELECT id, -bm25 AS k FROM bm ORDER BY bm25, id LIMIT 50), v AS (SELECT CAST(vec_id AS VARCHAR) AS id, 1 / (1 + {DISTANCE}) AS v FROM embeddings ORDER BY {DISTANCE}, vec_id LIMIT 50),
@@ -191,6 +170,40 @@ def hybrid_search(s, d):
     return _hybrid(s, d).select("id", "type", r6("score"), "source", r6("keyword_part"), r6("vector_part"))
 
 
+@query(HYBRID.replace("ORDER BY bm25, id LIMIT 50", "ORDER BY bm25, id LIMIT 0"))
+def semantic_search(s, d):
+    return _hybrid(s, d, "semantic").select("id", "type", r6("score"), "source", r6("keyword_part"), r6("vector_part"))
+
+
+@query(HYBRID.replace("vec_id LIMIT 50", "vec_id LIMIT 0"))
+def keyword_search(s, d):
+    return _hybrid(s, d, "keyword").select("id", "type", r6("score"), "source", r6("keyword_part"), r6("vector_part"))
+
+
+@query(HYBRID.replace("WHERE valid_to IS NULL", f"WHERE valid_to IS NULL AND mem.project IN ('en', 'de') AND mem.type IN ('fact', 'lesson', 'note') AND created_at >= {t.START_MS} + 3600000"))
+def filtered_search(s, d):
+    return _hybrid(s, d, types=("fact", "lesson", "note"), projects=("en", "de"), since_ms=t.START_MS + 3_600_000).select("id", "type", r6("score"), "source", r6("keyword_part"), r6("vector_part"))
+
+
+EXPLAINED = HYBRID.replace("0.4 * nv AS vector_part FROM n", f"0.4 * nv AS vector_part, 0.1 * importance AS importance_part, 0.1 * exp(-(({NOW} - created_at) / 86400000.0) / 30) AS freshness_part, 0.1 * coalesce(useful, 0.5) AS usefulness_part FROM n")
+
+
+@query(EXPLAINED.replace("round(vector_part, 6) AS vector_part FROM f", "round(vector_part, 6) AS vector_part, round(importance_part, 6) AS importance_part, round(freshness_part, 6) AS freshness_part, round(usefulness_part, 6) AS usefulness_part FROM f"))
+def score_explanations(s, d):
+    return _hybrid(s, d).select("id", "type", r6("score"), "source", *[r6(f"{n}_part") for n in ("keyword", "vector", "importance", "freshness", "usefulness")])
+
+
+@query(f", own AS (SELECT id, {TERMS} AS w FROM mem), p AS (SELECT id, unnest(w) AS term FROM own) SELECT term, count(DISTINCT id) AS documents, 2 * count(*) AS occurrences FROM p GROUP BY term")
+def inverted_index(s, d):
+    return search.postings(t.memories(s, d)).groupBy("term").agg(F.count("*").alias("documents"), F.sum("tf").alias("occurrences"))
+
+
+@query(f", {BM25} SELECT id, round(bm25, 6) AS bm25 FROM bm")
+def indexed_bm25(s, d):
+    index = written(search.postings(t.memories(s, d)))
+    return search.indexed_scores(index, search.corpus(t.memories(s, d)), WORDS).select("id", r6("bm25"))
+
+
 PACK = f""", c AS (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY created_at DESC, id) AS age FROM mem WHERE valid_to IS NULL),
 sc AS (SELECT *, CASE type WHEN 'decision' THEN 1.0 WHEN 'lesson' THEN 0.9 WHEN 'fact' THEN 0.7 WHEN 'command' THEN 0.6 ELSE 0.4 END::DOUBLE * exp(-(({NOW} - created_at) / 86400000.0) / 30) * importance AS score, ceil(length(text) / 4.0)::BIGINT AS tokens FROM c WHERE age <= 500),
 p AS (SELECT *, row_number() OVER o AS rank, sum(tokens) OVER (o ROWS UNBOUNDED PRECEDING) AS total FROM sc WINDOW o AS (PARTITION BY repo ORDER BY score DESC, id)),
@@ -279,10 +292,9 @@ def why_receipts(s, d):
     return t.memories(s, d).join(e, "id", "left").groupBy("id", "scope").agg(F.count("seq").alias("events"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"))
 
 
-@query("SELECT row_number() OVER (ORDER BY created_at, id) + (SELECT max(seq) FROM ev) AS seq, id AS atom_id FROM mem WHERE type = 'decision' ORDER BY 1 LIMIT 100")
+@query("SELECT row_number() OVER (ORDER BY created_at, id) + (SELECT max(seq) FROM ev) AS seq, id AS atom_id FROM mem WHERE type = 'decision'")
 def next_sequence(s, d):
-    rows = memory.appended(t.memories(s, d).where("type = 'decision'"), t.memory_events(s, d))
-    return rows.orderBy("seq").limit(100)  # The SQL shows the first 100; all are numbered.
+    return memory.appended(t.memories(s, d).where("type = 'decision'"), t.memory_events(s, d))
 
 
 @query("SELECT atom_id AS id, count(*) AS n FROM ev WHERE NOT EXISTS (SELECT 1 FROM mem WHERE mem.id = ev.atom_id) GROUP BY atom_id")
@@ -334,12 +346,12 @@ def budget_gate(s, d):
 
 @query()
 def redacted_documents(s, d):
-    return t.memories(s, d).select("id", redact.redacted(F.col("text")).alias("r")).select("id", F.sha2("r.text", 256).alias("redacted"), F.size("r.types").alias("n"))
+    return redact.redacted_rows(t.memories(s, d).select("id", "text")).select("id", F.sha2("r.text", 256).alias("redacted"), F.size("r.types").alias("n"))
 
 
 @query()
 def redaction_counts(s, d):
-    return redact.counts(t.memories(s, d).select(redact.redacted(F.col("text")).alias("r")).select("r.types"))
+    return redact.counts(redact.redacted_rows(t.memories(s, d).select("text")).select("r.types"))
 
 
 @query("SELECT CASE WHEN label_a = 0 THEN 0 ELSE label_a END AS repo, a, b, round(sim, 6) AS similarity, CASE WHEN sim >= 0.3 THEN 'merge' ELSE 'propose' END AS action FROM (SELECT x.label AS label_a, x.vec_id AS a, y.vec_id AS b, list_cosine_similarity(x.embedding::DOUBLE[], y.embedding::DOUBLE[]) AS sim FROM embeddings x JOIN embeddings y ON x.label = y.label AND x.vec_id < y.vec_id) WHERE sim >= 0.2")

@@ -73,6 +73,12 @@ def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), F.col("user_id").alias("proposal"), action.alias("action"))
 
 
+def redaction_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many findings of a type an ingest had."""
+    e = read(spark, sf_dir, "events")
+    return e.select(F.col("event_id").alias("ingest"), F.col("event_type").alias("type"), F.get_json_object("props", "$.k").cast("long").alias("n"), F.unix_millis(F.col("ts").cast("timestamp")).alias("created_at"))
+
+
 #: The same relations for DuckDB, as the start of a WITH clause.
 SQL = f"""
 mem AS (SELECT CAST(doc_id AS VARCHAR) AS id, (['decision','fact','lesson','command','todo','note','event'])[doc_id % 7 + 1] AS type, text,

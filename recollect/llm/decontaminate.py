@@ -204,7 +204,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, least: float = SIMILARITY, ra
     place = ["doc_id", "text_hash", "start", "long"]
     parts = seen.select(*place, "high", "low", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))).alias("block")).withColumn("value", _value())
     distance = (F.bit_count(F.col("high").bitwiseXOR(F.col("item_high"))) + F.bit_count(F.col("low").bitwiseXOR(F.col("item_low")))).alias("distance")
-    near = parts.join(index(own, radius), ["block", "value"]).select(*place, "item_id", distance).where(F.col("distance") <= radius).distinct()
+    # Merged: the index has thousands of rows an item, which isn't sent to all tasks.
+    near = parts.join(index(own, radius).hint("merge"), ["block", "value"]).select(*place, "item_id", distance).where(F.col("distance") <= radius).distinct()
     both = near.join(seen.select(*place, "grams").dropDuplicates(place), place).join(own.select("item_id", F.col("grams").alias("item_grams")), "item_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

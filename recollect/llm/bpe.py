@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import base64
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 from itertools import chain
 
@@ -24,7 +24,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Encoded parts of texts that a Python worker keeps twice: the latest, and those before them.
-KEPT_PARTS = 300_000
+KEPT_PARTS = 150_000
+#: Starts of pieces, by their bytes, whose prefixes are kept to go on from.
+KEPT_STARTS = 100_000
+STARTS = (8, 6, 4)
+#: Pairs of tokens whose standing side by side a worker keeps.
+KEPT_PAIRS = 400_000
 #: Longer parts are not kept.
 KEPT_BYTES = 64
 
@@ -74,7 +79,7 @@ class Vocabulary:
     def adjacent(self, a: int, b: int) -> bool:
         found = self.known.get((a, b))
         if found is None:
-            if len(self.known) > 1_000_000:
+            if len(self.known) > KEPT_PAIRS:
                 self.known.clear()
             found = self.known[a, b] = self._meet(a, b)
         return found
@@ -83,9 +88,10 @@ class Vocabulary:
 class Prefixes:
     """A piece of bytes with the last token of each of its prefixes."""
 
-    def __init__(self, vocabulary: Vocabulary, data: bytes = b""):
-        self.vocabulary, self.data, self.last = vocabulary, b"", [-1]
-        self.append(data)
+    def __init__(self, vocabulary: Vocabulary, data: bytes = b"", start: bytes = b"", last: Sequence[int] = (-1,)):
+        """Of data; start is a beginning of it whose prefixes' tokens, last, are known already."""
+        self.vocabulary, self.data, self.last = vocabulary, start, list(last)
+        self.append(data[len(start) :])
 
     def append(self, data: bytes) -> None:
         whole, before, last, vocabulary = self.data + data, len(self.data), self.last, self.vocabulary
@@ -130,13 +136,30 @@ class Encoder:
     """Encodes texts; each match of the pattern for itself."""
 
     def __init__(self, vocabulary: Vocabulary, pattern: str):
-        self.vocabulary, self.pieces, self.chunks, self.older = vocabulary, regex.compile(pattern), {}, {}
+        self.vocabulary, self.pieces, self.chunks, self.older, self.starts = vocabulary, regex.compile(pattern), {}, {}, {}
+
+    def piece(self, data: bytes) -> list[int]:
+        """Words share their beginnings: the bytes that come after one that is known are appended to it."""
+        starts = self.starts
+        for n in STARTS:
+            if n < len(data) and (last := starts.get(data[:n])) is not None:
+                held = Prefixes(self.vocabulary, data, data[:n], last)
+                break
+        else:
+            held = Prefixes(self.vocabulary, data)
+            n = 0
+        if len(starts) > KEPT_STARTS:
+            starts.clear()
+        for m in STARTS:
+            if n < m < len(data):
+                starts[data[:m]] = held.last[: m + 1]
+        return held.tokens()
 
     def chunk(self, text: str) -> tuple[int, ...]:
         tokens = self.older.get(text)
         if tokens is None:
             pieces = self.pieces.findall(text)
-            tokens = tuple(chain.from_iterable([Prefixes(self.vocabulary, p.encode()).tokens() for p in pieces]))
+            tokens = tuple(chain.from_iterable([self.piece(p.encode()) for p in pieces]))
         if len(text) <= KEPT_BYTES:
             if len(self.chunks) >= KEPT_PARTS:
                 self.older, self.chunks = self.chunks, {}
@@ -151,14 +174,23 @@ class Encoder:
         parts[0] = parts[0][1:]
         return list(chain.from_iterable([kept.get(p) or chunk(p) for p in parts]))
 
-    def decode(self, ids: Iterable[int]) -> bytes:
-        return b"".join(map(self.vocabulary.token.__getitem__, ids))
+
+def _ranks(file: bytes) -> Iterator[tuple[bytes, int]]:
+    for line in file.splitlines():
+        if line:
+            token, rank = line.split()
+            yield base64.b64decode(token), int(rank)
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def _encoder(file: bytes, pattern: str) -> Encoder:
-    ranks = {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in file.splitlines() if line)}
-    return Encoder(Vocabulary(ranks), pattern)
+    return Encoder(Vocabulary(dict(_ranks(file))), pattern)
+
+
+@lru_cache(maxsize=1)
+def _tokens(file: bytes) -> dict[int, bytes]:
+    """The bytes of each id, which is all that decoding needs."""
+    return {rank: token for token, rank in _ranks(file)}
 
 
 def encode(docs: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
@@ -180,7 +212,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text") -> Data
     return docs.mapInArrow(run, schema)
 
 
-def decode(tokens: DataFrame, path: str, pattern: str, ids: str = "ids") -> DataFrame:
+def decode(tokens: DataFrame, path: str, ids: str = "ids") -> DataFrame:
     """Adds decoded, the bytes that the token ids stand for."""
     file = tokens.sparkSession.sparkContext.broadcast(read_ranks(path))
     rest = [c for c in tokens.columns if c != "decoded"]
@@ -188,11 +220,11 @@ def decode(tokens: DataFrame, path: str, pattern: str, ids: str = "ids") -> Data
     schema = T.StructType([*tokens.schema.fields, T.StructField("decoded", T.BinaryType(), True)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(file.value, pattern)
+        own = _tokens(file.value).__getitem__
         for batch in batches:
             column = batch.column(ids)
             at, values = column.offsets.to_numpy(), column.values.to_numpy()
-            found = [encoder.decode(values[a:b].tolist()) for a, b in zip(at[:-1], at[1:], strict=True)]
+            found = [b"".join(map(own, values[a:b].tolist())) for a, b in zip(at[:-1], at[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.binary())], names=[*batch.schema.names, "decoded"])
 
     return tokens.mapInArrow(run, schema)
@@ -201,6 +233,6 @@ def decode(tokens: DataFrame, path: str, pattern: str, ids: str = "ids") -> Data
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """Per document the number of tokens, and SHA-256 of its ids and of what they decode to."""
     tokens = encode(docs.select("doc_id", "text"), path, pattern).drop("text")
-    return decode(tokens, path, pattern).select(
+    return decode(tokens, path).select(
         "doc_id", "n_tokens", F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
     )

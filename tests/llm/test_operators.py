@@ -46,7 +46,7 @@ def encoding():
 
 def test_bpe(spark, rows):
     own = encoding()
-    for r in bpe.decode(bpe.encode(table(spark, rows), RANKS, P.PATTERN), RANKS, P.PATTERN).collect():
+    for r in bpe.decode(bpe.encode(table(spark, rows), RANKS, P.PATTERN), RANKS).collect():
         assert list(r["ids"]) == own.encode_ordinary(r["text"] or "") and bytes(r["decoded"]) == (r["text"] or "").encode() and r["n_tokens"] == len(r["ids"])
     encoder = bpe._encoder(bpe.read_ranks(RANKS), P.PATTERN)
     for t in ["    \n\n\t  x", " " * 300, "漢字😀" * 20, "\x00ÿ", "don't 123 !!??", " a", "a ", "a  b\n c \n d\n\n  e  ", "\x1c a\x85 b　 c"]:

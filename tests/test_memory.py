@@ -152,3 +152,38 @@ def test_every_appended_memory_is_numbered(spark):
     wanted = sorted([(r["created_at"], r["id"]) for r in memories.collect()])
     assert sorted(tuple(r) for r in memory.appended(memories, events).collect()) == [(42 + n, i) for n, (_, i) in enumerate(wanted)]
     assert memory.appended(memories, events.where("false")).agg(F.min("seq")).first()[0] == 1
+
+
+def test_parsed_query(spark):
+    got = one(spark, text.parsed_query(F.col("v0"), 10 * 86_400_000), " type:fact repo:myrepo since:7d since:3w who:me project: what did  we type:todo ")
+    assert (got["q"], got["type"], got["repo"], got["project"], got["since_ms"]) == ("who:me project: what did we", ["fact", "todo"], "myrepo", None, 3 * 86_400_000)
+    assert one(spark, text.parsed_query(F.col("v0"), 0), "")["q"] == ""
+
+
+def test_normalised(spark):
+    given = r"see C:\Users\me\src\a.ts and /home/me/notes, not /opt/home/me, at 2024-01-15  10:30:00.5 UTC with Copilot"
+    assert one(spark, text.normalised(F.col("v0"), "/home/me"), given) == "see C:/Users/me/src/a.ts and ~/notes, not /opt/home/me, at 2024-01-15T10:30:00Z with github-copilot"
+
+
+def test_fake_vector(spark):
+    import math
+
+    words, h = "port é😀", 0
+    for unit in memoryview(words.encode("utf-16-le")).cast("H"):
+        h = ((h * 31 + unit + 2**31) & 0xFFFFFFFF) - 2**31
+    got = one(spark, text.fake_vector(F.col("v0"), 3), words)
+    assert got == pytest.approx([math.sin(h * 0.001 + i * 0.01) for i in range(3)], abs=1e-5)
+
+
+def test_indexed_scores_are_those_of_the_texts(spark):
+    frame = spark.createDataFrame([(str(i), f"one {'two ' * (i % 3)} three é {i}") for i in range(30)] + [("x", None), ("y", "")], "id string, text string")
+    plain = {r["id"]: round(r["bm25"], 9) for r in search.keyword_scores(frame, "two three").collect()}
+    got = {r["id"]: round(r["bm25"], 9) for r in search.indexed_scores(search.postings(frame), search.corpus(frame.where("text is not null")), "two three").collect()}
+    assert plain and set(got) == set(plain)
+
+
+def test_redacted_rows(spark):
+    rows = [("a", "plain"), ("b", None), ("c", "password = hunter2secret!"), ("d", "AKIA" + "A1B2C3D4E5F6G7H8"), ("e", "a://u:p@h x")]
+    got = {r["id"]: r["r"] for r in redact.redacted_rows(spark.createDataFrame(rows, "id string, text string")).collect()}
+    for name, body in rows:
+        assert (got[name]["text"], got[name]["types"]) == (redact.redact_text(body) if body is not None else (None, []))

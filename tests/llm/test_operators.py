@@ -67,6 +67,18 @@ def test_bpe_edits():
         assert held.tokens() == bpe.Prefixes(vocabulary, whole).tokens() and held.last == bpe.Prefixes(vocabulary, whole).last
 
 
+def test_bpe_columns():
+    """Many pieces at once give the same last tokens as one by one, and many texts the same ids as tiktoken."""
+    own, encoder, q = encoding(), bpe._encoder(bpe.read_ranks(RANKS), P.PATTERN), random.Random(5)
+    texts = ["".join(q.choice(" \n\ta'sé漢1!Bth") for _ in range(q.randint(0, 200))) for _ in range(300)] + ["", "b" * 64 + " " + "c" * 65 + " " + "=" * 900]
+    tokens, counts = encoder.encode_all(texts)
+    parts = np.split(tokens, np.cumsum(counts)[:-1])
+    assert [x.tolist() for x in parts] == [own.encode_ordinary(x) for x in texts] and encoder.encode_all([])[0].tolist() == []
+    pieces = [bytes(q.choice(b"the andingtion") for _ in range(q.randint(1, 64))) for _ in range(200)]
+    last = encoder.columns.last(np.frombuffer(b"".join(pieces), np.uint8), np.array(list(map(len, pieces))))
+    assert last.tolist() == [x for piece in pieces for x in bpe.Prefixes(encoder.vocabulary, piece).last]
+
+
 def test_jaccard(spark, rows):
     given = [(i, t) for i, t in rows if i is not None]
     got = {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.join(table(spark, rows), 4, 85).where("doc_id is not null").collect()}

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from recollect.llm import bpe, decontaminate, jaccard, licenses, media, secrets, sharding, spans, suffixes, toxicity
+from recollect.llm import bpe, decontaminate, jaccard, licenses, media, oracles, secrets, sharding, spans, suffixes, toxicity
 from recollect.session import ship
 
 TOKENIZER = "byte_bpe_50k.tiktoken"
@@ -61,4 +61,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracles.SQL)

@@ -7,6 +7,7 @@ import random
 import re
 import zlib
 
+import duckdb
 import numpy as np
 import public_tokenizers as P
 import pytest
@@ -557,3 +558,12 @@ def test_stages_keep_the_columns(spark):
 
 def test_queries_are_registered():
     assert {int(re.match(r"op(\d+)_", n)[1]) for n in queries.queries()} == set(range(1, 11))
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_query_against_its_sql(spark, name):
+    frame = queries.queries()[name](spark, DATA)
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{DATA}/documents.parquet'")
+    wanted = con.sql(queries.oracle_sql()[name])
+    assert sorted(map(tuple, frame.select(*wanted.columns).collect())) == sorted(wanted.fetchall())

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -157,6 +157,13 @@ def upserted_vectors(vectors: DataFrame, new: DataFrame, size: int) -> DataFrame
     return rows.select("id", F.coalesce("new", "embedding").alias("embedding"), F.when(F.col("new").isNotNull(), "replaced").otherwise("kept").alias("how"))
 
 
+def reembedded(requests: DataFrame, memories: DataFrame, embed: Callable[[Column], Column]) -> DataFrame:
+    """Each request with its outcome and the memory's new vector; a memory that is not there any more is no failure."""
+    rows = requests.join(memories.select("id", "text", F.lit(True).alias("known")), "id", "left")
+    outcome = F.when(F.col("known"), "embedded").otherwise("missing")
+    return rows.select(*requests.columns, outcome.alias("outcome"), F.when(F.col("known"), embed(F.col("text"))).alias("embedding"))
+
+
 def sync_batches(events: DataFrame, size: int = 200) -> DataFrame:
     """batch, n, first_seq and acked_seq, where the cursor goes once the batch is acknowledged."""
     rows = numbered(events.select("seq"), ["seq"], "number", 0)

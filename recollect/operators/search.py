@@ -79,17 +79,51 @@ def hybrid(memories: DataFrame, keyword: DataFrame, vector: DataFrame, useful: D
     left = keyword.orderBy("bm25", "id").limit(width).select("id", (-F.col("bm25")).alias("k"))
     right = vector.orderBy(F.desc("score"), "id").limit(width).select("id", F.col("score").alias("v"))
     left, right = left.where("false") if mode == "semantic" else left, right.where("false") if mode == "keyword" else right
-    both = left.join(right, "id", "full_outer")
-    whole = Window.partitionBy(F.lit(0))
-    both = both.withColumns({"nk": scoring.minmax(F.col("k"), whole), "nv": scoring.minmax(F.col("v"), whole)})
-    rows = both.join(memories, "id", "left").join(useful, "id", "left")
-    fresh = scoring.freshness(F.coalesce("created_at", F.lit(now_ms)), now_ms)
-    parts = {"keyword": F.col("nk"), "vector": F.col("nv"), "importance": F.coalesce("importance", F.lit(0.5)), "freshness": fresh, "usefulness": F.coalesce("useful", F.lit(0.5))}
-    source = F.when(F.col("k").isNotNull() & F.col("v").isNotNull(), "both").when(F.col("k").isNotNull(), "fts").otherwise("vec")
-    rows = rows.withColumns({"score": scoring.fuse(*parts.values(), weights), "source": source, **{f"{n}_part": c * getattr(weights, n) for n, c in parts.items()}})
+    rows = fused(left, right, memories, useful, now_ms, weights)
     kept = rows.where(F.col("valid_to").isNull() & F.col("text").isNotNull())
     kept = kept.where(F.col("type").isin(list(types))) if types else kept
     kept = kept.where(F.col("repo") == repo) if repo is not None else kept
     kept = kept.where(F.col("project").isin(list(projects))) if projects else kept
     kept = kept.where(F.col("created_at") >= since_ms) if since_ms is not None else kept
     return kept.orderBy(F.desc("score"), "id").limit(limit)
+
+
+def fused(left: DataFrame, right: DataFrame, memories: DataFrame, useful: DataFrame, now_ms: int, weights: scoring.Weights = scoring.Weights(), by: Sequence[str] = ()) -> DataFrame:
+    """Candidates of both legs (k and v, higher is better) with their memories, fused score, source and the signals' shares; scores are scaled within the columns of by."""
+    whole = Window.partitionBy(*(by or [F.lit(0)]))
+    both = left.join(right, [*by, "id"], "full_outer")
+    both = both.withColumns({"nk": scoring.minmax(F.col("k"), whole), "nv": scoring.minmax(F.col("v"), whole)})
+    rows = both.join(memories, "id", "left").join(useful, "id", "left")
+    fresh = scoring.freshness(F.coalesce("created_at", F.lit(now_ms)), now_ms)
+    parts = {"keyword": F.col("nk"), "vector": F.col("nv"), "importance": F.coalesce("importance", F.lit(0.5)), "freshness": fresh, "usefulness": F.coalesce("useful", F.lit(0.5))}
+    source = F.when(F.col("k").isNotNull() & F.col("v").isNotNull(), "both").when(F.col("k").isNotNull(), "fts").otherwise("vec")
+    return rows.withColumns({"score": scoring.fuse(*parts.values(), weights), "source": source, **{f"{n}_part": c * getattr(weights, n) for n, c in parts.items()}})
+
+
+def keyword_scores_of_all(memories: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query, id, bm25): keyword_scores() of every row of queries (query, body) in one join by terms, phrases by the terms' places.
+
+    Queries without terms give no rows."""
+    parts = queries.select("query", F.posexplode(F.split(F.trim("body"), r"\s+")).alias("phrase", "part")).withColumn("own", text.terms(F.col("part"))).where(F.size("own") > 0)
+    phrases = parts.select("query", "phrase", F.size("own").alias("words"))
+    asked = parts.select("query", "phrase", F.posexplode("own").alias("place", "term"))
+    own = memories.select("id", text.terms(F.col("text")).alias("own"))
+    terms = own.select("id", (2 * F.size("own")).alias("size"), F.posexplode("own").alias("at", "term"))
+    hits = terms.join(asked, "term").groupBy("query", "phrase", "id", (F.col("at") - F.col("place")).alias("start")).agg(F.count("*").alias("n"), F.first("size").alias("size"))
+    found = hits.join(phrases, ["query", "phrase"]).where("n = words").groupBy("query", "phrase", "id").agg((2 * F.count("*")).alias("f"), F.first("size").alias("size"))
+    idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weighed = found.groupBy("query", "phrase").agg(F.count("*").alias("df")).crossJoin(F.broadcast(corpus(memories))).select("query", "phrase", "mean", F.when(idf > 0, idf).otherwise(1e-6).alias("idf"))
+    part = F.col("idf") * F.col("f") * 2.2 / (F.col("f") + 1.2 * (0.25 + 0.75 * F.col("size") / F.col("mean")))
+    scores = found.join(weighed, ["query", "phrase"]).groupBy("query", "id").agg((-F.sum(part)).alias("bm25"), F.count("*").alias("n"))
+    wanted = phrases.groupBy("query").agg(F.count("*").alias("wanted"))
+    return scores.join(wanted, "query").where("n = wanted").select("query", "id", "bm25")
+
+
+def nearest_to_all(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """(query, id, distance, score) of the k nearest vectors to the point of every row of queries (query, point).
+
+    The queries are a stated set against all vectors; each task keeps k of its own for a query before the shuffle."""
+    square = F.aggregate(F.zip_with("embedding", "point", lambda a, b: (a.cast("double") - b) * (a.cast("double") - b)), F.lit(0.0), lambda s, x: s + x)
+    rows = vectors.select("id", "embedding").crossJoin(queries.select("query", "point")).select("query", "id", F.sqrt(square).alias("distance"))
+    place = F.row_number().over(Window.partitionBy("query").orderBy("distance", "id"))
+    return rows.withColumn("place", place).where(F.col("place") <= k).select("query", "id", "distance", (1 / (1 + F.col("distance"))).alias("score"))

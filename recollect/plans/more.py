@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from recollect.functions import text
-from recollect.operators import memory, proposals
+from recollect.operators import evaluation, memory, proposals, scrub
 from recollect.plans.catalog import query, r6
 from recollect.sources import tables as t
+from recollect.sources import transcripts
 
 NOW = t.NOW_MS
 K = "CAST(json_extract_string(props, '$.k') AS INTEGER)"
@@ -186,3 +187,78 @@ def lifecycle_outcomes(s, d):
 @query("SELECT item_id AS id, round(list_reduce(list_prepend(0::BIGINT, list_transform(string_split(text, ''), lambda c: unicode(c)::BIGINT)), lambda h, c: ((h * 31 + c + 2147483648) & 4294967295) - 2147483648) * 0.001, 3) AS phase, 1024 AS size FROM benchmark")
 def fake_vectors(s, d):
     return t.read(s, d, "benchmark").select(F.col("item_id").alias("id"), F.round(text.fake_seed(F.col("text")) * 0.001, 3).alias("phase"), F.size(text.fake_vector(F.col("text"))).alias("size"))
+
+
+SEED = "list_reduce(list_prepend(0::BIGINT, list_transform(string_split(text, ''), lambda c: unicode(c)::BIGINT)), lambda h, c: ((h * 31 + c + 2147483648) & 4294967295) - 2147483648)"
+# Two words of an item ask for it (grade 3) and the next one (grade 1); every third query allows only the item's type, every eighth asks for a past time.
+GOLD = rf""", it AS (SELECT item_id AS id, (['decision','fact','lesson','command','todo','note','event'])[item_id % 7 + 1] AS type, (item_id % 11)::DOUBLE / 10 AS importance, item_id % 17 = 3 AS gone, w, list_transform(range(64), lambda i: sin(seed * 0.001 + i * 0.01)::FLOAT::DOUBLE) AS e
+  FROM (SELECT item_id, list_filter(regexp_split_to_array(translate(lower(text), '{text.ACCENTED}', '{text.PLAIN}'), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS w, {SEED} AS seed FROM benchmark)),
+asked AS (SELECT id AS query, type, w, e FROM it WHERE id % 8 <> 6),
+ph AS (SELECT query, p, w[2 * p + 1] AS term FROM asked, (SELECT unnest([1, 2]) AS p)),
+fr AS (SELECT query, p, id, 2 * len(list_filter(w, lambda x: x = term)) AS f, 2 * len(w) AS size FROM ph, it),
+c AS (SELECT count(*) AS n, avg(2 * len(w)) AS mean FROM it),
+idf AS (SELECT query, p, greatest(ln((any_value(n) - count(*) + 0.5) / (count(*) + 0.5)), 1e-6) AS idf, any_value(mean) AS mean FROM fr, c WHERE f > 0 GROUP BY query, p),
+bm AS (SELECT fr.query AS query, id, sum(idf * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * size / mean))) AS k FROM fr JOIN idf ON idf.query = fr.query AND idf.p = fr.p WHERE f > 0 GROUP BY fr.query, id HAVING count(*) = 2),
+k AS (SELECT * FROM bm QUALIFY row_number() OVER (PARTITION BY query ORDER BY k DESC, id) <= 50),
+ds AS (SELECT query, id, list_distance(asked.e, it.e) AS d FROM asked, it),
+v AS (SELECT query, id, 1 / (1 + d) AS v FROM ds QUALIFY row_number() OVER (PARTITION BY query ORDER BY d, id) <= 50),
+b AS (SELECT coalesce(k.query, v.query) AS query, coalesce(k.id, v.id) AS id, k, v FROM k FULL JOIN v ON k.query = v.query AND k.id = v.id),
+n AS (SELECT *, CASE WHEN k IS NULL THEN 0 WHEN min(k) OVER o = max(k) OVER o THEN 1 ELSE (k - min(k) OVER o) / (max(k) OVER o - min(k) OVER o) END AS nk, CASE WHEN v IS NULL THEN 0 WHEN min(v) OVER o = max(v) OVER o THEN 1 ELSE (v - min(v) OVER o) / (max(v) OVER o - min(v) OVER o) END AS nv FROM b WINDOW o AS (PARTITION BY query)),
+pl AS (SELECT n.query AS query, n.id AS id, row_number() OVER (PARTITION BY n.query ORDER BY 0.4 * nk + 0.4 * nv + 0.1 * importance DESC, n.id) AS place FROM n JOIN it ON it.id = n.id JOIN asked ON asked.query = n.query WHERE NOT gone AND (n.query % 3 > 0 OR asked.type = it.type)),
+gr AS (SELECT query, query AS item, 3 AS grade, 1 AS best FROM asked UNION ALL SELECT query, query + 1, 1, 2 FROM asked),
+q AS (SELECT gr.query AS query, avg((place IS NOT NULL)::INT) AS recall, sum(CASE WHEN place IS NULL THEN 0 ELSE (pow(2, grade) - 1) / log2(place + 1) END) / sum((pow(2, grade) - 1) / log2(best + 1)) AS ndcg FROM gr LEFT JOIN pl ON pl.query = gr.query AND pl.id = item AND place <= 10 GROUP BY gr.query),
+r AS (SELECT item_id AS query, item_id % 8 = 6 AS skipped, recall, ndcg FROM benchmark LEFT JOIN q ON q.query = item_id)"""
+
+
+def _golden(s, d):
+    items, n = t.read(s, d, "benchmark"), F.col("item_id")
+    own = text.terms(F.col("text"))
+    kind, vector = F.get(F.array(*[F.lit(k) for k in t.TYPES]), (n % 7).cast("int")), text.fake_vector(F.col("text"), 64)
+    corpus = items.select(n.alias("id"), kind.alias("type"), "text", ((n % 11).cast("double") / 10).alias("importance"), F.lit(NOW).alias("created_at"), F.when(n % 17 == 3, F.lit(NOW)).alias("valid_to"), vector.alias("embedding"))
+    grade = lambda item, g: F.struct(item.alias("atom_id"), F.lit(g).alias("grade"))
+    queries = items.select(
+        n.alias("query"), F.concat_ws(" ", F.get(own, F.lit(2)), F.get(own, F.lit(4))).alias("body"), vector.alias("point"),
+        F.when(n % 3 == 0, F.array(kind)).alias("types"), F.when(n % 8 == 6, "2024-01-01").alias("as_of"), F.array(grade(n, 3), grade(n + 1, 1)).alias("graded"),
+    )
+    return evaluation.evaluated(corpus, queries, NOW)
+
+
+@query(f"{GOLD} SELECT query, skipped, round(recall, 6) AS recall, round(ndcg, 6) AS ndcg FROM r")
+def golden_quality(s, d):
+    return _golden(s, d).select("query", "skipped", r6("recall"), r6("ndcg"))
+
+
+@query(f"{GOLD} SELECT count(*) FILTER (NOT skipped) AS evaluated, count(*) FILTER (skipped) AS skipped, coalesce(round(avg(recall), 6), 0.0) AS recall, coalesce(round(avg(ndcg), 6), 0.0) AS ndcg FROM r")
+def golden_means(s, d):
+    return evaluation.means(_golden(s, d)).select("evaluated", "skipped", r6("recall"), r6("ndcg"))
+
+
+@query("SELECT event_id AS id, 'sent bearer [REDACTED], user ' || user_id AS message, '[REDACTED]' AS api_key, '[REDACTED]' AS inner_token, event_type AS inner_name, 'Bearer [REDACTED]' AS tag, CASE WHEN event_id % 2 = 0 THEN 'name=' || event_type ELSE 'authorization=[REDACTED]' END AS extra, CASE WHEN length(repeat(event_type, 40)) > 200 THEN substr(repeat(event_type, 40), 1, 200) || '... [' || (length(repeat(event_type, 40)) - 200) || ' more chars]' ELSE repeat(event_type, 40) END AS transcript FROM events")
+def scrubbed_logs(s, d):
+    n, e = F.col("event_id"), F.col("event_type")
+    secret = F.concat(F.lit("a1.b2-"), n.cast("string"), F.lit("=="))
+    extra = F.when(n % 2 == 0, F.create_map(F.lit("name"), e)).otherwise(F.create_map(F.lit("authorization"), secret))
+    record = F.struct(
+        F.concat(F.lit("sent bearer  "), secret, F.lit(", user "), F.col("user_id").cast("string")).alias("message"), secret.alias("api_key"),
+        F.struct(F.array(secret).alias("Token"), e.alias("name")).alias("inner"), F.array(F.concat(F.lit("Bearer "), secret)).alias("tags"), extra.alias("extra"),
+    )
+    rows = t.read(s, d, "events").select(n.alias("id"), record.alias("record"), scrub.shortened(F.repeat(e, 40)).alias("transcript"))
+    rows = rows.withColumn("record", scrub.scrubbed(F.col("record"), rows.schema["record"].dataType))
+    one = F.map_entries("record.extra")[0]
+    return rows.select("id", "record.message", "record.api_key", F.col("record.inner.Token").alias("inner_token"), F.col("record.inner.name").alias("inner_name"), F.col("record.tags")[0].alias("tag"), F.concat_ws("=", one["key"], one["value"]).alias("extra"), "transcript")
+
+
+@query(f", a AS (SELECT event_id AS request, CAST(user_id AS VARCHAR) AS id FROM events WHERE event_type = 'purchase') SELECT request, a.id AS id, CASE WHEN mem.id IS NULL THEN 'missing' ELSE 'embedded' END AS outcome, round(sin({SEED} * 0.001)::FLOAT::DOUBLE, 5) AS head FROM a LEFT JOIN mem ON mem.id = a.id")
+def reembedded(s, d):
+    requests = t.read(s, d, "events").where("event_type = 'purchase'").select(F.col("event_id").alias("request"), F.col("user_id").cast("string").alias("id"))
+    rows = memory.reembedded(requests, t.memories(s, d), lambda body: text.fake_vector(body, 64))
+    return rows.select("request", "id", "outcome", F.round(F.get("embedding", F.lit(0)).cast("double"), 5).alias("head"))
+
+
+@query("SELECT session_id, coalesce(max(repo), 'unknown') AS repo, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS body FROM (SELECT *, CASE WHEN CAST(session_id AS BIGINT) % 3 > 0 THEN 'r' || session_id END AS repo FROM turn) GROUP BY session_id")
+def legacy_transcripts(s, d):
+    said = F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))), lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text")))
+    n = F.col("session_id").cast("long")
+    posted = t.turns(s, d).groupBy("session_id").agg(F.to_json(said).alias("content"))
+    posted = posted.select(F.to_json(F.struct("session_id", F.lit("cli").alias("source"), "content", F.when(n % 3 > 0, F.concat(F.lit("r"), "session_id")).alias("repo"))).alias("line"))
+    return transcripts.rows(posted).select("session_id", F.coalesce("repo", F.lit("unknown")).alias("repo"), text.flattened_turns(F.col("content")).alias("body"))

@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from recollect.functions import scoring, text
-from recollect.operators import chunks, memory, proposals, redact, search
+from recollect.operators import chunks, evaluation, memory, proposals, redact, scrub, search
+from recollect.sources import golden, transcripts
 from recollect.streaming import ingest
 
 
@@ -187,3 +188,57 @@ def test_redacted_rows(spark):
     got = {r["id"]: r["r"] for r in redact.redacted_rows(spark.createDataFrame(rows, "id string, text string")).collect()}
     for name, body in rows:
         assert (got[name]["text"], got[name]["types"]) == (redact.redact_text(body) if body is not None else (None, []))
+
+
+def test_keyword_scores_of_all_queries_are_those_of_each(spark):
+    rows = [("1", "use sqlite-vec with sqlite here"), ("2", "vec then sqlite"), ("3", "SQLite vec, sqlite vec"), ("4", None), ("5", "")]
+    frame = spark.createDataFrame(rows, "id string, text string")
+    asked = [("a", "sqlite-vec"), ("b", "sqlite vec"), ("c", "  sqlite sqlite "), ("d", "-- ?"), ("e", "nowhere"), ("f", "")]
+    queries = spark.createDataFrame(asked, "query string, body string")
+    found = {(r["query"], r["id"], round(r["bm25"], 9)) for r in search.keyword_scores_of_all(frame, queries).collect()}
+    assert found == {(q, r["id"], round(r["bm25"], 9)) for q, body in asked for r in search.keyword_scores(frame, body).collect()}
+    assert {i for q, i, _ in found if q == "a"} == {"1", "3"}
+
+
+def test_golden_files(spark, tmp_path):
+    atom = lambda i, words, **more: {"id": i, "type": "fact", "text": words, "importance": 0.5, "confidence": 0.9, "scope": "team", "valid_to": None, "provenance": {"repo": "r", "project": "p"}, **more}
+    (tmp_path / "corpus.json").write_text(json.dumps({"atoms": [atom("a", "the build needs java"), atom("b", "tests run at night", type="command"), atom("c", "old java rule", valid_to="2024-01-01T00:00:00.000Z")]}, indent=1))
+    ask = lambda i, words, grades, **filters: {"id": i, "text": words, "mode": "hybrid", "filters": filters, "graded_relevant": [{"atom_id": a, "grade": g} for a, g in grades]}
+    asked = [ask("1", "java build", [("a", 3)]), ask("2", "java", [("a", 3), ("c", 1)]), ask("3", "java", [("c", 3)], as_of="2023-01-01T00:00:00.000Z"), ask("4", "tests night", [("b", 3)], type=["command"]), ask("5", "java", [])]
+    (tmp_path / "queries.json").write_text(json.dumps({"queries": asked}))
+    quality = evaluation.evaluated(golden.corpus(spark, str(tmp_path / "corpus.json"), 10**12), golden.queries(spark, str(tmp_path / "queries.json")), 10**12)
+    rows = {r["query"]: r for r in quality.collect()}
+    assert [rows[q]["recall"] for q in "12345"] == [1.0, 0.5, None, 1.0, 1.0] and rows["3"]["skipped"]
+    assert (rows["1"]["ndcg"], rows["4"]["ndcg"]) == (1.0, 1.0) and 0.5 < rows["2"]["ndcg"] < 1
+    assert evaluation.means(quality).first()[:3] == (4, 1, pytest.approx(0.875))
+    assert evaluation.means(quality.where("false")).first()[:] == (0, 0, 0.0, 0.0)
+
+
+@pytest.mark.parametrize(("given", "wanted"), [("Bearer abc.d-e_f+/=, x", "Bearer [REDACTED], x"), ("BEARER\t\tq bearer r", "BEARER [REDACTED] bearer [REDACTED]"), ("a bearer", "a bearer"), ("", "")])
+def test_masked(spark, given, wanted):
+    assert one(spark, scrub.masked(F.col("v0")), given) == wanted
+
+
+def test_scrubbed_records(spark):
+    schema = "msg string, Api_Key long, deep struct<x: array<struct<authorization: string, note: string>>, n: int>, tags map<string, string>, none struct<a: string>"
+    row = ("bearer t", 7, ([("s", "Bearer u"), None], 3), {"myToken": "v", "name": "Bearer w"}, None)
+    frame = spark.createDataFrame([(row,), (None,)], f"r struct<{schema}>")
+    out = frame.select(scrub.scrubbed(F.col("r"), frame.schema["r"].dataType).alias("r")).collect()
+    got = out[0]["r"].asDict(recursive=True)
+    assert got == {"msg": "bearer [REDACTED]", "Api_Key": "[REDACTED]", "deep": {"x": [{"authorization": "[REDACTED]", "note": "Bearer [REDACTED]"}, None], "n": 3}, "tags": {"myToken": "[REDACTED]", "name": "Bearer [REDACTED]"}, "none": None}
+    assert out[1]["r"] is None
+    assert one(spark, scrub.shortened(F.col("v0")), "x" * 203) == "x" * 200 + "... [3 more chars]"
+    assert one(spark, scrub.shortened(F.col("v0")), "x" * 200) == "x" * 200
+
+
+def test_posted_transcripts(spark, tmp_path):
+    lines = [{"session_id": "s", "source": "cli", "content": "hello", "repo": "r"}, {"session_id": "s", "source": "cli", "content": "hello", "repo": None}, {"session_id": "", "source": "cli", "content": "x"}, {"source": "cli", "content": "x"}, {"session_id": "t", "source": "cli", "content": ""}]
+    (tmp_path / "posted.json").write_text("\n".join(map(json.dumps, lines)) + "\nno json\n")
+    assert sorted((r["session_id"], r["repo"] or "") for r in transcripts.read(spark, str(tmp_path)).collect()) == [("s", ""), ("s", "r")]
+
+
+def test_reembedded(spark):
+    memories = spark.createDataFrame([("1", "abc"), ("2", None)], "id string, text string")
+    rows = memory.reembedded(spark.createDataFrame([("1",), ("2",), ("3",)], "id string"), memories, lambda body: text.fake_vector(body, 4)).collect()
+    assert {r["id"]: r["outcome"] for r in rows} == {"1": "embedded", "2": "embedded", "3": "missing"}
+    assert {r["id"]: r["embedding"] is not None for r in rows}["1"]

@@ -2,6 +2,29 @@
 
 Both take whole tables and texts; all pairs that share a shingle, and all strings of 200 bytes, are compared, so they are for small tables."""
 
+
+
+def clusters(k: int, rounds: int, size: int, scale: int, salt: str) -> str:
+    """Every vector against every centroid, round by round."""
+    away = "list_inner_product(list_transform(list_zip(v, c), lambda z: (z[1] - z[2])::DOUBLE), list_transform(list_zip(v, c), lambda z: (z[1] - z[2])::DOUBLE))::BIGINT"
+    steps = [
+        f"""WITH kept AS (SELECT row_number() OVER () AS id, vec_id, list_transform(embedding, lambda x: floor({scale} * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE len(embedding) = {size} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+        f"c0 AS (SELECT row_number() OVER (ORDER BY h, v) - 1 AS cluster, v AS c FROM (SELECT sha256('{salt}' || coalesce(vec_id::VARCHAR, '')) AS h, v FROM kept ORDER BY h, v LIMIT {k}))",
+    ]
+    for i in range(rounds + 1):
+        steps.append(f"a{i} AS (SELECT id, any_value(vec_id) AS vec_id, any_value(v) AS v, min(ROW(d, cluster)) AS best FROM (SELECT id, vec_id, v, cluster, {away} AS d FROM kept, c{i}) GROUP BY id)")
+        if i < rounds:
+            steps.append(
+                f"s{i} AS (SELECT cluster, list(m ORDER BY j) AS c FROM (SELECT cluster, j, (sum(x) - ((sum(x) % count(*) + count(*)) % count(*)))::HUGEINT // count(*) AS m FROM (SELECT best[2] AS cluster, unnest(range(1, {size + 1})) AS j, unnest(v) AS x FROM a{i}) GROUP BY cluster, j) GROUP BY cluster)"
+            )
+            steps.append(f"c{i + 1} AS (SELECT c{i}.cluster, coalesce(s{i}.c::BIGINT[], c{i}.c) AS c FROM c{i} LEFT JOIN s{i} ON s{i}.cluster = c{i}.cluster)")
+    return ",\n".join(steps) + (
+        f"\nSELECT vec_id, best[2]::INT AS cluster, best[1]::BIGINT AS distance, (sum(best[1]) OVER (PARTITION BY best[2]))::BIGINT AS cluster_inertia, (sum(best[1]) OVER ())::BIGINT AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256 "
+        f"FROM a{rounds} JOIN c{rounds} ON c{rounds}.cluster = best[2]"
+    )
+
+
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 JACCARD = rf"""WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all({LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents),
@@ -25,4 +48,21 @@ parts AS (SELECT hexes.doc_id AS doc_id, h, length(h) // 2 AS size, coalesce(rem
 SELECT doc_id, size::BIGINT AS n_bytes, removed::BIGINT AS n_removed, n::BIGINT AS n_spans,
   sha256(unhex(CASE WHEN n = 0 THEN h ELSE array_to_string(list_transform(range(1, n + 2), lambda j: substr(h, 2 * e[j] + 1, 2 * (s[j] - e[j]))), '') END)) AS kept_sha256 FROM parts"""
 
-SQL = {"op4_ngram_jaccard_join": JACCARD, "op7_suffix_array_dedup": SUFFIXES}
+TRIE = r"""WITH RECURSIVE bits(i, v, k) AS (SELECT range, range, 0 FROM range(256) UNION ALL SELECT i, CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END, k + 1 FROM bits WHERE k < 8),
+crc AS (SELECT list(v ORDER BY i) AS t FROM bits WHERE k = 8),
+turns AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, k) AS pos, k, w FROM
+  (SELECT conv_id, turn, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS k, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS w FROM conversations WHERE conv_id IS NOT NULL)),
+ids AS (SELECT DISTINCT conv_id, conv_id::VARCHAR AS s FROM turns),
+convs AS (SELECT conv_id, conv_id - conv_id % 20 AS head, xor(4294967295, list_reduce(list_concat([4294967295], list_transform(range(1, length(s) + 1), lambda j: ascii(substr(s, j, 1))::BIGINT)), lambda a, b: xor(a // 256, t[xor(a, b) % 256 + 1]))) % 4 AS h FROM ids, crc),
+parts AS (SELECT convs.conv_id, 0 AS own, pos, k, w FROM convs JOIN turns ON turns.conv_id = head AND pos <= h UNION ALL SELECT convs.conv_id, 1, pos, k, w FROM convs JOIN turns ON turns.conv_id = convs.conv_id AND pos > h),
+rebuilt AS (SELECT conv_id, coalesce(ks, []) AS ks, coalesce(ws, []) AS ws FROM convs LEFT JOIN (SELECT conv_id, list(k ORDER BY own, pos) AS ks, list(w ORDER BY own, pos) AS ws FROM parts GROUP BY conv_id) USING (conv_id)),
+begins AS (SELECT conv_id, len(ks) AS n, ks, ws, unnest(range(0, len(ks) + 1)) AS depth FROM rebuilt),
+keyed AS (SELECT conv_id, depth, array_to_string(ks[1:depth], '') AS key, coalesce(ws[depth], 0) AS w, n = depth AS whole FROM begins),
+nodes AS (SELECT key, depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(w) AS w, sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE whole), '')) AS ends_sha256, substr(key, 1, 32 * (depth - 1)) AS up FROM keyed GROUP BY key, depth),
+kids AS (SELECT up AS key, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY up),
+counted AS (SELECT nodes.*, coalesce(n_children, 0) AS n_children FROM nodes LEFT JOIN kids USING (key)),
+tops AS (SELECT substr(key, 1, 32 * j) AS key, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum((n_convs - 1) * w) AS saved_tokens FROM (SELECT *, unnest(range(0, depth + 1)) AS j FROM counted) GROUP BY 1)
+SELECT c.conv_id, c.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, c.n_convs::BIGINT AS n_convs, c.n_children::BIGINT AS n_children, n_leaves::BIGINT AS n_leaves, saved_tokens::BIGINT AS saved_tokens, c.ends_sha256
+FROM counted c JOIN tops ON tops.key = c.key LEFT JOIN nodes p ON c.depth > 0 AND p.key = c.up"""
+
+SQL = {"op4_ngram_jaccard_join": JACCARD, "op7_suffix_array_dedup": SUFFIXES, "op11_conversation_trie": TRIE, "op13_centroid_clustering": clusters(40, 5, 64, 256, "2:")}

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from recollect.llm import bpe, decontaminate, jaccard, licenses, media, oracles, secrets, sharding, spans, suffixes, toxicity
+from recollect.llm import archives, balls, bpe, decontaminate, jaccard, licenses, media, oracles, secrets, sharding, spans, suffixes, toxicity, tries
 from recollect.session import ship
 
 TOKENIZER = "byte_bpe_50k.tiktoken"
@@ -56,6 +56,18 @@ def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tries.nodes(table(spark, sf_dir, "conversations"))
+
+
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archives.digests(table(spark, sf_dir, "pages"))
+
+
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return balls.cluster(table(spark, sf_dir, "embeddings"), 40, 5)
+
+
 def queries() -> dict:
     return {name: query for name, query in globals().items() if name.startswith("op")}
 

@@ -65,4 +65,9 @@ tops AS (SELECT substr(key, 1, 32 * j) AS key, sum(CASE WHEN n_children = 0 THEN
 SELECT c.conv_id, c.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, c.n_convs::BIGINT AS n_convs, c.n_children::BIGINT AS n_children, n_leaves::BIGINT AS n_leaves, saved_tokens::BIGINT AS saved_tokens, c.ends_sha256
 FROM counted c JOIN tops ON tops.key = c.key LEFT JOIN nodes p ON c.depth > 0 AND p.key = c.up"""
 
-SQL = {"op4_ngram_jaccard_join": JACCARD, "op7_suffix_array_dedup": SUFFIXES, "op11_conversation_trie": TRIE, "op13_centroid_clustering": clusters(40, 5, 64, 256, "2:")}
+WARC = """WITH p AS (SELECT page_id, coalesce(html, '') AS t, sha1(coalesce(html, '')) AS h, row_number() OVER (PARTITION BY coalesce(html, '') ORDER BY page_id NULLS LAST) AS n, first_value(page_id) OVER (PARTITION BY coalesce(html, '') ORDER BY page_id NULLS LAST) AS first FROM pages)
+SELECT page_id, strlen(t)::BIGINT AS payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda j: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(h, 5 * (j // 4) + 1, 5))::BIGINT >> (15 - 5 * (j % 4))::INT) & 31)::INT + 1, 1)), '') AS payload_digest,
+  CASE WHEN n = 1 THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN n > 1 THEN first END AS refers_to FROM p"""
+
+SQL = {"op4_ngram_jaccard_join": JACCARD, "op7_suffix_array_dedup": SUFFIXES, "op11_conversation_trie": TRIE, "op12_warc": WARC, "op13_centroid_clustering": clusters(40, 5, 64, 256, "2:")}

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from recollect.functions import scoring
-from recollect.operators import memory, search
+from recollect.operators import memory, neighbours, search
 
 
 def rankings(corpus: DataFrame, queries: DataFrame, now_ms: int, k: int = 10, weights: scoring.Weights = scoring.Weights()) -> DataFrame:
@@ -18,7 +18,7 @@ def rankings(corpus: DataFrame, queries: DataFrame, now_ms: int, k: int = 10, we
     width = max(4 * k, 50)
     best = F.row_number().over(Window.partitionBy("query").orderBy("bm25", "id"))
     left = search.keyword_scores_of_all(corpus, queries).withColumn("n", best).where(F.col("n") <= width).select("query", "id", (-F.col("bm25")).alias("k"))
-    right = search.nearest_to_all(corpus, queries, width).select("query", "id", F.col("score").alias("v"))
+    right = neighbours.nearest(neighbours.built(corpus), queries, width).select("query", "id", F.col("score").alias("v"))
     useful = corpus.select("id", F.lit(0.5).alias("useful")).where("false")
     rows = search.fused(left, right, corpus.drop("embedding"), useful, now_ms, weights, ["query"]).join(queries.select("query", "types"), "query")
     allowed = F.coalesce(F.size("types") <= 0, F.lit(True)) | F.array_contains("types", F.col("type"))

@@ -53,8 +53,11 @@ def corpus(memories: DataFrame) -> DataFrame:
 
 
 def indexed_scores(index: DataFrame, corpus: DataFrame, query: str) -> DataFrame:
-    """The same as keyword_scores() by the index, for queries of single words: the terms' postings are filtered in the scan and joined by id."""
+    """The same as keyword_scores() by an index without places, for queries of different single words; `index.scores` answers all queries."""
     spark = index.sparkSession
+    parts = spark.createDataFrame([(p,) for p in query.split()], "body string").select(text.terms(F.col("body")).alias("own")).where(F.size("own") > 0).collect()
+    if any(len(r["own"]) > 1 for r in parts) or len({r["own"][0] for r in parts}) < len(parts):
+        raise ValueError("phrases and repeated words need an index with places")
     words = spark.createDataFrame([(query,)], "body string").select(F.array_distinct(text.terms(F.col("body"))).alias("own")).first()["own"]
     hits = index.where(F.col("term").isin(words))
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -118,12 +121,3 @@ def keyword_scores_of_all(memories: DataFrame, queries: DataFrame) -> DataFrame:
     wanted = phrases.groupBy("query").agg(F.count("*").alias("wanted"))
     return scores.join(wanted, "query").where("n = wanted").select("query", "id", "bm25")
 
-
-def nearest_to_all(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """(query, id, distance, score) of the k nearest vectors to the point of every row of queries (query, point).
-
-    The queries are a stated set against all vectors; each task keeps k of its own for a query before the shuffle."""
-    square = F.aggregate(F.zip_with("embedding", "point", lambda a, b: (a.cast("double") - b) * (a.cast("double") - b)), F.lit(0.0), lambda s, x: s + x)
-    rows = vectors.select("id", "embedding").crossJoin(queries.select("query", "point")).select("query", "id", F.sqrt(square).alias("distance"))
-    place = F.row_number().over(Window.partitionBy("query").orderBy("distance", "id"))
-    return rows.withColumn("place", place).where(F.col("place") <= k).select("query", "id", "distance", (1 / (1 + F.col("distance"))).alias("score"))

@@ -152,9 +152,13 @@ def bm25(s, d):
 
 
 def _hybrid(s, d, mode="hybrid", **filters):
+    return hybrid_of(s, d, search.keyword_scores(t.memories(s, d), WORDS), mode, **filters)
+
+
+def hybrid_of(s, d, keyword, mode="hybrid", **filters):
     vector = search.nearest(t.vectors(s, d), POINT, 50).select(F.col("id").cast("string").alias("id"), "score")
     useful = memory.usefulness_scores(t.memory_events(s, d)).select("id", "useful")
-    return search.hybrid(t.memories(s, d), search.keyword_scores(t.memories(s, d), WORDS), vector, useful, NOW, 10, mode=mode, **filters)
+    return search.hybrid(t.memories(s, d), keyword, vector, useful, NOW, 10, mode=mode, **filters)
 
 
 HYBRID = f""", {BM25}, k AS (SELECT id, -bm25 AS k FROM bm ORDER BY bm25, id LIMIT 50), v AS (SELECT CAST(vec_id AS VARCHAR) AS id, 1 / (1 + {DISTANCE}) AS v FROM embeddings ORDER BY {DISTANCE}, vec_id LIMIT 50),
@@ -445,3 +449,7 @@ def oracle_sql() -> dict[str, str]:
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["hybrid_search"](spark, sf_dir)
+
+
+# These go on from the texts and functions above.
+from recollect.plans import indexes  # noqa: E402, F401  registers its queries too

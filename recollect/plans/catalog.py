@@ -15,7 +15,7 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(sql: str | None = None) -> Callable[[Query], Query]:
+def query(sql: str | None = None, recursive: bool = False) -> Callable[[Query], Query]:
     """Register a function; sql goes on with the relations of tables.SQL after a comma, or selects from them."""
 
     def register(function: Query) -> Query:
@@ -25,7 +25,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
         QUERIES[function.__name__] = run
         if sql is not None:
-            ORACLES[function.__name__] = f"WITH {t.SQL}{sql}"
+            ORACLES[function.__name__] = f"WITH {'RECURSIVE ' if recursive else ''}{t.SQL}{sql}"
         return function
 
     return register

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from recollect.functions import scoring, text
-from recollect.operators import chunks, memory, proposals, redact, search
+from recollect.operators import budget, chunks, memory, proposals, redact, search
 from recollect.plans import more  # noqa: F401  registers its queries too
 from recollect.plans.catalog import ORACLES, QUERIES, Query, query, r6
 from recollect.session import written
@@ -341,11 +341,24 @@ def token_costs(s, d):
     return t.memories(s, d).select("id", n.alias("tokens"), F.round(scoring.estimate_usd(F.length("text")), 9).alias("usd"), F.round(scoring.token_cost(F.lit("gpt-4o"), n, F.lit(500)), 9).alias("model_usd"))
 
 
-@query("SELECT id, usd_before + usd <= 0.05 AS fits FROM (SELECT id, ceil(length(text) / 4.0) * 2e-6 + 0.001 AS usd, coalesce(sum(ceil(length(text) / 4.0) * 2e-6 + 0.001) OVER (PARTITION BY repo ORDER BY created_at, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS usd_before FROM mem)")
+GATE = """, k AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY moment, id) AS place FROM calls),
+g AS (SELECT grp, id, place, amount <= {cap} AS fits, CASE WHEN amount <= {cap} THEN amount ELSE 0 END AS spent FROM k WHERE place = 1
+  UNION ALL SELECT k.grp, k.id, k.place, g.spent + k.amount <= {cap}, g.spent + CASE WHEN g.spent + k.amount <= {cap} THEN k.amount ELSE 0 END FROM g JOIN k ON k.grp = g.grp AND k.place = g.place + 1)"""
+
+
+@query(f", calls AS (SELECT id, repo AS grp, created_at AS moment, coalesce(ceil(length(text) / 4.0)::BIGINT * 2 + 1000, 0) AS amount FROM mem){GATE.format(cap=50_000)} SELECT id, fits FROM g", recursive=True)
 def budget_gate(s, d):
-    order = Window.partitionBy("repo").orderBy("created_at", "id").rowsBetween(Window.unboundedPreceding, -1)
-    usd = scoring.estimate_usd(F.length("text"))
-    return t.memories(s, d).withColumn("usd", usd).select("id", (F.coalesce(F.sum("usd").over(order), F.lit(0.0)) + F.col("usd") <= 0.05).alias("fits"))
+    """Micro-dollars of every memory's extraction, under a cap for each repository."""
+    calls = t.memories(s, d).select("id", F.col("repo").alias("grp"), F.col("created_at").alias("at"), (scoring.token_estimate(F.col("text")) * 2 + 1000).alias("amount"))
+    return budget.gated(calls, 50_000).select("id", "fits")
+
+
+@query(f", calls AS (SELECT o_orderkey AS id, strftime(o_orderdate, '%Y-%m-%d') AS grp, o_custkey AS moment, round(o_totalprice * 100)::BIGINT AS amount FROM orders){GATE.format(cap=50_000_000)}, s AS (SELECT grp AS day, count(*) AS calls, count(*) FILTER (fits) AS accepted, max(spent)::BIGINT AS spent FROM g GROUP BY grp) SELECT * FROM s", recursive=True)
+def budget_of_days(s, d):
+    """What the days' caps let through, and what was spent."""
+    calls = t.read(s, d, "orders").select(F.col("o_orderkey").alias("id"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("grp"), F.col("o_custkey").alias("at"), F.round(F.col("o_totalprice") * 100).cast("long").alias("amount"))
+    rows = budget.gated(calls, 50_000_000).groupBy(F.col("grp").alias("day"))
+    return rows.agg(F.count("*").alias("calls"), F.count_if("fits").alias("accepted"), F.coalesce(F.sum(F.when(F.col("fits"), F.col("amount"))), F.lit(0)).alias("spent"))
 
 
 @query()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from recollect.functions import text
-from recollect.operators import evaluation, memory, proposals, scrub
+from recollect.operators import evaluation, jobs, memory, proposals, scrub
 from recollect.plans.catalog import query, r6
 from recollect.sources import tables as t
 from recollect.sources import transcripts
@@ -262,3 +262,20 @@ def legacy_transcripts(s, d):
     posted = t.turns(s, d).groupBy("session_id").agg(F.to_json(said).alias("content"))
     posted = posted.select(F.to_json(F.struct("session_id", F.lit("cli").alias("source"), "content", F.when(n % 3 > 0, F.concat(F.lit("r"), "session_id")).alias("repo"))).alias("line"))
     return transcripts.rows(posted).select("session_id", F.coalesce("repo", F.lit("unknown")).alias("repo"), text.flattened_turns(F.col("content")).alias("body"))
+
+
+#: Kinds of job events by their message, and what becomes of a job.
+JOB_FOLD = """, jk AS (SELECT job, seq, row_number() OVER (PARTITION BY job ORDER BY seq) AS place, CASE WHEN action <> 'error' THEN action WHEN message LIKE '%budget%' THEN 'budget' WHEN message LIKE 'invalid JSON%' THEN 'deterministic' ELSE 'transient' END AS kind FROM jev),
+f AS (SELECT job, 0::BIGINT AS place, 'absent' AS state, 0 AS attempts, 0::BIGINT AS ignored, NULL::BIGINT AS error_seq FROM (SELECT DISTINCT job FROM jk)
+  UNION ALL SELECT job, place, CASE WHEN NOT ok THEN state WHEN kind IN ('enqueue', 'requeue', 'resume') THEN 'pending' WHEN kind = 'claim' THEN 'running' WHEN kind = 'complete' THEN 'completed' WHEN kind = 'budget' THEN 'paused' WHEN kind = 'deterministic' OR attempts >= 2 THEN 'poison' ELSE 'failed' END,
+    CASE WHEN ok AND kind IN ('transient', 'deterministic') THEN attempts + 1 ELSE attempts END, ignored + CASE WHEN ok THEN 0 ELSE 1 END, CASE WHEN ok AND kind IN ('transient', 'deterministic', 'budget') THEN seq ELSE error_seq END
+  FROM (SELECT f.job, jk.place, jk.seq, kind, state, attempts, ignored, error_seq, coalesce((state = 'absent' AND kind = 'enqueue') OR (state = 'pending' AND kind = 'claim') OR (state = 'running' AND kind IN ('complete', 'budget', 'transient', 'deterministic')) OR (state = 'failed' AND kind = 'requeue') OR (state = 'paused' AND kind = 'resume'), false) AS ok
+    FROM f JOIN jk ON jk.job = f.job AND jk.place = f.place + 1)),
+last AS (SELECT f.* FROM f JOIN (SELECT job, max(place) AS place FROM f GROUP BY job) m ON m.job = f.job AND m.place = f.place)"""
+
+
+@query(f"{JOB_FOLD} SELECT last.job AS job, state, attempts::INT AS attempts, place AS events, ignored, error_seq, message AS last_error FROM last LEFT JOIN jev ON jev.job = last.job AND jev.seq = error_seq", recursive=True)
+def job_states(s, d):
+    log = t.job_events(s, d)
+    states = jobs.folded(log.select("job", "seq", jobs.kind_of(F.col("action"), F.col("message")).alias("kind")))
+    return states.join(log.select("job", F.col("seq").alias("error_seq"), F.col("message").alias("last_error")), ["job", "error_seq"], "left").select("job", "state", F.col("attempts").cast("int").alias("attempts"), "events", "ignored", "error_seq", "last_error")

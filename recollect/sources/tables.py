@@ -56,6 +56,15 @@ def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select(F.col("o_orderkey").alias("id"), state.alias("state"), (F.col("o_orderkey") % 4).cast("int").alias("attempts"), F.unix_millis(F.col("o_orderdate").cast("timestamp")).alias("created_at"))
 
 
+def job_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log of one job for each user: signups enqueue, the others act by their number; errors carry a message."""
+    e = read(spark, sf_dir, "events")
+    k = F.get_json_object("props", "$.k").cast("int")
+    action = F.when((F.col("event_type") == "signup") | (k % 11 == 0), "enqueue").otherwise(_pick(("claim", "error", "requeue", "claim", "error", "requeue", "resume", "complete", None), k % 9))
+    message = F.when(action == "error", _pick(("HTTP 503", "ETIMEDOUT while reading", "request failed", "Rate limit", "daily budget spent", "invalid JSON from model", "odd"), k % 7))
+    return e.select(F.col("user_id").alias("job"), F.col("event_id").alias("seq"), action.alias("action"), message.alias("message"))
+
+
 def spend(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = read(spark, sf_dir, "orders")
     return o.select(F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"), F.col("o_totalprice").alias("usd"))
@@ -88,6 +97,8 @@ ev0 AS (SELECT *, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, CASE
 ev AS (SELECT event_id AS seq, CASE WHEN family IS NOT NULL THEN 'usefulness' WHEN k % 5 = 0 THEN 'erase_request' ELSE 'create' END AS event_type, CAST(user_id AS VARCHAR) AS atom_id, family,
   (['search','pack','tool'])[k % 3 + 1] AS surface, (['personal','team','org'])[k % 3 + 1] AS scope, (epoch_us(ts) // 1000) AS created_at, CASE WHEN event_id % 4 = 0 THEN (epoch_us(ts) // 1000) END AS synced_at FROM ev0),
 job AS (SELECT o_orderkey AS id, CASE WHEN o_orderstatus = 'O' THEN 'pending' WHEN o_orderstatus = 'F' THEN 'completed' WHEN o_orderkey % 2 = 0 THEN 'failed' ELSE 'poison' END AS state, CAST(o_orderkey % 4 AS INTEGER) AS attempts, (epoch_us(o_orderdate) // 1000) AS created_at FROM orders),
+jev AS (SELECT user_id AS job, event_id AS seq, action, CASE WHEN action = 'error' THEN (['HTTP 503','ETIMEDOUT while reading','request failed','Rate limit','daily budget spent','invalid JSON from model','odd'])[k % 7 + 1] END AS message
+  FROM (SELECT *, CASE WHEN event_type = 'signup' OR k % 11 = 0 THEN 'enqueue' ELSE (['claim','error','requeue','claim','error','requeue','resume','complete',NULL])[k % 9 + 1] END AS action FROM ev0)),
 spend AS (SELECT strftime(o_orderdate, '%Y-%m-%d') AS day, o_totalprice AS usd FROM orders),
 prop AS (SELECT vec_id AS id, CAST(vec_id AS VARCHAR) AS winner, CAST((vec_id * 7 + 3) % 400 AS VARCHAR) AS loser FROM embeddings WHERE vec_id <> (vec_id * 7 + 3) % 400),
 verdict AS (SELECT event_id AS seq, user_id AS proposal, CASE WHEN event_id % 2 = 0 THEN 'accept' ELSE 'reject' END AS action FROM events),

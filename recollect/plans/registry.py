@@ -366,6 +366,21 @@ def redacted_documents(s, d):
     return redact.redacted_rows(t.memories(s, d).select("id", "text")).select("id", F.sha2("r.text", 256).alias("redacted"), F.size("r.types").alias("n"))
 
 
+@query()
+def redaction_findings(s, d):
+    """Every finding of every memory, with its offset."""
+    rows = redact.redacted_rows(t.memories(s, d).select("id", "text")).select("id", F.explode("r.events").alias("e"))
+    return rows.select("id", "e.type", "e.hash8", "e.offset")
+
+
+@query()
+def redacted_turns(s, d):
+    """Transcripts as they are stored: their turns redacted, with the number of findings."""
+    turns = t.turns(s, d).groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
+    rows = redact.redacted_lists(turns, "turns", "text")
+    return rows.select("session_id", F.size("turns").alias("turns"), F.sha2(F.array_join("turns.text", "\n"), 256).alias("stored"), F.size("findings").alias("findings"))
+
+
 @query()
 def redaction_counts(s, d):
     return redact.counts(redact.redacted_rows(t.memories(s, d).select("text")).select("r.types"))

@@ -150,13 +150,6 @@ def event_atoms(envelopes: DataFrame) -> DataFrame:
     return out.withColumn("hash", F.sha2("text", 256))
 
 
-def upserted_vectors(vectors: DataFrame, new: DataFrame, size: int) -> DataFrame:
-    """The vectors after an upsert, and how each came about; vectors of another size or of unknown ids change nothing."""
-    good = new.where(F.size("embedding") == size).groupBy("id").agg(F.max("embedding").alias("new"))
-    rows = vectors.join(good, "id", "left")
-    return rows.select("id", F.coalesce("new", "embedding").alias("embedding"), F.when(F.col("new").isNotNull(), "replaced").otherwise("kept").alias("how"))
-
-
 def reembedded(requests: DataFrame, memories: DataFrame, embed: Callable[[Column], Column]) -> DataFrame:
     """Each request with its outcome and the memory's new vector; a memory that is not there any more is no failure."""
     rows = requests.join(memories.select("id", "text", F.lit(True).alias("known")), "id", "left")

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recollect.functions import text
-from recollect.operators import evaluation, jobs, memory, proposals, scrub
+from recollect.operators import embed, evaluation, jobs, memory, proposals, scrub
 from recollect.plans.catalog import query, r6
 from recollect.sources import tables as t
 from recollect.sources import transcripts
@@ -165,12 +169,55 @@ def event_atoms(s, d):
     return memory.event_atoms(envelopes).select("hash", "text", "type", "importance", "confidence")
 
 
-@query("SELECT vec_id AS id, CASE WHEN vec_id % 3 = 0 THEN embedding[2] ELSE embedding[1] END AS head, CASE WHEN vec_id % 3 = 0 THEN 'replaced' ELSE 'kept' END AS how FROM embeddings")
+def _sent_vectors(v):
+    """Two vectors for one id in both orders of size, ids that nobody knows, and vectors that are too short or null."""
+    shifted = F.concat(F.slice("embedding", 2, F.size("embedding") - 1), F.slice("embedding", 1, 1))
+    large = F.transform("embedding", lambda x: (x + 9).cast("float"))
+    sent = [("id % 3 = 0", "id", 3, shifted), ("id % 6 = 0", "id", 1, large), ("id % 6 = 3", "id", 5, large), ("id % 5 = 1", "id + 1000000000", 2, F.col("embedding")), ("id % 7 = 1", "id", 7, F.slice("embedding", 1, 3)), ("id % 11 = 2", "id", 8, F.lit(None).cast("array<float>"))]
+    rows = [v.where(where).select(F.expr(own).alias("id"), F.lit(ord_).alias("ord"), e.alias("embedding")) for where, own, ord_, e in sent]
+    return reduce(DataFrame.union, rows)
+
+
+@query("SELECT vec_id AS id, CASE WHEN vec_id % 6 = 3 THEN embedding[1] + 9 WHEN vec_id % 6 = 0 THEN embedding[2] ELSE embedding[1] END AS head, CASE WHEN vec_id % 3 = 0 THEN 'replaced' ELSE 'kept' END AS how FROM embeddings")
 def vector_upserts(s, d):
     v = t.vectors(s, d).select("id", "embedding")
-    shifted = F.concat(F.slice("embedding", 2, F.size("embedding") - 1), F.slice("embedding", 1, 1))
-    new = v.where("id % 3 = 0").select("id", shifted.alias("embedding")).union(v.where("id % 5 = 1").select((F.col("id") + 10**9).alias("id"), "embedding")).union(v.where("id % 7 = 1").select("id", F.slice("embedding", 1, 3).alias("embedding")))
-    return memory.upserted_vectors(v, new, 64).select("id", F.get("embedding", F.lit(0)).alias("head"), "how")
+    return embed.upserted(v, _sent_vectors(v), 64).select("id", F.get("embedding", F.lit(0)).alias("head"), "how")
+
+
+SENT = " UNION ALL ".join(
+    f"SELECT {own} AS id, {n} AS ord, {outcome} AS outcome FROM embeddings WHERE {where}"
+    for where, own, n, outcome in (
+        ("vec_id % 3 = 0", "vec_id", 3, "CASE WHEN vec_id % 6 = 3 THEN 'replaced later' ELSE 'stored' END"), ("vec_id % 6 = 0", "vec_id", 1, "'replaced later'"), ("vec_id % 6 = 3", "vec_id", 5, "'stored'"),
+        ("vec_id % 5 = 1", "vec_id + 1000000000", 2, "'unknown id'"), ("vec_id % 7 = 1", "vec_id", 7, "'wrong size'"), ("vec_id % 11 = 2", "vec_id", 8, "'wrong size'"),
+    )
+)
+
+
+@query(f", sent AS ({SENT}) SELECT * FROM sent")
+def vector_upsert_outcomes(s, d):
+    v = t.vectors(s, d).select("id", "embedding")
+    return embed.upsert_outcomes(v, _sent_vectors(v), 64).select("id", "ord", "outcome")
+
+
+def _model(texts):
+    """Stands for a model: some texts have no answer, some a short one."""
+    if any(len(x) % 13 == 5 for x in texts):
+        raise ConnectionError("HTTP 503 from the model")
+    digests = [hashlib.sha256(x.encode()).digest() for x in texts]
+    return [[(b[i % 32] * 256 + b[(i + 1) % 32]) / 32767.5 - 1 for i in range(10 if len(x) % 17 == 3 else 64)] for x, b in zip(texts, digests, strict=True)]
+
+
+@query("""SELECT n.id::BIGINT AS ord, coalesce(CASE WHEN NOT failed THEN coalesce(known, substr(n.hash, 1, 32)) END, '') AS id,
+  CASE WHEN failed AND length(coalesce(text, '')) % 13 = 5 THEN 'transient' WHEN failed THEN 'deterministic' WHEN known IS NULL AND first = n.id::BIGINT THEN 'created' ELSE 'known' END AS outcome,
+  CASE WHEN NOT failed THEN round((('0x' || substr(h, 1, 2))::INT * 256 + ('0x' || substr(h, 3, 2))::INT) / 32767.5 - 1, 4)::DOUBLE END AS head
+FROM (SELECT *, sha256(coalesce(text, '')) AS h, length(coalesce(text, '')) % 13 = 5 OR length(coalesce(text, '')) % 17 = 3 AS failed, min(id::BIGINT) OVER (PARTITION BY hash) AS first FROM mem WHERE id::BIGINT % 4 > 0 AND coalesce(hash NOT IN (SELECT hash FROM mem WHERE id::BIGINT % 9 = 5 AND hash IS NOT NULL), true)) n
+LEFT JOIN (SELECT hash, min(id) AS known FROM mem WHERE id::BIGINT % 4 = 0 GROUP BY hash) k ON k.hash = n.hash""")
+def embedded_memories(s, d):
+    """Memories through an embedding model into the index: what was made, known before, erased (no row) or failed."""
+    m, n = t.memories(s, d), F.col("id").cast("long")
+    done = embed.embed_and_index(m.where(n % 4 > 0).select(n.alias("ord"), "text", "type", "hash"), m.where(n % 4 == 0).select("id", "hash"), m.where(n % 9 == 5).select("hash"), _model, 64)
+    good = done.results.join(done.vectors, "id").select("ord", "id", F.when(F.col("created"), "created").otherwise("known").alias("outcome"), F.round(F.get("embedding", F.lit(0)).cast("double"), 4).alias("head"))
+    return good.union(done.failures.select("ord", F.lit("").alias("id"), "kind", F.lit(None).cast("double")))
 
 
 @query("SELECT batch, count(*) AS n, min(seq) AS first_seq, max(seq) AS acked_seq FROM (SELECT seq, (row_number() OVER (ORDER BY seq) - 1) // 200 AS batch FROM ev WHERE synced_at IS NULL) GROUP BY batch")

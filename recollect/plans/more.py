@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 from recollect.functions import text
 from recollect.operators import embed, evaluation, jobs, memory, proposals, scrub
 from recollect.plans.catalog import query, r6
+from recollect.session import shared_folder
 from recollect.sources import tables as t
 from recollect.sources import transcripts
+from recollect.streaming import intake
 
 NOW = t.NOW_MS
 K = "CAST(json_extract_string(props, '$.k') AS INTEGER)"
@@ -326,3 +328,42 @@ def job_states(s, d):
     log = t.job_events(s, d)
     states = jobs.folded(log.select("job", "seq", jobs.kind_of(F.col("action"), F.col("message")).alias("kind")))
     return states.join(log.select("job", F.col("seq").alias("error_seq"), F.col("message").alias("last_error")), ["job", "error_seq"], "left").select("job", "state", F.col("attempts").cast("int").alias("attempts"), "events", "ignored", "error_seq", "last_error")
+
+
+def _lines(s, d):
+    """Conversations and events as lines of the wire: (number, key, value of the first version)."""
+    turn = F.struct(F.col("role"), F.col("text"))
+    sent = t.turns(s, d).groupBy("session_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", turn.alias("said")))), lambda x: x["said"]).alias("turns")).withColumn("n", F.col("session_id").cast("long"))
+    event = F.struct(F.lit("lesson").alias("type"), "event_type", F.concat("event_type", F.lit(" "), F.col("event_id").cast("string")).alias("text"), F.get_json_object("props", "$.k").cast("int").alias("k"))
+    typed = t.read(s, d, "events").groupBy("user_id").agg(F.collect_list(F.struct("event_id", event.alias("e"))).alias("events")).select(F.col("user_id").alias("n"), F.transform(F.array_sort("events"), lambda x: F.struct(x["e"]["type"].alias("type"), x["e"]["text"].alias("text"), (x["e"]["k"] / 90).alias("importance"))).alias("events"))
+    common = [F.lit("session_end").alias("event"), F.lit("p").alias("project_id"), F.lit("2024-01-02T03:04:05Z").alias("captured_at"), F.lit(False).alias("client_scrub_applied"), F.lit(0).alias("client_scrub_hits"), F.lit("1").alias("client_scrub_version"), F.lit("v1.0").alias("wire_version")]
+    line = lambda key, version, *more: F.to_json(F.struct(key.alias("idempotency_key"), version.alias("client_version"), *common, *more)).alias("value")
+    return sent, typed, line
+
+
+@query("""SELECT batch, key, outcome FROM (
+  SELECT 1 AS batch, CASE WHEN n % 5 < 4 THEN 'c' || n END AS key, CASE WHEN bad THEN 'rejected turns' ELSE 'new' END AS outcome FROM cv
+  UNION ALL SELECT 2, 'c' || n, CASE WHEN bad THEN 'rejected turns' WHEN n % 5 = 4 THEN 'new' WHEN n % 3 = 1 THEN 'conflict' WHEN n % 6 = 0 THEN 'reinsert' ELSE 'replay' END FROM cv WHERE n % 3 < 2
+  UNION ALL SELECT 2, 'c' || n, CASE WHEN bad THEN 'rejected turns' ELSE 'replay' END FROM cv WHERE n % 3 = 0
+  UNION ALL SELECT 3, 'u' || user_id, CASE WHEN count(*) > 500 OR max(k) > 90 THEN 'rejected events' ELSE 'new' END FROM ev0 GROUP BY user_id
+  UNION ALL SELECT 3, NULL, 'rejected no JSON object' FROM cv WHERE n % 7 = 0
+  UNION ALL SELECT 3, 'o' || n, CASE WHEN n % 2 = 0 THEN 'new' ELSE 'rejected content' END FROM cv WHERE n % 7 = 1)""".replace("SELECT batch, key", ", cv AS (SELECT session_id::BIGINT AS n, bool_or(role NOT IN ('user', 'assistant') OR role IS NULL OR text IS NULL) AS bad FROM turn GROUP BY session_id) SELECT batch, key", 1))
+def intake_outcomes(s, d):
+    """Three batches into one store: first lines, then the same or other bodies for their keys after some erasures, then typed events, older forms and broken lines."""
+    folder = shared_folder(s, "store")
+    intake.create(s, folder)
+    sent, typed, line = _lines(s, d)
+    n, session = F.col("n"), F.col("n").cast("string").alias("session_id")
+    key = F.concat(F.lit("c"), n.cast("string"))
+    one = F.lit("1")
+    intake.take(sent.select(line(F.when(n % 5 < 4, key), one, session, "turns")), folder, 1)
+    gone = intake.table(s, folder, "outcomes").where((F.col("outcome") == "new") & (F.substring("key", 2, 20).cast("long") % 6 == 0))
+    intake.erase(gone.select(F.col("transcript_id").alias("id")), folder, 1)
+    again = sent.where(n % 3 == 0).select(line(key, one, session, "turns"))
+    intake.take(again.union(again).union(sent.where(n % 3 == 1).select(line(key, F.lit("2"), session, "turns"))), folder, 2)
+    events = typed.select(line(F.concat(F.lit("u"), n.cast("string")), one, session, F.lit("events").alias("kind"), "events"))
+    older = sent.where(n % 7 == 1).select(F.to_json(F.struct(F.concat(F.lit("o"), n.cast("string")).alias("idempotency_key"), session, F.lit("cli").alias("source"), F.when(n % 2 == 0, "said").alias("content"))).alias("value"))
+    intake.take(events.union(older).union(sent.where(n % 7 == 0).select(F.lit("{broken").alias("value"))), folder, 3)
+    done = intake.table(s, folder, "outcomes").select("batch", "key", "outcome")
+    bad = intake.table(s, folder, "rejected").select("batch", F.get_json_object("line", "$.idempotency_key").alias("key"), F.concat(F.lit("rejected "), F.array_join("reasons", " ")).alias("outcome"))
+    return done.union(bad).select(F.col("batch").cast("int").alias("batch"), "key", "outcome")

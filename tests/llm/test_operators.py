@@ -496,6 +496,41 @@ def test_licenses(spark, rows):
     assert set(aligned) == {710} and 0.95 < aligned[710] < 1
 
 
+def edited(q, body, most, noise):
+    """The words of a template with up to `most` words put in, left out or replaced, and sometimes a run of words in one place."""
+    own = list(body)
+    for _ in range(q.randint(0, most)):
+        i, kind = q.randrange(len(own)), q.randrange(3)
+        own[i : i + (kind > 0)] = [q.choice(noise)] if kind < 2 else []
+    if most and q.random() < 0.3:
+        i = q.randrange(len(own))
+        own[i:i] = [q.choice(noise) for _ in range(q.randint(1, 10))]
+    return own
+
+
+def test_edited_licenses_keep_their_label(spark):
+    """Every template, long ones with up to 10 edits, between other words, once and twice; but where the words that tell it from another one are gone."""
+    q, telling = random.Random(4), {"lgpl": "lesser", "agpl": "affero", "cc-by-nc": "noncommercial", "cc-by-sa": "sharealike"}
+    noise = [f"w{i}" for i in range(300)] + "the of software and is in to license this a".split()
+    rows, wanted = [], {}
+    for label, body in licenses.TEMPLATES:
+        body = body.split()
+        for rep in range(12):
+            own = edited(q, body, 10 if len(body) >= 60 else 2 if len(body) >= 24 else 0, noise)
+            around = [[q.choice(noise) for _ in range(q.randrange(150))] for _ in range(2)]
+            whole = around[0] + own + around[1] + (body if rep % 4 == 0 else [])
+            if label not in telling or len(body) < 60 or own.count(telling[label]) == body.count(telling[label]):
+                wanted[len(rows)] = label
+                rows.append((len(rows), " ".join(whole)))
+    got = {r["doc_id"]: r["labels"] for r in licenses.scan(table(spark, rows)).collect()}
+    assert len(wanted) > 500 and {i: (got[i], rows[i][1]) for i in wanted if got[i] != wanted[i]} == {}
+
+
+def test_licenses_by_name_and_identifier(spark):
+    rows = [(0, "// SPDX-License-Identifier: Apache-2.0"), (1, "SPDX-License-Identifier: GPL-3.0-or-later"), (2, "Licensed under MIT."), (3, "SPDX-License-Identifier: unknown"), (4, "licensed under something else"), (5, "mit")]
+    assert {r["doc_id"]: r["labels"] for r in licenses.scan(table(spark, rows)).collect()} == {0: "apache-2", 1: "gpl", 2: "mit", 3: "", 4: "", 5: ""}
+
+
 CLASH = ["score", "predicted", "base", "entropy", "covered", "row", "class", "_tox_p", "_covered", "_number", "_digest", "_secret_spans", "n"]
 
 

@@ -1,7 +1,8 @@
 """A kept inverted index with positions: segments of postings in a folder, asked without the texts.
 
-A segment is written once: postings (term, id, size, places) in folders by segment and by bucket, a hash of the term, and sorted by
-term and id over ranges, so that a frequent term lies in many files; and sizes (id, size). What counts is what the newest manifest
+A segment is written once: rows (term, docs), docs being (id, size, places) of the memories of one slice of the corpus that have the term,
+in folders by segment and by bucket, a hash of the term, and sorted by term over ranges, so that a frequent term lies in many files. The
+empty term stands for all memories of a slice, with their sizes. What counts is what the newest manifest
 names: a job that ends early leaves files that nobody reads. Removed memories are named in a table of their own until
 their segments are merged. One writer at a time; readers keep the version that they began with.
 
@@ -10,17 +11,23 @@ Ids must be new in `add`; `replace` removes older rows of its ids first."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recollect.functions import text
-from recollect.session import written
+from recollect.session import shuffles_deleted, written
 
-#: Folders of a segment's postings; and as many terms of a question go into the scan's filter, more are joined.
-BUCKETS, LITERALS = 32, 500
+#: Folders of a segment's postings; as many terms of a question go into the scan's filter, more are joined; terms of a slice; memories of a row after removals.
+BUCKETS, LITERALS, SLICE, DOCS = 32, 500, 1 << 21, 4096
+ALL = ""
+ROW = "term string, docs array<struct<id:string,size:long,places:array<int>>>"
 MANIFEST = "segment long, n long, total long, sized long"
 #: Stands in every manifest, so that one without segments has a row.
 NONE = (0, 0, 0, 0)
@@ -30,6 +37,12 @@ def bucket(term: Column) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
 
 
+def bucket_of(term: str) -> int:
+    """The same on the driver."""
+    spark = SparkSession.active()
+    return spark.range(1).select(bucket(F.lit(term))).first()[0]
+
+
 @dataclass(frozen=True)
 class Version:
     """What a manifest names: the segments that count, and their sums."""
@@ -43,8 +56,9 @@ class Version:
     def live(self) -> list[int]:
         return [s[0] for s in self.segments]
 
-    def _rows(self, name: str) -> DataFrame:
-        return self.spark.read.option("basePath", f"{self.folder}/{name}").parquet(*[f"{self.folder}/{name}/segment={s}" for s in self.live])
+    def _rows(self) -> DataFrame:
+        schema = f"{ROW}, segment long, bucket int"
+        return self.spark.read.schema(schema).option("basePath", f"{self.folder}/postings").parquet(*[f"{self.folder}/postings/segment={s}" for s in self.live])
 
     def gone(self) -> DataFrame:
         """(id, segment, size) of removed memories in segments that count."""
@@ -53,20 +67,38 @@ class Version:
 
     def sizes(self) -> DataFrame:
         """(id, segment, size) of the memories in the index."""
-        rows = self._rows("sizes").select("id", F.col("segment").cast("long").alias("segment"), "size")
-        return rows.join(self.gone().select("id", "segment"), ["id", "segment"], "left_anti")
+        return self._each(self._rows().where((F.col("bucket") == bucket_of(ALL)) & (F.col("term") == ALL))).select("id", "segment", "size")
+
+    def _each(self, rows: DataFrame) -> DataFrame:
+        """A row for each memory, without those that were removed."""
+        return rows.select("segment", "term", F.inline("docs")).join(self.gone().select("id", "segment"), ["id", "segment"], "left_anti")
+
+    def _of(self, terms: DataFrame) -> DataFrame:
+        """The rows of the terms (term): a few are filtered in the scan, by their buckets and themselves."""
+        wanted = terms.select("term", bucket(F.col("term")).alias("bucket")).distinct()
+        few = wanted.limit(LITERALS + 1).collect()
+        if len(few) <= LITERALS:
+            return self._rows().where(F.col("bucket").isin(sorted({r["bucket"] for r in few})) & F.col("term").isin([r["term"] for r in few]))
+        return self._rows().join(wanted, ["bucket", "term"], "left_semi")
 
     def postings(self, terms: DataFrame | None = None) -> DataFrame:
-        """(term, id, size, places) of all terms or of a table (term) of them; a few are filtered in the scan, by their buckets and themselves."""
-        rows = self._rows("postings").withColumn("segment", F.col("segment").cast("long"))
-        if terms is not None:
-            wanted = terms.select("term", bucket(F.col("term")).alias("bucket")).distinct()
-            few = wanted.limit(LITERALS + 1).collect()
-            if len(few) <= LITERALS:
-                rows = rows.where(F.col("bucket").isin(sorted({r["bucket"] for r in few})) & F.col("term").isin([r["term"] for r in few]))
-            else:
-                rows = rows.join(wanted, ["bucket", "term"], "left_semi")
-        return rows.join(self.gone().select("id", "segment"), ["id", "segment"], "left_anti").select("term", "id", "size", "places")
+        """(term, id, size, places) of all terms or of a table (term) of them."""
+        rows = self._rows() if terms is None else self._of(terms)
+        return self._each(rows.where(F.col("term") != ALL)).select("term", "id", "size", "places")
+
+    def hits(self, asked: DataFrame) -> DataFrame:
+        """asked (term, ...) with id, size and places of each memory that has its term; rows of many memories meet what is asked before they are taken apart."""
+        rows = self._of(asked).select("segment", "term", "docs").join(asked, "term").select(*asked.columns, "segment", F.inline("docs"))
+        return rows.join(self.gone().select("id", "segment"), ["id", "segment"], "left_anti")
+
+    def blocks(self) -> DataFrame:
+        """Rows (term, docs) of everything in the index; only where something was removed they are made anew."""
+        rows = self._rows().select("segment", "term", "docs")
+        if self.gone().isEmpty():
+            return rows.select("term", "docs")
+        spread = sum(s[1] for s in self.segments) // DOCS + 1
+        doc = F.struct("id", "size", "places")
+        return self._each(rows).groupBy("term", F.pmod(F.xxhash64("id"), F.lit(spread)).alias("part")).agg(F.sort_array(F.collect_list(doc)).alias("docs")).select("term", "docs")
 
     def corpus(self) -> DataFrame:
         """One row: n, the number of memories, and mean, their mean size."""
@@ -97,25 +129,72 @@ def _next(v: Version) -> int:
     return max([v.number, *v.live]) + 1
 
 
-def _write(postings: DataFrame, sizes: DataFrame, folder: str, segment: int) -> tuple[int, int, int, int]:
-    """Postings by ranges of (bucket, term, id): each task writes few folders, and a frequent term has many tasks."""
-    rows = postings.withColumn("bucket", bucket(F.col("term")))
-    order = ["bucket", "term", "id"]
-    rows.repartitionByRange(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order).write.partitionBy("bucket").parquet(f"{folder}/postings/segment={segment}")
-    sizes.write.parquet(f"{folder}/sizes/segment={segment}")
-    found = sizes.sparkSession.read.schema("id string, size long").parquet(f"{folder}/sizes/segment={segment}")
-    return (segment, *found.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0)), F.count("size")).first())
+def _write(blocks: DataFrame, folder: str, segment: int) -> tuple[int, int, int, int]:
+    """Rows by ranges of (bucket, term, first id): each task writes few folders, and a frequent term has many tasks."""
+    spark = blocks.sparkSession
+    path, order = f"{folder}/postings/segment={segment}", ["bucket", "term", "first"]
+    rows = blocks.select("term", "docs", bucket(F.col("term")).alias("bucket"), F.get("docs.id", F.lit(0)).alias("first"))
+    with shuffles_deleted(spark):
+        rows.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order).drop("first").write.partitionBy("bucket").parquet(path)
+    every = spark.read.schema(f"{ROW}, bucket int").parquet(path).where((F.col("bucket") == bucket_of(ALL)) & (F.col("term") == ALL))
+    return (segment, *every.select(F.inline("docs")).agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0)), F.count("size")).first())
+
+
+def sliced(memories: DataFrame) -> DataFrame:
+    """Rows (term, docs) of memories (id, text): the places of each term in slices of about SLICE terms, put together before anything travels."""
+    rows = memories.select(F.col("id").cast("string").alias("id"), text.terms(F.col("text")).alias("own"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            at = 0
+            counts = pc.fill_null(pc.list_value_length(batch.column("own")), 0).to_numpy()
+            ends = np.cumsum(counts)
+            while at < batch.num_rows:
+                to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE - n, "right")))
+                held.append(batch.slice(at, to - at))
+                n += int(counts[at:to].sum())
+                at = to
+                if n >= SLICE:
+                    yield from _slice(held)
+                    held, n = [], 0
+        if held:
+            yield from _slice(held)
+
+    return rows.mapInArrow(run, ROW)
+
+
+def _slice(batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    whole = pa.Table.from_batches(batches).combine_chunks()
+    if not whole.num_rows:
+        return
+    ids, own = (c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in (whole.column("id"), whole.column("own")))
+    lengths = pc.list_value_length(own)
+    counts = pc.fill_null(lengths, 0).to_numpy()
+    sizes = pc.multiply(lengths.cast(pa.int64()), 2)
+    terms = own.flatten().dictionary_encode()
+    codes = terms.indices.to_numpy()
+    doc = np.repeat(np.arange(len(ids), dtype=np.int32), counts)
+    place = (np.arange(len(codes)) - np.repeat(np.cumsum(counts) - counts, counts)).astype(np.int32)
+    order = np.argsort(codes, kind="stable")
+    codes, doc, place = codes[order], doc[order], place[order]
+    new_term = np.flatnonzero(np.diff(codes, prepend=-1))
+    new_doc = np.flatnonzero((np.diff(codes, prepend=-1) != 0) | (np.diff(doc, prepend=-1) != 0))
+    places = pa.ListArray.from_arrays(pa.array(np.append(new_doc, len(codes)).astype(np.int32)), pa.array(place))
+    of = pa.array(doc[new_doc])
+    docs = pa.StructArray.from_arrays([ids.take(of), sizes.take(of), places], names=["id", "size", "places"])
+    edges = np.append(np.searchsorted(new_doc, new_term), len(new_doc)).astype(np.int32)
+    yield pa.RecordBatch.from_arrays([terms.dictionary.take(pa.array(codes[new_term])), pa.ListArray.from_arrays(pa.array(edges), docs)], names=["term", "docs"])
+    none = pa.ListArray.from_arrays(pa.array(np.zeros(len(ids) + 1, np.int32)), pa.array([], pa.int32()))
+    every = pa.StructArray.from_arrays([ids, sizes, none], names=["id", "size", "places"])
+    yield pa.RecordBatch.from_arrays([pa.array([ALL]), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), every)], names=["term", "docs"])
 
 
 def add(memories: DataFrame, folder: str) -> Version:
     """Memories (id, text) as a new segment."""
     spark = memories.sparkSession
     v = version(spark, folder)
-    own = memories.select(F.col("id").cast("string").alias("id"), text.terms(F.col("text")).alias("own"))
-    size = (2 * F.when(F.col("own").isNotNull(), F.size("own"))).cast("long").alias("size")
-    # All places of a term in a text are together before the shuffle, so that one row for each of both travels.
-    places = own.select("id", size, F.posexplode("own").alias("place", "term")).groupBy("term", "id", "size").agg(F.sort_array(F.collect_list("place")).alias("places"))
-    segment = _write(places, own.select("id", size), folder, _next(v))
+    segment = _write(sliced(memories), folder, _next(v))
     _publish(spark, folder, segment[0], (*v.segments, segment))
     return version(spark, folder)
 
@@ -145,7 +224,7 @@ def merge(spark: SparkSession, folder: str, segments: list[int] | None = None) -
     old = Version(spark, folder, v.number, tuple(s for s in v.segments if s[0] in chosen))
     if not old.segments:
         return v
-    merged = _write(old.postings(), old.sizes().select("id", "size"), folder, _next(v))
+    merged = _write(old.blocks(), folder, _next(v))
     _publish(spark, folder, merged[0], (*[s for s in v.segments if s[0] not in chosen], merged))
     return version(spark, folder)
 
@@ -159,10 +238,10 @@ def scores(index: Version, queries: DataFrame) -> DataFrame:
     parts = queries.select("query", F.posexplode(F.split(F.trim("body"), r"\s+")).alias("phrase", "part")).withColumn("own", text.terms(F.col("part"))).where(F.size("own") > 0)
     phrases = parts.select("query", "phrase", F.size("own").alias("words"))
     asked = parts.select("query", "phrase", F.size("own").alias("words"), F.posexplode("own").alias("offset", "term"))
-    hits = index.postings(asked).join(asked, "term").withColumn("starts", F.transform("places", lambda x: x - F.col("offset")))
-    one = hits.where("words = 1").select("query", "phrase", "id", "size", F.size("starts").alias("times"))
+    one = index.hits(asked.where("words = 1")).select("query", "phrase", "id", "size", F.size("places").alias("times"))
+    hits = index.hits(asked.where("words > 1")).withColumn("starts", F.transform("places", lambda x: x - F.col("offset")))
     # As many lists as the phrase has words.
-    many = hits.where("words > 1").groupBy("query", "phrase", "words", "id", "size").agg(F.collect_list("starts").alias("lists")).where(F.size("lists") == F.col("words"))
+    many = hits.groupBy("query", "phrase", "words", "id", "size").agg(F.collect_list("starts").alias("lists")).where(F.size("lists") == F.col("words"))
     both = F.aggregate(F.slice("lists", F.lit(2), F.size("lists")), F.col("lists")[0], lambda held, x: F.array_intersect(held, x))
     many = many.select("query", "phrase", "id", "size", F.size(both).alias("times")).where("times > 0")
     # Written, as the phrases' weights need all of it before the first score.

@@ -42,7 +42,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 @contextmanager
-def _shuffles_deleted(spark: SparkSession) -> Iterator[None]:
+def shuffles_deleted(spark: SparkSession) -> Iterator[None]:
     """Spark deletes the shuffle files of what runs inside as soon as it ends; they are the larger part of a job's disk."""
     name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     before = spark.conf.get(name, "false")
@@ -56,7 +56,7 @@ def _shuffles_deleted(spark: SparkSession) -> Iterator[None]:
 def cut(df: DataFrame) -> DataFrame:
     """Write the rows to the shared checkpoint folder and go on from there, in the same partitions."""
     ensure_checkpoint_dir(df.sparkSession)
-    with _shuffles_deleted(df.sparkSession):
+    with shuffles_deleted(df.sparkSession):
         # The plan is made anew, as a plan keeps the setting that it was made under.
         return df.select("*").checkpoint(eager=True)
 
@@ -71,7 +71,7 @@ def written(df: DataFrame) -> DataFrame:
     """The same by a Parquet table in that folder, which takes less disk than a checkpoint; rows may come back in other partitions."""
     spark = df.sparkSession
     path = shared_folder(spark, "table")
-    with _shuffles_deleted(spark):
+    with shuffles_deleted(spark):
         df.select("*").write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -1,8 +1,8 @@
 """A kept inverted index with positions: segments of postings in a folder, asked without the texts.
 
-A segment is written once: rows (term, docs), docs being (id, size, places) of the memories of one slice of the corpus that have the term,
-in folders by segment and by bucket, a hash of the term, and sorted by term over ranges, so that a frequent term lies in many files. The
-empty term stands for all memories of a slice, with their sizes. What counts is what the newest manifest
+A segment is written once: for each slice of the corpus rows (term, ords, places) with the numbers of the memories that have the term and its
+places in each, in folders by segment and by bucket, a hash of the term, sorted by term, and dealt by term and slice, so that a frequent term lies in many files. The
+empty term has the ids and sizes of a slice's memories in the order of their numbers. What counts is what the newest manifest
 names: a job that ends early leaves files that nobody reads. Removed memories are named in a table of their own until
 their segments are merged. One writer at a time; readers keep the version that they began with.
 
@@ -18,16 +18,18 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recollect.functions import text
 from recollect.session import shuffles_deleted, written
 
-#: Folders of a segment's postings; as many terms of a question go into the scan's filter, more are joined; terms of a slice; memories of a row after removals.
-BUCKETS, LITERALS, SLICE, DOCS = 32, 500, 1 << 21, 4096
+#: Folders of a segment's postings; as many terms of a question go into the scan's filter, more are joined; terms of a slice; tasks that a bucket's rows are dealt to at least.
+BUCKETS, LITERALS, SLICE, DEALT = 32, 500, 1 << 21, 8
 ALL = ""
-ROW = "term string, docs array<struct<id:string,size:long,places:array<int>>>"
+ROW = "term string, slice long, ords array<int>, places array<array<int>>, ids array<string>, sizes array<long>"
+NAMES = [f.split()[0] for f in ROW.split(", ")]
 MANIFEST = "segment long, n long, total long, sized long"
 #: Stands in every manifest, so that one without segments has a row.
 NONE = (0, 0, 0, 0)
@@ -67,11 +69,18 @@ class Version:
 
     def sizes(self) -> DataFrame:
         """(id, segment, size) of the memories in the index."""
-        return self._each(self._rows().where((F.col("bucket") == bucket_of(ALL)) & (F.col("term") == ALL))).select("id", "segment", "size")
+        rows = self._slices().select("segment", F.inline(F.arrays_zip("ids", "sizes"))).select(F.col("ids").alias("id"), "segment", F.col("sizes").alias("size")).where("id is not null")
+        return rows.join(self.gone().select("id", "segment"), ["id", "segment"], "left_anti")
+
+    def _slices(self) -> DataFrame:
+        """(segment, slice, ids, sizes) of all slices."""
+        return self._rows().where((F.col("bucket") == bucket_of(ALL)) & (F.col("term") == ALL)).select("segment", "slice", "ids", "sizes")
 
-    def _each(self, rows: DataFrame) -> DataFrame:
+    def _each(self, rows: DataFrame, *more: str) -> DataFrame:
         """A row for each memory, without those that were removed."""
-        return rows.select("segment", "term", F.inline("docs")).join(self.gone().select("id", "segment"), ["id", "segment"], "left_anti")
+        named = rows.select(*more, "segment", "slice", "ords", "places").join(self._slices(), ["segment", "slice"])
+        each = named.select(*more, "segment", F.inline(F.transform(F.arrays_zip("ords", "places"), lambda x: F.struct(F.get("ids", x["ords"]).alias("id"), F.get("sizes", x["ords"]).alias("size"), x["places"].alias("places")))))
+        return each.join(self.gone().select("id", "segment"), ["id", "segment"], "left_anti")
 
     def _of(self, terms: DataFrame) -> DataFrame:
         """The rows of the terms (term): a few are filtered in the scan, by their buckets and themselves."""
@@ -84,21 +93,29 @@ class Version:
     def postings(self, terms: DataFrame | None = None) -> DataFrame:
         """(term, id, size, places) of all terms or of a table (term) of them."""
         rows = self._rows() if terms is None else self._of(terms)
-        return self._each(rows.where(F.col("term") != ALL)).select("term", "id", "size", "places")
+        return self._each(rows.where(F.col("term") != ALL), "term").select("term", "id", "size", "places")
 
     def hits(self, asked: DataFrame) -> DataFrame:
         """asked (term, ...) with id, size and places of each memory that has its term; rows of many memories meet what is asked before they are taken apart."""
-        rows = self._of(asked).select("segment", "term", "docs").join(asked, "term").select(*asked.columns, "segment", F.inline("docs"))
-        return rows.join(self.gone().select("id", "segment"), ["id", "segment"], "left_anti")
+        return self._each(self._of(asked).join(asked, "term"), *asked.columns)
 
     def blocks(self) -> DataFrame:
-        """Rows (term, docs) of everything in the index; only where something was removed they are made anew."""
-        rows = self._rows().select("segment", "term", "docs")
+        """The rows of the index; where something was removed, without it: its id is null in its slice, and its places go."""
+        rows = self._rows().select(*NAMES, "segment")
+        # Slices of several segments go into one, so their numbers must differ.
+        number = F.xxhash64("segment", "slice").alias("slice")
         if self.gone().isEmpty():
-            return rows.select("term", "docs")
-        spread = sum(s[1] for s in self.segments) // DOCS + 1
-        doc = F.struct("id", "size", "places")
-        return self._each(rows).groupBy("term", F.pmod(F.xxhash64("id"), F.lit(spread)).alias("part")).agg(F.sort_array(F.collect_list(doc)).alias("docs")).select("term", "docs")
+            return rows.select(*[number if n == "slice" else n for n in NAMES])
+        left = self.sizes().select("id", "segment", F.lit(True).alias("live"))
+        every = self._slices().select("segment", "slice", F.posexplode(F.arrays_zip("ids", "sizes")).alias("ord", "d")).select("segment", "slice", "ord", F.col("d.ids").alias("id"), F.col("d.sizes").alias("size"))
+        kept = F.when(F.col("live"), F.col("id"))
+        slices = every.join(left, ["id", "segment"], "left").groupBy("segment", "slice").agg(F.sort_array(F.collect_list(F.struct("ord", kept.alias("id"), F.when(F.col("live"), F.col("size")).alias("size")))).alias("d"))
+        slices = written(slices.select("segment", "slice", F.col("d.id").alias("own"), F.col("d.size").alias("own_sizes")))
+        both = rows.join(slices, ["segment", "slice"])
+        stay = F.filter(F.arrays_zip("ords", "places"), lambda x: F.get("own", x["ords"]).isNotNull())
+        every_row = F.col("term") == ALL
+        both = both.withColumn("stay", F.when(~every_row, stay)).where(every_row | (F.size("stay") > 0))
+        return both.select("term", number, F.col("stay.ords").alias("ords"), F.col("stay.places").alias("places"), F.when(every_row, F.col("own")).alias("ids"), F.when(every_row, F.col("own_sizes")).alias("sizes"))
 
     def corpus(self) -> DataFrame:
         """One row: n, the number of memories, and mean, their mean size."""
@@ -130,22 +147,23 @@ def _next(v: Version) -> int:
 
 
 def _write(blocks: DataFrame, folder: str, segment: int) -> tuple[int, int, int, int]:
-    """Rows by ranges of (bucket, term, first id): each task writes few folders, and a frequent term has many tasks."""
+    """Rows dealt by bucket and slice: each task writes few folders, and a frequent term has many tasks."""
     spark = blocks.sparkSession
-    path, order = f"{folder}/postings/segment={segment}", ["bucket", "term", "first"]
-    rows = blocks.select("term", "docs", bucket(F.col("term")).alias("bucket"), F.get("docs.id", F.lit(0)).alias("first"))
+    path = f"{folder}/postings/segment={segment}"
+    rows = blocks.select(*NAMES, bucket(F.col("term")).alias("bucket"))
     with shuffles_deleted(spark):
-        rows.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order).drop("first").write.partitionBy("bucket").parquet(path)
+        rows.repartition("bucket", F.pmod(F.xxhash64("slice"), F.lit(DEALT))).sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(path)
     every = spark.read.schema(f"{ROW}, bucket int").parquet(path).where((F.col("bucket") == bucket_of(ALL)) & (F.col("term") == ALL))
-    return (segment, *every.select(F.inline("docs")).agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0)), F.count("size")).first())
+    sizes = every.select(F.inline(F.arrays_zip("ids", "sizes"))).where("ids is not null")
+    return (segment, *sizes.agg(F.count("*"), F.coalesce(F.sum("sizes"), F.lit(0)), F.count("sizes")).first())
 
 
 def sliced(memories: DataFrame) -> DataFrame:
-    """Rows (term, docs) of memories (id, text): the places of each term in slices of about SLICE terms, put together before anything travels."""
+    """The rows of memories (id, text): the places of each term in slices of about SLICE terms, put together before anything travels."""
     rows = memories.select(F.col("id").cast("string").alias("id"), text.terms(F.col("text")).alias("own"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
+        held, n, number = [], 0, TaskContext.get().partitionId() << 32
         for batch in batches:
             at = 0
             counts = pc.fill_null(pc.list_value_length(batch.column("own")), 0).to_numpy()
@@ -156,15 +174,15 @@ def sliced(memories: DataFrame) -> DataFrame:
                 n += int(counts[at:to].sum())
                 at = to
                 if n >= SLICE:
-                    yield from _slice(held)
-                    held, n = [], 0
+                    yield from _slice(held, number)
+                    held, n, number = [], 0, number + 1
         if held:
-            yield from _slice(held)
+            yield from _slice(held, number)
 
     return rows.mapInArrow(run, ROW)
 
 
-def _slice(batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _slice(batches: list[pa.RecordBatch], number: int) -> Iterator[pa.RecordBatch]:
     whole = pa.Table.from_batches(batches).combine_chunks()
     if not whole.num_rows:
         return
@@ -181,13 +199,12 @@ def _slice(batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     new_term = np.flatnonzero(np.diff(codes, prepend=-1))
     new_doc = np.flatnonzero((np.diff(codes, prepend=-1) != 0) | (np.diff(doc, prepend=-1) != 0))
     places = pa.ListArray.from_arrays(pa.array(np.append(new_doc, len(codes)).astype(np.int32)), pa.array(place))
-    of = pa.array(doc[new_doc])
-    docs = pa.StructArray.from_arrays([ids.take(of), sizes.take(of), places], names=["id", "size", "places"])
-    edges = np.append(np.searchsorted(new_doc, new_term), len(new_doc)).astype(np.int32)
-    yield pa.RecordBatch.from_arrays([terms.dictionary.take(pa.array(codes[new_term])), pa.ListArray.from_arrays(pa.array(edges), docs)], names=["term", "docs"])
-    none = pa.ListArray.from_arrays(pa.array(np.zeros(len(ids) + 1, np.int32)), pa.array([], pa.int32()))
-    every = pa.StructArray.from_arrays([ids, sizes, none], names=["id", "size", "places"])
-    yield pa.RecordBatch.from_arrays([pa.array([ALL]), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), every)], names=["term", "docs"])
+    edges = pa.array(np.append(np.searchsorted(new_doc, new_term), len(new_doc)).astype(np.int32))
+    n = len(new_term)
+    ords, lists = pa.ListArray.from_arrays(edges, pa.array(doc[new_doc])), pa.ListArray.from_arrays(edges, places)
+    yield pa.RecordBatch.from_arrays([terms.dictionary.take(pa.array(codes[new_term])), pa.array(np.full(n, number)), ords, lists, pa.nulls(n, pa.list_(pa.string())), pa.nulls(n, pa.list_(pa.int64()))], names=NAMES)
+    whole = pa.array([0, len(ids)], pa.int32())
+    yield pa.RecordBatch.from_arrays([pa.array([ALL]), pa.array([number]), pa.nulls(1, pa.list_(pa.int32())), pa.nulls(1, pa.list_(pa.list_(pa.int32()))), pa.ListArray.from_arrays(whole, ids), pa.ListArray.from_arrays(whole, sizes)], names=NAMES)
 
 
 def add(memories: DataFrame, folder: str) -> Version:

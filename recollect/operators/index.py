@@ -21,7 +21,9 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
+from recollect.batches import groups
 from recollect.functions import text
 from recollect.session import shuffles_deleted, written
 
@@ -69,8 +71,7 @@ class Version:
 
     def sizes(self) -> DataFrame:
         """(id, segment, size) of the memories in the index."""
-        rows = self._slices().select("segment", F.inline(F.arrays_zip("ids", "sizes"))).select(F.col("ids").alias("id"), "segment", F.col("sizes").alias("size")).where("id is not null")
-        return rows.join(self.gone().select("id", "segment"), ["id", "segment"], "left_anti")
+        return self.members().select("id", "segment", "size").join(self.gone().select("id", "segment"), ["id", "segment"], "left_anti")
 
     def _slices(self) -> DataFrame:
         """(segment, slice, ids, sizes) of all slices."""
@@ -95,9 +96,18 @@ class Version:
         rows = self._rows() if terms is None else self._of(terms)
         return self._each(rows.where(F.col("term") != ALL), "term").select("term", "id", "size", "places")
 
-    def hits(self, asked: DataFrame) -> DataFrame:
-        """asked (term, ...) with id, size and places of each memory that has its term; rows of many memories meet what is asked before they are taken apart."""
-        return self._each(self._of(asked).join(asked, "term"), *asked.columns)
+    def places(self, asked: DataFrame) -> DataFrame:
+        """asked (term, ...) with segment, slice, ords and places of each slice that has its term, and dead, the numbers of removed memories there."""
+        rows = self._of(asked).select("term", "segment", "slice", "ords", "places").join(asked, "term")
+        if self.gone().isEmpty():
+            return rows.withColumn("dead", F.lit(None).cast("array<int>"))
+        dead = self.members().join(self.gone().select("id", "segment"), ["id", "segment"], "left_semi").groupBy("segment", "slice").agg(F.collect_list("ord").alias("dead"))
+        return rows.join(dead, ["segment", "slice"], "left")
+
+    def members(self) -> DataFrame:
+        """(segment, slice, ord, id, size): the memories by their numbers, removed ones too."""
+        each = self._slices().select("segment", "slice", F.posexplode(F.arrays_zip("ids", "sizes")).alias("ord", "d"))
+        return each.select("segment", "slice", "ord", F.col("d.ids").alias("id"), F.col("d.sizes").alias("size")).where("id is not null")
 
     def blocks(self) -> DataFrame:
         """The rows of the index; where something was removed, without it: its id is null in its slice, and its places go."""
@@ -246,30 +256,71 @@ def merge(spark: SparkSession, folder: str, segments: list[int] | None = None) -
     return version(spark, folder)
 
 
+MATCHED = "query {0}, phrase int, segment long, slice long, ord int, times long"
+#: Where a place may lie before the beginning of a text, less the term's place in its phrase.
+BEFORE = 1 << 20
+
+
+def _starts(table: pa.Table) -> np.ndarray:
+    """Sorted numbers of (memory, place at which the phrase would begin) of one term of a phrase."""
+    ords, places = (table.column(c).combine_chunks() for c in ("ords", "places"))
+    ords, places = (x.chunk(0) if isinstance(x, pa.ChunkedArray) else x for x in (ords, places))
+    lists = places.flatten()
+    doc = np.repeat(ords.flatten().to_numpy(), np.diff(lists.offsets.to_numpy()))
+    return (doc.astype(np.int64) << 32) + lists.flatten().to_numpy() + BEFORE - table.column("offset")[0].as_py()
+
+
+def _matched(batches: Iterator[pa.RecordBatch], kind: pa.DataType) -> Iterator[pa.RecordBatch]:
+    """Of each query and slice: how many memories have each phrase (ord -1), and the memories that have all, with the times of each."""
+    for table in groups(batches, ["query", "segment", "slice"]):
+        dead = table.column("dead")[0].as_py() or []
+        phrase, offset = table.column("phrase").to_numpy(), table.column("offset").to_numpy()
+        found: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for p in np.unique(phrase).tolist():
+            own = [table.take(np.flatnonzero((phrase == p) & (offset == o))) for o in np.unique(offset[phrase == p])]
+            if len(own) < own[0].column("words")[0].as_py():
+                continue
+            starts = _starts(own[0])
+            for more in own[1:]:
+                starts = np.intersect1d(starts, _starts(more))
+            doc, times = np.unique(starts >> 32, return_counts=True)
+            alive = ~np.isin(doc, dead)
+            if alive.any():
+                found[p] = (doc[alive], times[alive])
+        rows = [(p, np.array([-1]), np.array([len(doc)])) for p, (doc, _) in found.items()]
+        if found and len(found) == table.column("wanted")[0].as_py():
+            both = reduce(np.intersect1d, [doc for doc, _ in found.values()])
+            rows += [(p, both, times[np.searchsorted(doc, both)]) for p, (doc, times) in found.items()]
+        if rows:
+            n = sum(len(x[1]) for x in rows)
+            same = [pa.array([table.column(c)[0].as_py()] * n, t) for c, t in (("query", kind), ("segment", pa.int64()), ("slice", pa.int64()))]
+            ord_, times = (np.concatenate([x[i] for x in rows]) for i in (1, 2))
+            yield pa.RecordBatch.from_arrays([same[0], pa.array(np.repeat([x[0] for x in rows], [len(x[1]) for x in rows]).astype(np.int32)), same[1], same[2], pa.array(ord_.astype(np.int32)), pa.array(times.astype(np.int64))], names=["query", "phrase", "segment", "slice", "ord", "times"])
+
+
 def scores(index: Version, queries: DataFrame) -> DataFrame:
     """(query, id, bm25) of the memories with every white-space part of a query (query, body) as a phrase; lower is better.
 
-    A part of several terms is a phrase: the places of its terms, each less its own place in the part, are intersected. Queries without terms give no rows."""
+    A part of several terms is a phrase: the places of its terms, each less its own place in the part, are intersected, slice by slice, so
+    that only numbers of phrases and the memories with all parts of a query travel on. query is a number or a string that names one row. Queries without terms give no rows."""
     if not index.segments:
         return queries.select("query", F.lit("").alias("id"), F.lit(0.0).alias("bm25")).where("false")
     parts = queries.select("query", F.posexplode(F.split(F.trim("body"), r"\s+")).alias("phrase", "part")).withColumn("own", text.terms(F.col("part"))).where(F.size("own") > 0)
-    phrases = parts.select("query", "phrase", F.size("own").alias("words"))
-    asked = parts.select("query", "phrase", F.size("own").alias("words"), F.posexplode("own").alias("offset", "term"))
-    one = index.hits(asked.where("words = 1")).select("query", "phrase", "id", "size", F.size("places").alias("times"))
-    hits = index.hits(asked.where("words > 1")).withColumn("starts", F.transform("places", lambda x: x - F.col("offset")))
-    # As many lists as the phrase has words.
-    many = hits.groupBy("query", "phrase", "words", "id", "size").agg(F.collect_list("starts").alias("lists")).where(F.size("lists") == F.col("words"))
-    both = F.aggregate(F.slice("lists", F.lit(2), F.size("lists")), F.col("lists")[0], lambda held, x: F.array_intersect(held, x))
-    many = many.select("query", "phrase", "id", "size", F.size(both).alias("times")).where("times > 0")
+    wanted = parts.groupBy("query").agg(F.count("*").alias("wanted"))
+    asked = parts.select("query", "phrase", F.size("own").alias("words"), F.posexplode("own").alias("offset", "term")).join(wanted, "query")
+    order = ["query", "segment", "slice"]
+    rows = index.places(asked).select(*order, "phrase", "words", "offset", "wanted", "ords", "places", "dead").repartition(*order).sortWithinPartitions(*order)
+    kind = queries.schema["query"].dataType
+    arrow = to_arrow_type(kind)
     # Written, as the phrases' weights need all of it before the first score.
-    found = written(one.union(many).withColumn("f", 2 * F.col("times")))
-    weights = found.groupBy("query", "phrase").agg(F.count("*").alias("df")).crossJoin(F.broadcast(index.corpus()))
+    found = written(rows.mapInArrow(lambda batches: _matched(batches, arrow), MATCHED.format(kind.simpleString())))
+    weights = found.where("ord < 0").groupBy("query", "phrase").agg(F.sum("times").alias("df")).crossJoin(F.broadcast(index.corpus()))
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weights = weights.select("query", "phrase", "mean", F.when(idf > 0, idf).otherwise(1e-6).alias("idf"))
-    part = F.col("idf") * F.col("f") * 2.2 / (F.col("f") + 1.2 * (0.25 + 0.75 * F.col("size") / F.col("mean")))
-    wanted = phrases.groupBy("query").agg(F.count("*").alias("wanted"))
-    summed = found.join(weights, ["query", "phrase"]).groupBy("query", "id").agg((-F.sum(part)).alias("bm25"), F.count("*").alias("n"))
-    return summed.join(wanted, "query").where("n = wanted").select("query", "id", "bm25")
+    f = 2 * F.col("times")
+    part = F.col("idf") * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * F.col("size") / F.col("mean")))
+    hits = found.where("ord >= 0").join(index.members(), ["segment", "slice", "ord"]).join(weights, ["query", "phrase"])
+    return hits.groupBy("query", "id").agg((-F.sum(part)).alias("bm25"))
 
 
 def ask(index: Version, query: str) -> DataFrame:

@@ -101,7 +101,7 @@ class Version:
         rows = self._of(asked).select("term", "segment", "slice", "ords", "places").join(asked, "term")
         if self.gone().isEmpty():
             return rows.withColumn("dead", F.lit(None).cast("array<int>"))
-        dead = self.members().join(self.gone().select("id", "segment"), ["id", "segment"], "left_semi").groupBy("segment", "slice").agg(F.collect_list("ord").alias("dead"))
+        dead = self._dead()
         return rows.join(dead, ["segment", "slice"], "left")
 
     def members(self) -> DataFrame:
@@ -116,16 +116,18 @@ class Version:
         number = F.xxhash64("segment", "slice").alias("slice")
         if self.gone().isEmpty():
             return rows.select(*[number if n == "slice" else n for n in NAMES])
-        left = self.sizes().select("id", "segment", F.lit(True).alias("live"))
-        every = self._slices().select("segment", "slice", F.posexplode(F.arrays_zip("ids", "sizes")).alias("ord", "d")).select("segment", "slice", "ord", F.col("d.ids").alias("id"), F.col("d.sizes").alias("size"))
-        kept = F.when(F.col("live"), F.col("id"))
-        slices = every.join(left, ["id", "segment"], "left").groupBy("segment", "slice").agg(F.sort_array(F.collect_list(F.struct("ord", kept.alias("id"), F.when(F.col("live"), F.col("size")).alias("size")))).alias("d"))
-        slices = written(slices.select("segment", "slice", F.col("d.id").alias("own"), F.col("d.size").alias("own_sizes")))
-        both = rows.join(slices, ["segment", "slice"])
-        stay = F.filter(F.arrays_zip("ords", "places"), lambda x: F.get("own", x["ords"]).isNotNull())
-        every_row = F.col("term") == ALL
-        both = both.withColumn("stay", F.when(~every_row, stay)).where(every_row | (F.size("stay") > 0))
-        return both.select("term", number, F.col("stay.ords").alias("ords"), F.col("stay.places").alias("places"), F.when(every_row, F.col("own")).alias("ids"), F.when(every_row, F.col("own_sizes")).alias("sizes"))
+        # A mark for each memory of a slice only, so that the rows themselves need not travel for them where slices are few.
+        each = self._slices().select("segment", "slice", F.posexplode("ids").alias("ord", "id")).join(self.gone().select("id", "segment", F.lit(True).alias("gone")), ["id", "segment"], "left")
+        marks = each.groupBy("segment", "slice").agg(F.sort_array(F.collect_list(F.struct("ord", F.col("gone").isNull().alias("live"))))["live"].alias("live"))
+        both = rows.join(written(marks), ["segment", "slice"])
+        stay = F.filter(F.arrays_zip("ords", "places"), lambda x: F.get("live", x["ords"]))
+        both = both.withColumn("stay", stay).where(F.col("stay").isNull() | (F.size("stay") > 0))
+        kept = lambda name: F.transform(name, lambda x, at: F.when(F.get("live", at), x))
+        return both.select("term", number, F.col("stay.ords").alias("ords"), F.col("stay.places").alias("places"), kept("ids").alias("ids"), kept("sizes").alias("sizes"))
+
+    def _dead(self) -> DataFrame:
+        """(segment, slice, dead): the numbers of the removed memories of slices that have any."""
+        return self.members().join(self.gone().select("id", "segment"), ["id", "segment"], "left_semi").groupBy("segment", "slice").agg(F.sort_array(F.collect_list("ord")).alias("dead"))
 
     def corpus(self) -> DataFrame:
         """One row: n, the number of memories, and mean, their mean size."""

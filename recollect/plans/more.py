@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recollect.functions import text
-from recollect.operators import embed, evaluation, jobs, memory, proposals, scrub
+from recollect.operators import embed, evaluation, history, jobs, memory, proposals, scrub
 from recollect.plans.catalog import query, r6
 from recollect.session import shared_folder
 from recollect.sources import tables as t
@@ -367,3 +367,12 @@ def intake_outcomes(s, d):
     done = intake.table(s, folder, "outcomes").select("batch", "key", "outcome")
     bad = intake.table(s, folder, "rejected").select("batch", F.get_json_object("line", "$.idempotency_key").alias("key"), F.concat(F.lit("rejected "), F.array_join("reasons", " ")).alias("outcome"))
     return done.union(bad).select(F.col("batch").cast("int").alias("batch"), "key", "outcome")
+
+
+@query(f", rq AS (SELECT conv_id AS request, 'src' || (conv_id // 20) % 20 AS repo, (['decision','fact','lesson','command','todo','note','event'])[conv_id % 7 + 1] AS type, {t.START_MS} + conv_id * 977000 AS moment FROM (SELECT DISTINCT conv_id FROM conversations WHERE conv_id % 20 = 0)) SELECT request, id FROM rq JOIN mem ON mem.repo = rq.repo AND mem.type = rq.type AND valid_from <= moment AND (valid_to IS NULL OR moment < valid_to)")
+def valid_at_requests(s, d):
+    """The memories of a repository and type that were valid at the moment of every conversation whose id is divisible by 20."""
+    n = F.col("request")
+    requests = t.read(s, d, "conversations").select(F.col("conv_id").alias("request")).where("request % 20 = 0").distinct()
+    requests = requests.select("request", F.concat(F.lit("src"), F.expr("string((request div 20) % 20)")).alias("repo"), F.get(F.array(*[F.lit(k) for k in t.TYPES]), (n % 7).cast("int")).alias("type"), (t.START_MS + n * 977_000).alias("at"))
+    return history.valid_at(t.memories(s, d), requests, ["repo", "type"])

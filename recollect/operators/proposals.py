@@ -2,14 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from recollect.session import cut
-
 
 def unproposed(pairs: DataFrame, pending: DataFrame) -> DataFrame:
     """The pairs (winner, loser) that no pending pair names, whichever way round."""
@@ -31,20 +27,6 @@ def decided(proposals: DataFrame, decisions: DataFrame) -> DataFrame:
     return decisions.join(known, "proposal", "left").select("seq", "proposal", outcome.alias("outcome"))
 
 
-def greedy_merges(pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b, similarity) taken from the most similar down, each side in one merge at most; ties go by (a, b).
-
-    A pair that is the best of both its sides is taken whatever the others are, so all such pairs go in one round."""
-    left, done = cut(pairs.select("a", "b", F.struct((-F.col("similarity")).alias("less"), "a", "b").alias("edge"))), []
-    while not left.isEmpty():
-        best = left.select(F.explode(F.array("a", "b")).alias("side"), "edge").groupBy("side").agg(F.min("edge").alias("edge"))
-        chosen = cut(best.groupBy("edge").agg(F.count("*").alias("n")).where("n = 2").select("edge.a", "edge.b", (-F.col("edge.less")).alias("similarity")))
-        done.append(chosen)
-        used = chosen.select(F.explode(F.array("a", "b")).alias("side"))
-        left = cut(left.join(used, F.col("a") == F.col("side"), "left_anti").join(used, F.col("b") == F.col("side"), "left_anti"))
-    return reduce(DataFrame.union, done) if done else pairs.select("a", "b", "similarity").where("false")
-
-
 def winners(pairs: DataFrame, memories: DataFrame, useful: DataFrame) -> DataFrame:
     """winner and loser of each pair (a, b, ...) beside its other columns: the more useful, then the more important, then the older, then by id. Pairs with a memory that is gone go."""
     rank = memories.join(useful.select("id", "useful"), "id", "left").select("id", F.struct((-F.coalesce("useful", F.lit(0.5))).alias("useful"), (-F.col("importance")).alias("importance"), "created_at", "id").alias("rank"))

@@ -435,12 +435,6 @@ def proposal_decisions(s, d):
     return proposals.decided(t.proposals(s, d), t.decisions(s, d))
 
 
-@query()
-def consolidation_merges(s, d):
-    pairs = memory.near_pairs(t.vectors(s, d), 0.3, 0.3)
-    return proposals.greedy_merges(pairs).select("a", "b", r6("similarity"))
-
-
 @query(f"SELECT session_id, {t.START_MS} + min(turn) * 1000 AS started_at, (max({{'o': turn, 'v': role}}) FILTER (WHERE turn % 3 = 0)).v AS project, (max({{'o': turn, 'v': 'agent' || turn}}) FILTER (WHERE role = 'assistant')).v AS agent FROM turn GROUP BY session_id")
 def session_upserts(s, d):
     agent, project = F.when(F.col("role") == "assistant", F.concat(F.lit("agent"), F.col("turn"))), F.when(F.col("turn") % 3 == 0, F.col("role"))
@@ -480,4 +474,4 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # These go on from the texts and functions above.
-from recollect.plans import indexes  # noqa: E402, F401  registers its queries too
+from recollect.plans import changes, indexes  # noqa: E402, F401  register their queries too

@@ -101,19 +101,6 @@ def test_stream_replay_adds_nothing(spark, tmp_path):
     assert [r["text"] for r in spark.read.parquet(str(target)).collect()] == ["keep this"]
 
 
-def test_greedy_merges(spark):
-    q = random.Random(3)
-    pairs = sorted({(a, b): q.choice([0.5, 0.6, 0.7, q.random()]) for a, b in [sorted(q.sample(range(40), 2)) for _ in range(150)]}.items(), key=lambda x: (-x[1], x[0]))
-    used, wanted = set(), set()
-    for (a, b), _ in pairs:
-        if not {a, b} & used:
-            used |= {a, b}
-            wanted.add((a, b))
-    frame = spark.createDataFrame([(a, b, x) for (a, b), x in pairs], "a long, b long, similarity double")
-    assert {(r["a"], r["b"]) for r in proposals.greedy_merges(frame).collect()} == wanted
-    assert proposals.greedy_merges(frame.where("false")).count() == 0
-
-
 def test_upserts_keep_what_is_known(spark):
     rows = [("s", 1, 10, "p", None), ("s", 2, 20, None, "x"), ("s", 3, 30, None, "y"), ("t", 1, 5, None, None)]
     frame = spark.createDataFrame(rows, "session_id string, ord int, started_at long, project string, agent string")

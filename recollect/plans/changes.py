@@ -1,13 +1,17 @@
-"""Registered queries of runs that change memories: consolidation with its merges, proposals and log entries."""
+"""Registered queries of runs that change memories or their log: consolidation with its merges, proposals and log entries, and sending."""
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from recollect.operators import memory, merges
 from recollect.plans.catalog import query, r6
 from recollect.plans.more import WINNERS
+from recollect.session import shared_folder
 from recollect.sources import tables as t
+from recollect.streaming import sync
 
 NOW = t.NOW_MS
 #: Pairs pr (repo, a, b, sim) from a threshold up, gone through in order: taken has those that merge.
@@ -61,3 +65,54 @@ def consolidation_events(s, d):
 def consolidation_merges(s, d):
     pairs = memory.near_pairs(t.vectors(s, d), 0.3, 0.3)
     return merges.greedy(pairs).select("a", "b", r6("similarity"))
+
+
+ROUND = """n{k} AS (SELECT seq, (row_number() OVER (ORDER BY seq) - 1) // 200 AS batch FROM w{before}),
+b{k} AS (SELECT {k} AS round, batch, first_seq, last_seq, events, CASE WHEN (first_seq + {k}) % 4 = 0 THEN NULL WHEN (first_seq + {k}) % 4 = 1 THEN middle ELSE last_seq END AS upto, (SELECT coalesce(max(seq), 0) FROM lg WHERE (synced_at IS NOT NULL OR seq IN (SELECT seq FROM w0)) AND seq < (SELECT min(seq) FROM w{before})) AS cursor
+  FROM (SELECT batch, min(seq) AS first_seq, max(seq) AS last_seq, count(*) AS events, list_extract(list(seq ORDER BY seq), count(*) // 2 + 1) AS middle FROM n{k} GROUP BY batch)),
+w{k} AS (SELECT seq FROM n{k} JOIN b{k} ON n{k}.batch = b{k}.batch WHERE upto IS NULL OR seq > upto)"""
+SENT = f""", lg AS (SELECT id::BIGINT + 1 AS seq, id AS atom_id, CASE WHEN id::BIGINT % 13 = 0 THEN 'erase_request' ELSE 'create' END AS event_type, scope, CASE WHEN id::BIGINT % 9 = 4 THEN created_at END AS synced_at FROM mem),
+w0 AS (SELECT seq FROM lg WHERE synced_at IS NULL AND scope IN ('team', 'org') AND (event_type = 'erase_request' OR atom_id::BIGINT % 26 <> 0)),
+{", ".join(ROUND.format(k=k, before=k - 1) for k in (1, 2, 3))}, b AS (SELECT * FROM b1 UNION ALL SELECT * FROM b2 UNION ALL SELECT * FROM b3)"""
+
+
+def _log(s, d):
+    """One event for each memory, some sent already, and the memories that are left: some erasures have none."""
+    rows = t.memories(s, d)
+    n = F.col("id").cast("long")
+    said = F.to_json(F.struct("scope", (n % 5).alias("n")))
+    events = rows.select((n + 1).alias("seq"), F.when(n % 13 == 0, "erase_request").otherwise("create").alias("event_type"), F.col("id").alias("atom_id"), said.alias("payload_json"), F.col("hash").alias("content_hash"), "created_at", F.when(n % 9 == 4, F.col("created_at")).alias("synced_at"))
+    return events, rows.where(n % 26 != 0)
+
+
+def _receiver(k):
+    """A receiver that fails, takes the first half or takes all, by an envelope's first number and the round."""
+
+    def post(body):
+        seqs = [e["seq"] for e in json.loads(body)["events"]]
+        if (seqs[0] + k) % 4 == 0:
+            raise ConnectionError("HTTP 503")
+        return seqs[len(seqs) // 2] if (seqs[0] + k) % 4 == 1 else seqs[-1]
+
+    return post
+
+
+def _sent(s, d):
+    folder = shared_folder(s, "sync")
+    events, memories = _log(s, d)
+    for k in (1, 2, 3):
+        sync.ship_once(events, memories, folder, _receiver(k), sync.Sender("1", "device", "workspace"))
+    return events, sync.receipts(s, folder)
+
+
+@query(f"{SENT} SELECT round::INT AS round, batch, first_seq, last_seq, cursor, events::INT AS events, CASE WHEN upto IS NULL THEN 0 WHEN upto = last_seq THEN events ELSE events // 2 + 1 END::INT AS acked, CASE WHEN upto IS NULL THEN 'HTTP 503' END AS error FROM b")
+def sync_receipts(s, d):
+    """Three rounds of sending the log of all memories to a receiver that fails at times and takes parts at others."""
+    return _sent(s, d)[1].withColumn("acked", F.size("acked"))
+
+
+@query(f"{SENT} SELECT seq, synced_at IS NOT NULL AS before, synced_at IS NOT NULL OR (seq IN (SELECT seq FROM w0) AND seq NOT IN (SELECT seq FROM w3)) AS after FROM lg")
+def synced_events(s, d):
+    """The log after that."""
+    events, sent = _sent(s, d)
+    return sync.marked(events.withColumn("before", F.col("synced_at").isNotNull()), sent, t.NOW_MS).select("seq", "before", F.col("synced_at").isNotNull().alias("after"))

@@ -98,7 +98,8 @@ def greedy(pairs: DataFrame, most: int = TASK) -> DataFrame:
             left, labelled = cut(left.join(_components(left).withColumnRenamed("id", "a"), "a")), True
         # One row for each component, not for each memory.
         large = cut(left.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") > most)).select("component")
-        done.append(_in_order(left.join(large, "component", "left_anti"), "component"))
+        # Cut, as Spark drops the dealing below where the join has dealt by the same column, and then may turn that join into one that does not deal.
+        done.append(_in_order(cut(left.join(large, "component", "left_anti")), "component"))
         left = left.join(large, "component", "left_semi")
         ranges = cut(left.repartitionByRange(n // most + 1, *ORDER).withColumn("part", F.spark_partition_id()))
         first = ranges.agg(F.min("part")).first()[0]
@@ -112,20 +113,31 @@ def greedy(pairs: DataFrame, most: int = TASK) -> DataFrame:
     return taken
 
 
+def _near(vectors: DataFrame, valid: DataFrame, merge: float, least: float) -> DataFrame:
+    """a, b and similarity, to nine places, of the pairs from `least` up of vectors whose memories are valid."""
+    pairs = memory.near_pairs(vectors.join(valid.select("id"), "id", "left_semi"), merge - 1e-9, least - 1e-9).withColumn("similarity", F.round("similarity", 9))
+    return cut(pairs.where(F.col("similarity") >= least).select("a", "b", "similarity"))
+
+
+def merged(vectors: DataFrame, memories: DataFrame, useful: DataFrame, merge: float = 0.95) -> DataFrame:
+    """winner, loser and similarity of what decisions() merges, without the pairs below `merge`, which only proposals need."""
+    valid = memories.where("valid_to is null")
+    return cut(proposals.winners(greedy(_near(vectors, valid, merge, merge)), valid, useful))
+
+
 def decisions(vectors: DataFrame, memories: DataFrame, useful: DataFrame, pending: DataFrame, merge: float = 0.95, propose: float = 0.85) -> DataFrame:
     """action, winner, loser and similarity (to nine places, by which pairs are ordered) of a run over the vectors (repo, id, embedding) of valid memories; repo names the group in which they are compared.
 
     Pairs from `merge` up merge; those from `propose` up are proposed where both memories outlast the merges and no pending pair (winner, loser) names them. Vectors of memories that are not there or not valid are passed over."""
     valid = memories.where("valid_to is null")
-    pairs = memory.near_pairs(vectors.join(valid.select("id"), "id", "left_semi"), merge - 1e-9, propose - 1e-9).withColumn("similarity", F.round("similarity", 9))
-    pairs = cut(pairs.where(F.col("similarity") >= propose).select("a", "b", "similarity"))
+    pairs = _near(vectors, valid, merge, propose)
     near = F.col("similarity") >= merge
-    merged = cut(proposals.winners(greedy(pairs.where(near)), valid, useful))
-    lost = merged.select(F.col("loser").alias("gone"))
+    taken = cut(proposals.winners(greedy(pairs.where(near)), valid, useful))
+    lost = taken.select(F.col("loser").alias("gone"))
     weaker = pairs.where(~near).join(lost, F.col("a") == F.col("gone"), "left_anti").join(lost, F.col("b") == F.col("gone"), "left_anti")
     proposed = proposals.unproposed(proposals.winners(weaker, valid, useful), pending)
     rows = lambda kind, found: found.select(F.lit(kind).alias("action"), "winner", "loser", "similarity")
-    return rows("merge", merged).union(rows("propose", proposed))
+    return rows("merge", taken).union(rows("propose", proposed))
 
 
 def after(memories: DataFrame, merged: DataFrame, now_ms: int) -> DataFrame:

@@ -42,6 +42,11 @@ def _decisions(s, d):
     return merges.decisions(_copies(s, d), t.memories(s, d), memory.usefulness_scores(t.memory_events(s, d)), t.proposals(s, d))
 
 
+def _merged(s, d):
+    """Its merges alone."""
+    return merges.merged(_copies(s, d), t.memories(s, d), memory.usefulness_scores(t.memory_events(s, d))).select("winner", "loser")
+
+
 @query(f"{RUN} SELECT action, winner, loser, round(similarity, 6) AS similarity FROM dec", recursive=True)
 def consolidation_run(s, d):
     """What a run over every vector and its tilted copies merges and proposes."""
@@ -51,14 +56,13 @@ def consolidation_run(s, d):
 @query(f"{RUN} SELECT mem.id AS id, coalesce(valid_to, CASE WHEN l.winner IS NOT NULL THEN {NOW} END) AS valid_to, l.winner AS superseded_by, w.loser AS derived_from FROM mem LEFT JOIN dec l ON l.action = 'merge' AND l.loser = mem.id LEFT JOIN dec w ON w.action = 'merge' AND w.winner = mem.id", recursive=True)
 def consolidated_memories(s, d):
     """All memories after that run."""
-    merged = _decisions(s, d).where("action = 'merge'").select("winner", "loser")
-    return merges.after(t.memories(s, d), merged, NOW).select("id", "valid_to", "superseded_by", F.array_join("derived_from", ",").alias("derived_from"))
+    return merges.after(t.memories(s, d), _merged(s, d), NOW).select("id", "valid_to", "superseded_by", F.array_join("derived_from", ",").alias("derived_from"))
 
 
 @query(f"{RUN} SELECT loser AS atom_id, 'supersede' AS event_type, '{{\"superseded_by\":\"' || winner || '\"}}' AS payload_json, {NOW} AS created_at FROM dec WHERE action = 'merge' UNION ALL SELECT loser, 'usefulness', '{{\"family\":\"memory_corrected\",\"action\":\"superseded\"}}', {NOW} FROM dec WHERE action = 'merge'", recursive=True)
 def consolidation_events(s, d):
     """The log entries of that run."""
-    return merges.events(_decisions(s, d).where("action = 'merge'"), NOW)
+    return merges.events(_merged(s, d), NOW)
 
 
 @query(f", pr AS (SELECT * FROM (SELECT x.label AS repo, x.vec_id AS a, y.vec_id AS b, list_cosine_similarity(x.embedding::DOUBLE[], y.embedding::DOUBLE[]) AS sim FROM embeddings x JOIN embeddings y ON x.label = y.label AND x.vec_id < y.vec_id) WHERE sim >= 0.3), {GREEDY.format(least=0.3)} SELECT a::BIGINT AS a, b::BIGINT AS b, round(sim, 6) AS similarity FROM taken", recursive=True)

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,6 +15,9 @@ from pyspark.sql import types as T
 from recollect.functions import scoring
 from recollect.session import written
 
+#: Texts, and bytes of them, that a model is given at once.
+AT_ONCE, BYTES = 256, 1 << 20
+
 Embed = Callable[[list[str]], Sequence[Sequence[float]]]
 
 
@@ -26,8 +30,22 @@ def deterministic_vector(text: Column, size: int = 1024) -> Column:
     return F.get(F.transform(F.array(of), vector), F.lit(0))  # so that the hash is worked out once
 
 
+def _small(batches: Iterator[pa.RecordBatch], text: str, rows_at_once: int, bytes_at_once: int) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of at most so many rows and bytes of text, so that texts and vectors of few rows are Python objects at a time."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy().astype(np.int64))
+        at = 0
+        while at < batch.num_rows:
+            to = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + bytes_at_once, "right"))
+            to = min(max(to, at + 1), at + rows_at_once)
+            yield batch.slice(at, to - at)
+            at = to
+
+
 def embedded(rows: DataFrame, embed: Embed, size: int, text: str = "text") -> DataFrame:
-    """Adds embedding and error: `embed` takes the texts of an Arrow batch at once. Where it raises, the batch's texts go one by one, so that an error is that of its row; a vector of another size is one too. A null text is empty."""
+    """Adds embedding and error: `embed` takes up to AT_ONCE texts at once, of BYTES in all but for a single one. Where it raises, the batch's texts go one by one, so that an error is that of its row; a vector of another size is one too. A null text is empty."""
+
+    rows_at_once, bytes_at_once = AT_ONCE, BYTES
 
     def one(given: str) -> tuple[list[float] | None, str | None]:
         try:
@@ -40,9 +58,7 @@ def embedded(rows: DataFrame, embed: Embed, size: int, text: str = "text") -> Da
         return (np.asarray(vector, np.float32).tolist(), None) if n == size else (None, f"schema: {n} dimensions in place of {size}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in _small(batches, text, rows_at_once, bytes_at_once):
             texts = [t or "" for t in batch.column(text).to_pylist()]
             try:
                 vectors = list(embed(texts))

@@ -25,10 +25,10 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from recollect.batches import groups
 from recollect.functions import text
-from recollect.session import shuffles_deleted, written
+from recollect.session import shuffles_deleted, small_batches, written
 
-#: Folders of a segment's postings; as many terms of a question go into the scan's filter, more are joined; terms of a slice; tasks that a bucket's rows are dealt to at least.
-BUCKETS, LITERALS, SLICE, DEALT = 32, 500, 1 << 21, 8
+#: Folders of a segment's postings; as many terms of a question go into the scan's filter, more are joined; terms of a slice; tasks that a bucket's rows are dealt to at least; places of a batch that a task gives back.
+BUCKETS, LITERALS, SLICE, DEALT, PIECE = 32, 500, 1 << 21, 8, 1 << 17
 ALL = ""
 ROW = "term string, slice long, ords array<int>, places array<array<int>>, ids array<string>, sizes array<long>"
 NAMES = [f.split()[0] for f in ROW.split(", ")]
@@ -163,7 +163,7 @@ def _write(blocks: DataFrame, folder: str, segment: int) -> tuple[int, int, int,
     spark = blocks.sparkSession
     path = f"{folder}/postings/segment={segment}"
     rows = blocks.select(*NAMES, bucket(F.col("term")).alias("bucket"))
-    with shuffles_deleted(spark):
+    with shuffles_deleted(spark), small_batches(spark):
         rows.repartition("bucket", F.pmod(F.xxhash64("slice"), F.lit(DEALT))).sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(path)
     every = spark.read.schema(f"{ROW}, bucket int").parquet(path).where((F.col("bucket") == bucket_of(ALL)) & (F.col("term") == ALL))
     sizes = every.select(F.inline(F.arrays_zip("ids", "sizes"))).where("ids is not null")
@@ -174,49 +174,72 @@ def sliced(memories: DataFrame) -> DataFrame:
     """The rows of memories (id, text): the places of each term in slices of about SLICE terms, put together before anything travels."""
     rows = memories.select(F.col("id").cast("string").alias("id"), text.terms(F.col("text")).alias("own"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n, number = [], 0, TaskContext.get().partitionId() << 32
-        for batch in batches:
-            at = 0
-            counts = pc.fill_null(pc.list_value_length(batch.column("own")), 0).to_numpy()
-            ends = np.cumsum(counts)
-            while at < batch.num_rows:
-                to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE - n, "right")))
-                held.append(batch.slice(at, to - at))
-                n += int(counts[at:to].sum())
-                at = to
-                if n >= SLICE:
-                    yield from _slice(held, number)
-                    held, n, number = [], 0, number + 1
-        if held:
-            yield from _slice(held, number)
-
-    return rows.mapInArrow(run, ROW)
-
-
-def _slice(batches: list[pa.RecordBatch], number: int) -> Iterator[pa.RecordBatch]:
-    whole = pa.Table.from_batches(batches).combine_chunks()
-    if not whole.num_rows:
-        return
-    ids, own = (c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in (whole.column("id"), whole.column("own")))
-    lengths = pc.list_value_length(own)
+    return rows.mapInArrow(lambda batches: _sliced(batches, TaskContext.get().partitionId() << 32), ROW)
+
+
+def _sliced(batches: Iterator[pa.RecordBatch], number: int) -> Iterator[pa.RecordBatch]:
+    """The slices of a task's texts, from that number on. What waits for its slice are codes of terms, not the terms, and nothing of a batch that came."""
+    held, n = [], 0
+    for batch in batches:
+        at, own = 0, batch.column("own")
+        # A memory counts as one term more, so that texts without terms end a slice too.
+        ends = np.cumsum(pc.fill_null(pc.list_value_length(own), 0).to_numpy() + 1)
+        while at < batch.num_rows:
+            before = int(ends[at - 1]) if at else 0
+            to = max(at + 1, int(np.searchsorted(ends, before + SLICE - n, "right")))
+            part = own.slice(at, to - at)
+            held.append((batch.column("id").take(pa.array(np.arange(at, to))), pc.list_value_length(part), part.flatten().dictionary_encode()))
+            n += int(ends[to - 1]) - before
+            at = to
+            if n >= SLICE:
+                yield from _slice(held, number)
+                held, n, number = [], 0, number + 1
+                pa.default_memory_pool().release_unused()
+    if held:
+        yield from _slice(held, number)
+        pa.default_memory_pool().release_unused()
+
+
+def _rows(terms: pa.Array, number: int, **lists: pa.Array) -> pa.RecordBatch:
+    """Rows of a slice; lists that are not given are null."""
+    n = len(terms)
+    kinds = {"ords": pa.int32(), "places": pa.list_(pa.int32()), "ids": pa.string(), "sizes": pa.int64()}
+    return pa.RecordBatch.from_arrays([terms, pa.array(np.full(n, number)), *[lists[k] if k in lists else pa.nulls(n, pa.list_(t)) for k, t in kinds.items()]], names=NAMES)
+
+
+def _slice(held: list[tuple[pa.Array, pa.Array, pa.DictionaryArray]], number: int) -> Iterator[pa.RecordBatch]:
+    """The rows of one slice, about PIECE places in a batch."""
+    ids, lengths = (pa.concat_arrays([h[i] for h in held]) for i in (0, 1))
+    terms = pa.chunked_array([h[2] for h in held]).unify_dictionaries()
     counts = pc.fill_null(lengths, 0).to_numpy()
-    sizes = pc.multiply(lengths.cast(pa.int64()), 2)
-    terms = own.flatten().dictionary_encode()
-    codes = terms.indices.to_numpy()
-    doc = np.repeat(np.arange(len(ids), dtype=np.int32), counts)
-    place = (np.arange(len(codes)) - np.repeat(np.cumsum(counts) - counts, counts)).astype(np.int32)
-    order = np.argsort(codes, kind="stable")
-    codes, doc, place = codes[order], doc[order], place[order]
-    new_term = np.flatnonzero(np.diff(codes, prepend=-1))
-    new_doc = np.flatnonzero((np.diff(codes, prepend=-1) != 0) | (np.diff(doc, prepend=-1) != 0))
-    places = pa.ListArray.from_arrays(pa.array(np.append(new_doc, len(codes)).astype(np.int32)), pa.array(place))
-    edges = pa.array(np.append(np.searchsorted(new_doc, new_term), len(new_doc)).astype(np.int32))
-    n = len(new_term)
-    ords, lists = pa.ListArray.from_arrays(edges, pa.array(doc[new_doc])), pa.ListArray.from_arrays(edges, places)
-    yield pa.RecordBatch.from_arrays([terms.dictionary.take(pa.array(codes[new_term])), pa.array(np.full(n, number)), ords, lists, pa.nulls(n, pa.list_(pa.string())), pa.nulls(n, pa.list_(pa.int64()))], names=NAMES)
+    # By term and then by place in the slice.
+    keys = np.concatenate([c.indices.to_numpy() for c in terms.chunks]).astype(np.int64)
+    keys <<= 32
+    keys |= np.arange(len(keys))
+    keys.sort()
+    codes, at = (keys >> 32).astype(np.int32), keys.astype(np.uint32).astype(np.int32)
+    del keys
+    doc = np.repeat(np.arange(len(ids), dtype=np.int32), counts)[at]
+    place = at - (np.cumsum(counts) - counts).astype(np.int32)[doc]
+    new = np.ones(len(codes), bool)
+    new[1:] = codes[1:] != codes[:-1]
+    new_term = np.flatnonzero(new)
+    new[1:] |= doc[1:] != doc[:-1]
+    new_doc = np.flatnonzero(new)
+    ends = np.append(new_term[1:], len(codes))
+    first = 0
+    while first < len(new_term):
+        low = new_term[first]
+        to = max(first + 1, int(np.searchsorted(ends, low + PIECE, "right")))
+        high = ends[to - 1]
+        docs = new_doc[slice(*np.searchsorted(new_doc, [low, high]))]
+        places = pa.ListArray.from_arrays(pa.array((np.append(docs, high) - low).astype(np.int32)), pa.array(place[low:high]))
+        edges = np.append(np.searchsorted(docs, new_term[first:to]), len(docs)).astype(np.int32)
+        named = terms.chunk(0).dictionary.take(pa.array(codes[new_term[first:to]]))
+        yield _rows(named, number, ords=pa.ListArray.from_arrays(pa.array(edges), pa.array(doc[docs])), places=pa.ListArray.from_arrays(pa.array(edges), places))
+        first = to
     whole = pa.array([0, len(ids)], pa.int32())
-    yield pa.RecordBatch.from_arrays([pa.array([ALL]), pa.array([number]), pa.nulls(1, pa.list_(pa.int32())), pa.nulls(1, pa.list_(pa.list_(pa.int32()))), pa.ListArray.from_arrays(whole, ids), pa.ListArray.from_arrays(whole, sizes)], names=NAMES)
+    yield _rows(pa.array([ALL]), number, ids=pa.ListArray.from_arrays(whole, ids), sizes=pa.ListArray.from_arrays(whole, pc.multiply(lengths.cast(pa.int64()), 2)))
 
 
 def add(memories: DataFrame, folder: str) -> Version:
@@ -315,7 +338,8 @@ def scores(index: Version, queries: DataFrame) -> DataFrame:
     kind = queries.schema["query"].dataType
     arrow = to_arrow_type(kind)
     # Written, as the phrases' weights need all of it before the first score.
-    found = written(rows.mapInArrow(lambda batches: _matched(batches, arrow), MATCHED.format(kind.simpleString())))
+    with small_batches(queries.sparkSession):
+        found = written(rows.mapInArrow(lambda batches: _matched(batches, arrow), MATCHED.format(kind.simpleString())))
     weights = found.where("ord < 0").groupBy("query", "phrase").agg(F.sum("times").alias("df")).crossJoin(F.broadcast(index.corpus()))
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weights = weights.select("query", "phrase", "mean", F.when(idf > 0, idf).otherwise(1e-6).alias("idf"))

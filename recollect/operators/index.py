@@ -138,12 +138,15 @@ class Version:
 
 def create(spark: SparkSession, folder: str) -> None:
     """An empty index."""
-    spark.createDataFrame([], "id string, segment long, size long").write.parquet(f"{folder}/gone/version=0")
+    spark.range(1).select(F.lit("").alias("id"), F.lit(0).cast("long").alias("segment"), F.lit(0).cast("long").alias("size")).where("false").write.parquet(f"{folder}/gone/version=0")
     _publish(spark, folder, 0, ())
 
 
 def _publish(spark: SparkSession, folder: str, number: int, segments: tuple) -> None:
-    spark.createDataFrame([NONE, *segments], MANIFEST).coalesce(1).write.parquet(f"{folder}/manifest/version={number}")
+    # createDataFrame() would start Python workers, which stay beside those of the slices.
+    names = [f.split()[0] for f in MANIFEST.split(", ")]
+    rows = [F.struct(*[F.lit(x).cast("long").alias(n) for n, x in zip(names, row, strict=True)]) for row in (NONE, *segments)]
+    spark.range(0, 1, 1, 1).select(F.inline(F.array(*rows))).write.parquet(f"{folder}/manifest/version={number}")
 
 
 def version(spark: SparkSession, folder: str) -> Version:
@@ -193,7 +196,7 @@ def _sliced(batches: Iterator[pa.RecordBatch], number: int) -> Iterator[pa.Recor
             at = to
             if n >= SLICE:
                 yield from _slice(held, number)
-                held, n, number = [], 0, number + 1
+                n, number = 0, number + 1
                 pa.default_memory_pool().release_unused()
     if held:
         yield from _slice(held, number)
@@ -208,35 +211,39 @@ def _rows(terms: pa.Array, number: int, **lists: pa.Array) -> pa.RecordBatch:
 
 
 def _slice(held: list[tuple[pa.Array, pa.Array, pa.DictionaryArray]], number: int) -> Iterator[pa.RecordBatch]:
-    """The rows of one slice, about PIECE places in a batch."""
+    """The rows of one slice, about PIECE places in a batch; empties held. Of the whole slice there is one sorted number for each place, all else is made for a batch."""
     ids, lengths = (pa.concat_arrays([h[i] for h in held]) for i in (0, 1))
     terms = pa.chunked_array([h[2] for h in held]).unify_dictionaries()
-    counts = pc.fill_null(lengths, 0).to_numpy()
+    held.clear()
+    keys, at = np.empty(len(terms), np.int64), 0
+    for chunk in terms.chunks:
+        keys[at : at + len(chunk)] = chunk.indices
+        at += len(chunk)
+    names = terms.chunk(0).dictionary
+    del terms, chunk
+    edges = np.append(0, np.cumsum(np.bincount(keys, minlength=len(names))))
     # By term and then by place in the slice.
-    keys = np.concatenate([c.indices.to_numpy() for c in terms.chunks]).astype(np.int64)
     keys <<= 32
-    keys |= np.arange(len(keys))
+    keys |= np.arange(len(keys), dtype=np.int32)
     keys.sort()
-    codes, at = (keys >> 32).astype(np.int32), keys.astype(np.uint32).astype(np.int32)
-    del keys
-    doc = np.repeat(np.arange(len(ids), dtype=np.int32), counts)[at]
-    place = at - (np.cumsum(counts) - counts).astype(np.int32)[doc]
-    new = np.ones(len(codes), bool)
-    new[1:] = codes[1:] != codes[:-1]
-    new_term = np.flatnonzero(new)
-    new[1:] |= doc[1:] != doc[:-1]
-    new_doc = np.flatnonzero(new)
-    ends = np.append(new_term[1:], len(codes))
+    counts = pc.fill_null(lengths, 0).to_numpy()
+    ends = np.cumsum(counts)
+    begins = ends - counts
     first = 0
-    while first < len(new_term):
-        low = new_term[first]
-        to = max(first + 1, int(np.searchsorted(ends, low + PIECE, "right")))
-        high = ends[to - 1]
-        docs = new_doc[slice(*np.searchsorted(new_doc, [low, high]))]
-        places = pa.ListArray.from_arrays(pa.array((np.append(docs, high) - low).astype(np.int32)), pa.array(place[low:high]))
-        edges = np.append(np.searchsorted(docs, new_term[first:to]), len(docs)).astype(np.int32)
-        named = terms.chunk(0).dictionary.take(pa.array(codes[new_term[first:to]]))
-        yield _rows(named, number, ords=pa.ListArray.from_arrays(pa.array(edges), pa.array(doc[docs])), places=pa.ListArray.from_arrays(pa.array(edges), places))
+    while first < len(names):
+        low = edges[first]
+        to = max(first + 1, int(np.searchsorted(edges, low + PIECE, "right")) - 1)
+        at = keys[low : edges[to]] & 0xFFFFFFFF
+        doc = np.searchsorted(ends, at, "right").astype(np.int32)
+        at -= begins[doc]
+        own = edges[first:to] - low
+        new = np.ones(len(at), bool)
+        new[1:] = doc[1:] != doc[:-1]
+        new[own] = True
+        docs = np.flatnonzero(new)
+        places = pa.ListArray.from_arrays(pa.array(np.append(docs, len(at)).astype(np.int32)), pa.array(at.astype(np.int32)))
+        each = pa.array(np.append(np.searchsorted(docs, own), len(docs)).astype(np.int32))
+        yield _rows(names.slice(first, to - first), number, ords=pa.ListArray.from_arrays(each, pa.array(doc[docs])), places=pa.ListArray.from_arrays(each, places))
         first = to
     whole = pa.array([0, len(ids)], pa.int32())
     yield _rows(pa.array([ALL]), number, ids=pa.ListArray.from_arrays(whole, ids), sizes=pa.ListArray.from_arrays(whole, pc.multiply(lengths.cast(pa.int64()), 2)))
@@ -295,6 +302,16 @@ def _starts(table: pa.Table) -> np.ndarray:
     return (doc.astype(np.int64) << 32) + lists.flatten().to_numpy() + BEFORE - table.column("offset")[0].as_py()
 
 
+def _both(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """What is in both of two sorted arrays without copies, by looking up the shorter one."""
+    few, many = (a, b) if len(a) <= len(b) else (b, a)
+    if not len(few):
+        return few
+    at = np.searchsorted(many, few)
+    at[at == len(many)] = 0
+    return few[many[at] == few]
+
+
 def _matched(batches: Iterator[pa.RecordBatch], kind: pa.DataType) -> Iterator[pa.RecordBatch]:
     """Of each query and slice: how many memories have each phrase (ord -1), and the memories that have all, with the times of each."""
     for table in groups(batches, ["query", "segment", "slice"]):
@@ -307,7 +324,7 @@ def _matched(batches: Iterator[pa.RecordBatch], kind: pa.DataType) -> Iterator[p
                 continue
             starts = _starts(own[0])
             for more in own[1:]:
-                starts = np.intersect1d(starts, _starts(more))
+                starts = _both(starts, _starts(more))
             doc, times = np.unique(starts >> 32, return_counts=True)
             alive = ~np.isin(doc, dead)
             if alive.any():
@@ -351,7 +368,7 @@ def scores(index: Version, queries: DataFrame) -> DataFrame:
 
 def ask(index: Version, query: str) -> DataFrame:
     """(id, bm25) for one query."""
-    return scores(index, index.spark.createDataFrame([(0, query)], "query int, body string")).select("id", "bm25")
+    return scores(index, index.spark.range(1).select(F.lit(0).alias("query"), F.lit(query).alias("body"))).select("id", "bm25")
 
 
 def built(memories: DataFrame, folder: str, parts: list[Column]) -> Version:
